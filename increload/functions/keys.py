@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Name of the internal packed-key column.  It never leaves an operator.
+# Names of the internal packed-key columns.  They never leave an operator.
+HASH_COL = "__increload_hash"
 KEY_COL = "__increload_key"
+KEY_COLS = [HASH_COL, KEY_COL]
 
 # Fixed value: the default pattern for an 8-digit date in a file name.
 # Greedy prefix, so the *last* run of eight digits wins.
@@ -41,20 +43,37 @@ def key_columns(part: str | None, keys: str | Sequence[str], scope: str = "parti
     return keys
 
 
-def packed_key(cols: Sequence[str]) -> Column:
-    """One non-null struct holding the identifying columns.
+def packed_key(cols: Sequence[str]) -> list[Column]:
+    """``[xxhash64(cols), struct(cols)]``: the identifying columns packed.
 
-    Spark compares structs field by field with nulls equal, so grouping and
-    equi-joining on this column is null-safe, and a dedup and an anti-join on
-    it hash the same expression: the join reuses the dedup's exchange instead
-    of shuffling the batch a second time (``eqNullSafe`` hashes on
-    ``coalesce``/``isnull`` terms, which no aggregate produces).
+    The struct is never null and Spark compares structs field by field with
+    nulls equal, so grouping and equi-joining on it is null-safe; a dedup and
+    an anti-join on the pair hash the same expressions, so the join reuses the
+    dedup's exchange instead of shuffling the batch a second time
+    (``eqNullSafe`` hashes on ``coalesce``/``isnull`` terms, which no
+    aggregate produces).  The leading 64-bit hash gives the sort-based
+    aggregate and the sort-merge join a sort prefix: a struct alone has none,
+    which made every comparison walk the struct (about 2x slower).  Equal
+    structs have equal hashes, so the hash never changes a match.
     """
-    return F.struct(*[F.col(c) for c in cols])
+    fields = [F.col(c) for c in cols]
+    return [F.xxhash64(*fields).alias(HASH_COL), F.struct(*fields).alias(KEY_COL)]
 
 
 def with_packed_key(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumn(KEY_COL, packed_key(cols))
+    h, k = packed_key(cols)
+    return df.withColumns({HASH_COL: h, KEY_COL: k})
+
+
+def orderable(dtype: T.DataType) -> bool:
+    """Can Spark compare values of this type (needed by ``min``)?"""
+    if isinstance(dtype, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(dtype, T.ArrayType):
+        return orderable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(orderable(f.dataType) for f in dtype.fields)
+    return True
 
 
 def null_safe_match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:

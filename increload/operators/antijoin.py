@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.functions.keys import KEY_COL, key_columns, packed_key, with_packed_key
+from increload.functions.keys import KEY_COLS, key_columns, packed_key, with_packed_key
 
 # Above this many distinct partition values in a batch, pruning switches from a
 # literal IN-list (static partition filters on the scan) to a semi-join.
@@ -43,15 +43,16 @@ def prune_to_batch_partitions(
     return keys_df.where(cond)
 
 
-def anti_on(batch: DataFrame, known: DataFrame, key_col: str) -> DataFrame:
-    """``batch`` rows whose prepared ``key_col`` is absent from ``known[key_col]``.
+def anti_on(batch: DataFrame, known: DataFrame, key_cols: Sequence[str] = KEY_COLS) -> DataFrame:
+    """``batch`` rows whose prepared ``key_cols`` are absent from ``known``.
 
-    Plain equality on a packed struct: null-safe per field, and hashed on the
-    same expression the dedup grouped by, so no second shuffle of the batch.
+    Plain equality on the packed key: null-safe per field, and hashed on the
+    same expressions the dedup grouped by, so no second shuffle of the batch.
     AQE turns it into a broadcast join when the known side is small at run
     time and splits skewed partitions of the batch side otherwise.
     """
-    return batch.join(known.select(key_col), on=key_col, how="left_anti")
+    key_cols = list(key_cols)
+    return batch.join(known.select(*key_cols), on=key_cols, how="left_anti")
 
 
 def anti_join_keys(
@@ -74,5 +75,5 @@ def anti_join_keys(
         return batch.join(existing_keys.select(*cols), on=cols, how="left_anti")
     if nulls != "safe":
         raise ValueError("nulls must be 'safe' or 'sql'")
-    known = existing_keys.select(packed_key(cols).alias(KEY_COL))
-    return anti_on(with_packed_key(batch, cols), known, KEY_COL).select(*batch.columns)
+    known = existing_keys.select(*packed_key(cols))
+    return anti_on(with_packed_key(batch, cols), known).select(*batch.columns)

@@ -7,34 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.functions.keys import KEY_COL, as_list, key_columns, with_packed_key
+from increload.functions.keys import KEY_COLS, as_list, key_columns, orderable, with_packed_key
 
 
-def dedup_on(df: DataFrame, key_col: str, order_by: Sequence[str] | None = None) -> DataFrame:
-    """Keep one row per value of the prepared ``key_col``.
+def dedup_on(df: DataFrame, key_cols: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
+    """Keep one row per value of the prepared ``key_cols``.
 
-    Without ``order_by`` the surviving row is whichever the aggregate meets
-    first (the data is assumed immutable, so copies are equal).  With
-    ``order_by`` the smallest row by ``(*order_by, *every other column)``
-    survives, so the choice is total and repeatable.
+    The surviving row is the smallest by ``(*order_by, *every other column)``,
+    so the choice is total and the same on every run and retry.  Without
+    ``order_by`` that is simply the smallest whole row.  (If a column cannot
+    be ordered, e.g. a map, and no ``order_by`` is given, the first row met
+    survives instead.)
 
-    Both forms are grouped aggregates with a map-side partial step: a key
-    delivered a million times is collapsed inside each map task before the
-    shuffle, so a hot key never lands whole in one reducer (a window
-    ``row_number`` would sort every copy in one task).
+    A grouped aggregate with a map-side partial step: a key delivered a
+    million times is collapsed inside each map task before the shuffle, so a
+    hot key never lands whole in one reducer (a window ``row_number`` would
+    sort every copy in one task).
     """
-    if not order_by:
-        return df.dropDuplicates([key_col])
+    key_cols = list(key_cols)
+    columns = [c for c in df.columns if c not in key_cols]
     order_by = as_list(order_by)
-    columns = [c for c in df.columns if c != key_col]
     missing = [c for c in order_by if c not in columns]
     if missing:
         raise ValueError(f"order_by columns not in the batch: {missing}")
-    rest = [c for c in columns if c not in order_by]
-    # The key columns are constant inside a group; leaving them in the struct
-    # is harmless and keeps the row whole when the key is partly derived.
-    ranked = F.min(F.struct(*[F.col(c) for c in [*order_by, *rest]])).alias("__row")
-    return df.groupBy(key_col).agg(ranked).select(key_col, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    row = F.struct(*[F.col(c) for c in [*order_by, *[c for c in columns if c not in order_by]]])
+    if order_by or orderable(df.select(*columns).schema):
+        pick = F.min(row)
+    else:
+        pick = F.first(row)
+    return df.groupBy(*key_cols).agg(pick.alias("__row")).select(
+        *key_cols, *[F.col(f"__row.{c}").alias(c) for c in columns]
+    )
 
 
 def dedup_batch(
@@ -52,5 +55,5 @@ def dedup_batch(
     does not depend on how the input is partitioned.
     """
     cols = key_columns(part, keys, scope)
-    out = dedup_on(with_packed_key(df, cols), KEY_COL, order_by)
+    out = dedup_on(with_packed_key(df, cols), KEY_COLS, order_by)
     return out.select(*df.columns)

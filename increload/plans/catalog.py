@@ -297,14 +297,14 @@ SELECT * FROM btk WHERE NOT EXISTS (
 
 def q_anti_join_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing, batch = events_increment(spark, sf_dir)
-    return anti_join_keys(batch, existing, "day", EVENT_KEYS, scope="global")
+    return anti_join_keys(batch, existing, "day", ["user_id", "props"], scope="global")
 
 
 _SQL_ANTI_GLOBAL = f"""
 WITH {_EV}
 SELECT * FROM bt WHERE NOT EXISTS (
     SELECT 1 FROM ex WHERE ex.user_id IS NOT DISTINCT FROM bt.user_id
-                       AND ex.event_type IS NOT DISTINCT FROM bt.event_type)
+                       AND ex.props IS NOT DISTINCT FROM bt.props)
 """
 
 

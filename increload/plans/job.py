@@ -48,8 +48,8 @@ def run_load_job(
     """
     keys = as_list(keys)
     key_schema = tables.key_schema_of(batch.schema, part, keys)
-    data_ids, _, missing = tables.coverage_lists(spark, base, exclude=[batch_id])
-    known = tables.existing_keys(spark, base, key_schema, exclude=[batch_id]) if data_ids else None
+    cov = tables.coverage_lists(spark, base, exclude=[batch_id])
+    known = tables.existing_keys(spark, base, key_schema, coverage=cov)
     delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values)
 
     tables.append_delta(delta, base, batch_id, part)
@@ -59,7 +59,7 @@ def run_load_job(
 
     tables.write_key_index(written.select(*key_schema.fieldNames()), base, batch_id, part)
     tables.write_commit(spark, base, "index", batch_id, n)
-    return LoadReport(int(batch_id), int(n), not data_ids, tuple(missing))
+    return LoadReport(int(batch_id), int(n), not cov.data, cov.missing)
 
 
 def load_result_rows(spark: SparkSession, base: str, schema, batch_id: int) -> DataFrame:

@@ -23,8 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.functions.keys import KEY_COL, all_null, as_list, packed_key
-from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, prune_to_batch_partitions
+from increload.functions.keys import all_null, as_list, with_packed_key, packed_key
+from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, anti_on, prune_to_batch_partitions
 
 
 def sql_dedup(
@@ -39,9 +39,7 @@ def sql_dedup(
     keys = as_list(keys)
     master_keys = prune_to_batch_partitions(existing.select(part, *keys), batch, part, max_prune_values)
     master_keys = master_keys.where(~all_null([F.col(k) for k in keys]))
-    kept = batch.withColumn(KEY_COL, packed_key(keys)).join(
-        master_keys.select(packed_key(keys).alias(KEY_COL)), KEY_COL, "left_anti"
-    )
+    kept = anti_on(with_packed_key(batch, keys), master_keys.select(*packed_key(keys))).select(*batch.columns)
     group = [*keys, part]
     if output == "counts":
         values = as_list(value_cols) if value_cols else [c for c in batch.columns if c not in group]

@@ -18,6 +18,7 @@ rewritten, so no reader can see a half-deleted index.  One writer per
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -87,18 +88,30 @@ def index_coverage(spark: SparkSession, base: str) -> DataFrame:
     return coverage_of(read_commits(spark, base))
 
 
-def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ()) -> tuple[list[int], list[int], list[int]]:
-    """``(data batches, batches with index, batches without index)``.
+@dataclass(frozen=True)
+class Coverage:
+    """Committed batch ids: all with data, those with an index, those without."""
 
-    These are batch ids from the commit table: one row per load run, not per
-    data row, so collecting them is bounded by the number of loads.
+    data: tuple[int, ...]
+    covered: tuple[int, ...]
+    missing: tuple[int, ...]
+
+
+def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ()) -> Coverage:
+    """Batch ids from the commit table, minus ``exclude``.
+
+    The commit table holds one row per load run and stage, not per data row,
+    so collecting it is bounded by the number of loads ever run.
     """
     skip = {int(b) for b in exclude}
-    rows = index_coverage(spark, base).collect()
-    data = sorted(int(r[BATCH_COL]) for r in rows if int(r[BATCH_COL]) not in skip)
-    covered = sorted(int(r[BATCH_COL]) for r in rows if r["has_index"] and int(r[BATCH_COL]) not in skip)
-    missing = sorted(set(data) - set(covered))
-    return data, covered, missing
+    data: set[int] = set()
+    indexed: set[int] = set()
+    for r in read_commits(spark, base).collect():
+        b = int(r[BATCH_COL])
+        if b in skip:
+            continue
+        (data if r["stage"] == "data" else indexed).add(b)
+    return Coverage(tuple(sorted(data)), tuple(sorted(data & indexed)), tuple(sorted(data - indexed)))
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
@@ -153,7 +166,7 @@ def read_master(
     column, which directory discovery would otherwise infer from its text.
     Returns ``None`` when nothing is committed and no schema is given.
     """
-    data, _, _ = coverage_lists(spark, base, exclude)
+    data = list(coverage_lists(spark, base, exclude).data)
     if batch_ids is not None:
         wanted = {int(b) for b in batch_ids}
         data = [b for b in data if b in wanted]
@@ -167,8 +180,7 @@ def read_key_index(
     exclude: Iterable[int] = (),
 ) -> DataFrame | None:
     """The stored index of every batch that has both commits: ``(part, *keys, batch_id)``."""
-    _, covered, _ = coverage_lists(spark, base, exclude)
-    return _read_batches(spark, base, INDEX, covered, key_schema)
+    return _read_batches(spark, base, INDEX, coverage_lists(spark, base, exclude).covered, key_schema)
 
 
 def key_schema_of(schema: T.StructType, part: str | None, keys: str | Sequence[str]) -> T.StructType:
@@ -181,13 +193,15 @@ def existing_keys(
     base: str,
     key_schema: T.StructType,
     exclude: Iterable[int] = (),
+    coverage: Coverage | None = None,
 ) -> DataFrame | None:
     """Every loaded key tuple: the stored index where it is committed, plus
     the keys of committed batches whose index is missing, read (column-pruned)
     from their master directories.  ``None`` when nothing is loaded.
     """
-    data, covered, missing = coverage_lists(spark, base, exclude)
-    if not data:
+    cov = coverage if coverage is not None else coverage_lists(spark, base, exclude)
+    covered, missing = cov.covered, cov.missing
+    if not cov.data:
         return None
     cols = key_schema.fieldNames()
     parts = []
