@@ -7,7 +7,6 @@ from increload.operators.keyindex import (
     build_key_index,
     index_profile,
     merge_key_index,
-    nested_key_index,
     partition_count,
     rebuild_key_index,
     select_keys,
@@ -52,7 +51,6 @@ __all__ = [
     "layout_by_bucket",
     "list_input_files",
     "merge_key_index",
-    "nested_key_index",
     "partition_count",
     "prune_to_batch_partitions",
     "read_csv_dir",

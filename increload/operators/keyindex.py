@@ -1,8 +1,9 @@
 """The key index: a flat table of ``(part, *keys)`` already loaded.
 
 The index is one row per key tuple, so it is an ordinary column-pruned,
-partition-pruned Parquet table; the per-partition set view of it is one
-``groupBy`` away (:func:`nested_key_index`).
+partition-pruned Parquet table.  A per-partition key *set* (one row holding
+every key of a partition) is deliberately not offered: a partition's keys are
+unbounded and must never be gathered into one task.
 """
 
 from __future__ import annotations
@@ -47,16 +48,6 @@ def merge_key_index(*indexes: DataFrame) -> DataFrame:
     return merged.distinct()
 
 
-def nested_key_index(index: DataFrame, part: str, keys: str | Sequence[str]) -> DataFrame:
-    """``part -> array<struct<keys>>``, the per-partition key-set view.
-
-    A view for inspection only: one partition's set is one row, so it must
-    not be used on a partition that does not fit in a task's memory.
-    """
-    keys = as_list(keys)
-    return index.groupBy(part).agg(F.collect_set(F.struct(*keys)).alias("keys"))
-
-
 def index_profile(index: DataFrame, part: str, keys: str | Sequence[str]) -> DataFrame:
     """Per partition value: number of keys and the smallest key tuple.
 
