@@ -16,6 +16,7 @@ from increload.operators.layout import (
     estimate_partitions_by_date,
     estimate_partitions_by_files,
     layout_by_bucket,
+    require_partitions,
     with_bucket,
 )
 from increload.operators.setops import except_rows, replay_split, replay_split_values
@@ -58,6 +59,7 @@ __all__ = [
     "read_master",
     "rebuild_key_index",
     "replay_split",
+    "require_partitions",
     "replay_split_values",
     "run_load_job",
     "select_keys",

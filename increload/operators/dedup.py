@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.functions.keys import KEY_COLS, as_list, key_columns, orderable, with_packed_key
+from increload.functions.keys import HASH_COL, KEY_COL, KEY_COLS, as_list, key_columns, orderable, with_packed_key
 
 
-def dedup_on(df: DataFrame, key_cols: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
-    """Keep one row per value of the prepared ``key_cols``.
+def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
+    """Keep one row per packed key of ``df`` (columns ``HASH_COL``, ``KEY_COL``
+    built from ``id_cols`` by :func:`with_packed_key`).
 
     The surviving row is the smallest by ``(*order_by, *every other column)``,
     so the choice is total and the same on every run and retry.  Without
@@ -22,22 +23,28 @@ def dedup_on(df: DataFrame, key_cols: Sequence[str], order_by: Sequence[str] | N
     A grouped aggregate with a map-side partial step: a key delivered a
     million times is collapsed inside each map task before the shuffle, so a
     hot key never lands whole in one reducer (a window ``row_number`` would
-    sort every copy in one task).
+    sort every copy in one task).  The identifying columns travel once, inside
+    the packed key, not again in the row (a whole-text key is not shuffled
+    twice).
     """
-    key_cols = list(key_cols)
-    columns = [c for c in df.columns if c not in key_cols]
+    id_cols = list(id_cols)
+    columns = [c for c in df.columns if c not in KEY_COLS]
     order_by = as_list(order_by)
     missing = [c for c in order_by if c not in columns]
     if missing:
         raise ValueError(f"order_by columns not in the batch: {missing}")
-    row = F.struct(*[F.col(c) for c in [*order_by, *[c for c in columns if c not in order_by]]])
-    if order_by or orderable(df.select(*columns).schema):
-        pick = F.min(row)
+    payload = [c for c in columns if c not in id_cols]
+    ranked = [c for c in order_by if c not in id_cols]
+    row_cols = [*ranked, *[c for c in payload if c not in ranked]]
+    if not row_cols:
+        out = df.select(*KEY_COLS).distinct()
     else:
-        pick = F.first(row)
-    return df.groupBy(*key_cols).agg(pick.alias("__row")).select(
-        *key_cols, *[F.col(f"__row.{c}").alias(c) for c in columns]
-    )
+        row = F.struct(*[F.col(c) for c in row_cols])
+        pick = F.min(row) if ranked or orderable(df.select(*row_cols).schema) else F.first(row)
+        out = df.groupBy(*KEY_COLS).agg(pick.alias("__row"))
+    value = {c: F.col(f"{KEY_COL}.{c}") for c in id_cols}
+    value.update({c: F.col(f"__row.{c}") for c in payload})
+    return out.select(HASH_COL, KEY_COL, *[value[c].alias(c) for c in columns])
 
 
 def dedup_batch(
@@ -55,5 +62,5 @@ def dedup_batch(
     does not depend on how the input is partitioned.
     """
     cols = key_columns(part, keys, scope)
-    out = dedup_on(with_packed_key(df, cols), KEY_COLS, order_by)
+    out = dedup_on(with_packed_key(df, cols), cols, order_by)
     return out.select(*df.columns)

@@ -66,6 +66,15 @@ def estimate_partitions_by_date(
     )
 
 
+def require_partitions(estimate: DataFrame) -> int:
+    """The estimate as an int; an input location that estimates to no
+    partition at all (no input file) raises ``ValueError``."""
+    n = estimate.first()["estimate"]
+    if not n:
+        raise ValueError("number of partitions of the new data cannot be 0: no input files")
+    return int(n)
+
+
 def estimate_partitions_by_files(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """One row ``estimate``: number of distinct input files."""
     return paths.agg(F.count_distinct(path_col).alias("estimate"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from increload.functions.keys import KEY_COLS, as_list, key_columns, packed_key, with_packed_key
+from increload.functions.keys import as_list, key_columns, packed_key, with_packed_key
 from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, anti_on, prune_to_batch_partitions
 from increload.operators.dedup import dedup_on
 from increload.operators.keyindex import select_keys
@@ -43,7 +43,7 @@ def new_rows(
     batch's partition values before the join (partition scope).
     """
     cols = key_columns(part, keys, scope)
-    deduped = dedup_on(with_packed_key(batch, cols), KEY_COLS, order_by)
+    deduped = dedup_on(with_packed_key(batch, cols), cols, order_by)
     if known_keys is not None:
         if scope == "partition" and part is not None and prune:
             known_keys = prune_to_batch_partitions(known_keys, batch, part, max_prune_values)

@@ -102,3 +102,15 @@ def test_layout_by_bucket_places_rows(spark, spread):
     if spread > 1:
         # one bucket is spread over several partitions
         assert check.where(F.col("bucket") == 0).select("pid").distinct().count() > 1
+
+
+def test_empty_location_is_rejected(spark, tmp_path):
+    from increload import require_partitions
+
+    d = tmp_path / "empty"
+    _touch(d, ["_SUCCESS"])
+    paths = list_input_files(spark, str(d))
+    with pytest.raises(ValueError):
+        require_partitions(estimate_partitions_by_files(paths))
+    _touch(d, ["20170101.csv"])
+    assert require_partitions(estimate_partitions_by_date(list_input_files(spark, str(d)), path_col="segment")) == 1
