@@ -22,7 +22,7 @@ from increload.operators.layout import (
 from increload.operators.setops import except_rows, replay_split, replay_split_values
 from increload.plans.job import LoadReport, run_load_job
 from increload.plans.load import LoadResult, incremental_load
-from increload.plans.sql_baseline import sql_dedup
+from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
 from increload.sources.files import list_input_files, read_csv_dir, trim_column_names, with_partition_column
 from increload.sources.tables import (
     append_delta,
@@ -64,6 +64,7 @@ __all__ = [
     "run_load_job",
     "select_keys",
     "sql_dedup",
+    "sql_dedup_text",
     "trim_column_names",
     "with_bucket",
     "with_partition_column",

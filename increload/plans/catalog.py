@@ -32,7 +32,7 @@ from increload.operators.layout import (
 from increload.operators.setops import except_rows, replay_split
 from increload.plans.job import run_load_job
 from increload.plans.load import incremental_load
-from increload.plans.sql_baseline import sql_dedup
+from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
 from increload.session import shared_scratch
 from increload.sources import tables
 from increload.sources.files import read_csv_dir, trim_column_names, with_partition_column
@@ -321,6 +321,16 @@ def q_sql_dedup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_dedup(batch, existing, "day", EVENT_KEYS, output="one")
 
 
+def q_sql_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = events_increment(spark, sf_dir)
+    return sql_dedup_text(batch, existing, "day", EVENT_KEYS, ["value", "props"], output="counts")
+
+
+def q_sql_join_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = events_increment(spark, sf_dir)
+    return sql_dedup_text(batch, existing, "day", EVENT_KEYS, output="one")
+
+
 _SQL_BASELINE_KEPT = f"""
 WITH {_EV},
 rt AS (SELECT DISTINCT user_id, event_type FROM ex
@@ -528,6 +538,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anti_join_global": q_anti_join_global,
     "sql_dedup_counts": q_sql_dedup_counts,
     "sql_dedup_one": q_sql_dedup_one,
+    "sql_join_counts": q_sql_join_counts,
+    "sql_join_one": q_sql_join_one,
     "batch_partitions": q_batch_partitions,
     "partition_count": q_partition_count,
     "replay_split": q_replay_split,
@@ -557,6 +569,8 @@ ORACLE_SQL: dict[str, str] = {
     "anti_join_global": _SQL_ANTI_GLOBAL,
     "sql_dedup_counts": _SQL_BASELINE_COUNTS,
     "sql_dedup_one": _SQL_BASELINE_ONE,
+    "sql_join_counts": _SQL_BASELINE_COUNTS,
+    "sql_join_one": _SQL_BASELINE_ONE,
     "batch_partitions": _SQL_BATCH_PARTITIONS,
     "partition_count": _SQL_PARTITION_COUNT,
     "replay_split": _SQL_REPLAY_SPLIT,

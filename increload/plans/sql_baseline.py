@@ -18,6 +18,7 @@ materialising matched pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -51,3 +52,63 @@ def sql_dedup(
         one = F.min(F.struct(*rest)).alias("__row")
         return kept.groupBy(*group).agg(one).select(*group, *[F.col(f"__row.{c}").alias(c) for c in rest])
     raise ValueError("output must be 'counts' or 'one'")
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_dedup_text(
+    batch: DataFrame,
+    existing: DataFrame,
+    part: str,
+    keys: str | Sequence[str],
+    value_cols: Sequence[str] | None = None,
+    output: str = "counts",
+    max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
+) -> DataFrame:
+    """:func:`sql_dedup` written as Spark SQL over temporary views, the way
+    the baseline is usually run: a left outer join on ``<=>`` plus an
+    ``IS NULL`` test.  Same result as :func:`sql_dedup`.
+
+    The master side is the pruned, distinct key set, so a key present many
+    times in master cannot multiply batch rows.  The views are dropped once
+    the query is analysed (the plan keeps what it read).
+    """
+    keys = as_list(keys)
+    spark = batch.sparkSession
+    master_keys = prune_to_batch_partitions(existing.select(part, *keys), batch, part, max_prune_values)
+    tag = uuid.uuid4().hex
+    feed, master = f"increload_feed_{tag}", f"increload_master_{tag}"
+    batch.createOrReplaceTempView(feed)
+    master_keys.createOrReplaceTempView(master)
+    try:
+        rk = [f"rk{i}" for i in range(len(keys))]
+        right = ", ".join(f"{_q(k)} AS {r}" for k, r in zip(keys, rk))
+        not_all_null = " OR ".join(f"{_q(k)} IS NOT NULL" for k in keys)
+        on = " AND ".join(f"lf.{_q(k)} <=> rt.{r}" for k, r in zip(keys, rk))
+        unmatched = " AND ".join(f"rt.{r} IS NULL" for r in rk)
+        kept = (
+            f"SELECT lf.* FROM {feed} lf LEFT OUTER JOIN "
+            f"(SELECT DISTINCT {right} FROM {master} WHERE {not_all_null}) rt ON {on} WHERE {unmatched}"
+        )
+        group = [*keys, part]
+        group_sql = ", ".join(_q(c) for c in group)
+        if output == "counts":
+            values = as_list(value_cols) if value_cols else [c for c in batch.columns if c not in group]
+            aggs = ", ".join(f"count({_q(c)}) AS {_q('n_' + c)}" for c in values)
+            sql = f"SELECT {group_sql}, {aggs} FROM ({kept}) t GROUP BY {group_sql}"
+        elif output == "one":
+            rest = [c for c in batch.columns if c not in group]
+            fields = ", ".join(f"'{c}', {_q(c)}" for c in rest)
+            picked = ", ".join(f"r.{_q(c)} AS {_q(c)}" for c in rest)
+            sql = (
+                f"SELECT {group_sql}, {picked} FROM (SELECT {group_sql}, min(named_struct({fields})) AS r "
+                f"FROM ({kept}) t GROUP BY {group_sql}) g"
+            )
+        else:
+            raise ValueError("output must be 'counts' or 'one'")
+        return spark.sql(sql)
+    finally:
+        spark.catalog.dropTempView(feed)
+        spark.catalog.dropTempView(master)
