@@ -26,6 +26,7 @@ from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
 from increload.sources.files import list_input_files, read_csv_dir, trim_column_names, with_partition_column
 from increload.sources.tables import (
     append_delta,
+    compact_key_index,
     existing_keys,
     index_coverage,
     read_key_index,
@@ -40,6 +41,7 @@ __all__ = [
     "append_delta",
     "batch_partitions",
     "bucket_profile",
+    "compact_key_index",
     "build_key_index",
     "dedup_batch",
     "estimate_partitions_by_date",

@@ -49,6 +49,8 @@ def run_load_job(
     keys = as_list(keys)
     key_schema = tables.key_schema_of(batch.schema, part, keys)
     cov = tables.coverage_lists(spark, base, exclude=[batch_id])
+    if cov.compacted is not None and batch_id <= cov.compacted:
+        raise ValueError(f"batch {batch_id} is already merged into the index compaction up to {cov.compacted}")
     known = tables.existing_keys(spark, base, key_schema, coverage=cov)
     delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values)
 

@@ -6,6 +6,8 @@ Layout under ``base`` (every directory written once per batch, never edited):
     index/batch_id=K/<part>=v/*.parquet      key tuples of batch K's delta
     commits/stage=data/batch_id=K/           one row (n) after the delta landed
     commits/stage=index/batch_id=K/          one row (n) after the keys landed
+    index_compact/upto=C/<part>=v/*.parquet  every key of batches <= C, merged
+    commits/stage=compact/batch_id=C/        one row (n) after the merge landed
 
 A batch is visible only once its ``data`` commit exists, so a crash before
 it leaves nothing behind that a reader sees, and the retry overwrites the
@@ -13,6 +15,10 @@ batch directory.  A batch with ``data`` but no ``index`` commit has its keys
 rebuilt from its own master directory.  Old index entries are never
 rewritten, so no reader can see a half-deleted index.  One writer per
 ``base`` at a time (plain Parquet has no cross-job lock).
+
+Readers list only the directories they need (explicit paths, not the whole
+tree), and :func:`compact_key_index` merges the per-batch index directories
+into one, so the listing a load does stays small however many loads ran.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from increload.functions.keys import as_list
 
 MASTER = "master"
 INDEX = "index"
+COMPACT = "index_compact"
 COMMITS = "commits"
 BATCH_COL = "batch_id"
 
@@ -90,11 +97,13 @@ def index_coverage(spark: SparkSession, base: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Coverage:
-    """Committed batch ids: all with data, those with an index, those without."""
+    """Committed batch ids: all with data; above the latest compaction, those
+    with an index and those without; and the latest compaction (or ``None``)."""
 
     data: tuple[int, ...]
     covered: tuple[int, ...]
     missing: tuple[int, ...]
+    compacted: int | None = None
 
 
 def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ()) -> Coverage:
@@ -106,12 +115,18 @@ def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ())
     skip = {int(b) for b in exclude}
     data: set[int] = set()
     indexed: set[int] = set()
+    compactions: set[int] = set()
     for r in read_commits(spark, base).collect():
         b = int(r[BATCH_COL])
-        if b in skip:
-            continue
-        (data if r["stage"] == "data" else indexed).add(b)
-    return Coverage(tuple(sorted(data)), tuple(sorted(data & indexed)), tuple(sorted(data - indexed)))
+        if r["stage"] == "compact":
+            compactions.add(b)
+        elif b not in skip:
+            (data if r["stage"] == "data" else indexed).add(b)
+    upto = max(compactions) if compactions else None
+    newer = {b for b in data if upto is None or b > upto}
+    return Coverage(
+        tuple(sorted(data)), tuple(sorted(newer & indexed)), tuple(sorted(newer - indexed)), upto
+    )
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
@@ -143,12 +158,18 @@ def append_delta(df: DataFrame, base: str, batch_id: int, part: str | None) -> N
     writer.parquet(batch_dir(base, MASTER, batch_id))
 
 
+def _rebalanced_writer(df: DataFrame, part: str | None):
+    """Writer partitioned by ``part``; AQE rebalances rows first so that each
+    partition value lands in few files (a hot value is split, small ones are
+    merged).  Used for key tables, whose rows are small."""
+    if part is None:
+        return df.hint("rebalance").write.mode("overwrite")
+    return df.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
+
+
 def write_key_index(keys: DataFrame, base: str, batch_id: int, part: str | None) -> None:
     """Write one batch's key tuples to its own index directory."""
-    writer = keys.drop(BATCH_COL).write.mode("overwrite")
-    if part is not None:
-        writer = writer.partitionBy(part)
-    writer.parquet(batch_dir(base, INDEX, batch_id))
+    _rebalanced_writer(keys.drop(BATCH_COL), part).parquet(batch_dir(base, INDEX, batch_id))
 
 
 def read_master(
@@ -173,14 +194,40 @@ def read_master(
     return _read_batches(spark, base, MASTER, data, schema)
 
 
+def _read_compaction(spark: SparkSession, base: str, upto: int, key_schema: T.StructType) -> DataFrame:
+    schema = _with_batch(key_schema)
+    df = spark.read.schema(schema).parquet(_join(base, COMPACT, f"upto={int(upto)}"))
+    return df.select(*schema.fieldNames())
+
+
+def _key_sources(spark: SparkSession, base: str, key_schema: T.StructType, cov: Coverage) -> list[DataFrame]:
+    """``(part, *keys, batch_id)`` of every loaded batch, from the cheapest
+    place holding it: the compaction, the per-batch index, or master."""
+    cols = _with_batch(key_schema).fieldNames()
+    out = []
+    if cov.compacted is not None:
+        out.append(_read_compaction(spark, base, cov.compacted, key_schema))
+    if cov.covered:
+        out.append(_read_batches(spark, base, INDEX, cov.covered, key_schema).select(*cols))
+    if cov.missing:
+        out.append(_read_batches(spark, base, MASTER, cov.missing, key_schema).select(*cols))
+    return out
+
+
 def read_key_index(
     spark: SparkSession,
     base: str,
-    key_schema: T.StructType | None = None,
+    key_schema: T.StructType,
     exclude: Iterable[int] = (),
-) -> DataFrame | None:
-    """The stored index of every batch that has both commits: ``(part, *keys, batch_id)``."""
-    return _read_batches(spark, base, INDEX, coverage_lists(spark, base, exclude).covered, key_schema)
+) -> DataFrame:
+    """The stored index ``(part, *keys, batch_id)``: the latest compaction plus
+    every newer batch that has both commits."""
+    cov = coverage_lists(spark, base, exclude)
+    cov = Coverage(cov.data, cov.covered, (), cov.compacted)
+    parts = _key_sources(spark, base, key_schema, cov)
+    if not parts:
+        return spark.createDataFrame([], _with_batch(key_schema))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def key_schema_of(schema: T.StructType, part: str | None, keys: str | Sequence[str]) -> T.StructType:
@@ -200,13 +247,43 @@ def existing_keys(
     from their master directories.  ``None`` when nothing is loaded.
     """
     cov = coverage if coverage is not None else coverage_lists(spark, base, exclude)
-    covered, missing = cov.covered, cov.missing
     if not cov.data:
         return None
     cols = key_schema.fieldNames()
-    parts = []
-    if covered:
-        parts.append(_read_batches(spark, base, INDEX, covered, key_schema).select(*cols))
-    if missing:
-        parts.append(_read_batches(spark, base, MASTER, missing, key_schema).select(*cols))
+    parts = [p.select(*cols) for p in _key_sources(spark, base, key_schema, cov)]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def compact_key_index(
+    spark: SparkSession,
+    base: str,
+    key_schema: T.StructType,
+    part: str | None,
+    through: int | None = None,
+) -> int | None:
+    """Merge the index of every committed batch up to ``through`` (default:
+    all) into ``index_compact/upto=C``, then commit it.
+
+    Batches without an index commit get their keys from master here, so the
+    compaction is complete.  Loads afterwards read the compaction plus the
+    newer batches only.  Batches up to ``C`` can no longer be re-loaded
+    (their keys are merged); a retry of one raises.  Returns ``C``.
+    """
+    cov = coverage_lists(spark, base)
+    if not cov.data:
+        return cov.compacted
+    upto = max(cov.data) if through is None else int(through)
+    if cov.compacted is not None and upto <= cov.compacted:
+        return cov.compacted
+    take = Coverage(
+        cov.data,
+        tuple(b for b in cov.covered if b <= upto),
+        tuple(b for b in cov.missing if b <= upto),
+        cov.compacted,
+    )
+    merged = reduce(lambda a, b: a.unionByName(b), _key_sources(spark, base, key_schema, take))
+    path = _join(base, COMPACT, f"upto={upto}")
+    _rebalanced_writer(merged, part).parquet(path)
+    n = spark.read.schema(_with_batch(key_schema)).parquet(path).count()
+    write_commit(spark, base, "compact", upto, n)
+    return upto

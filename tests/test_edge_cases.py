@@ -155,3 +155,32 @@ def test_sql_text_baseline_agrees(spark, output):
     # key-only matching: q loaded in part 2 (a part the batch touches) filters q in part 3
     assert ("q",) not in {(r["k"],) for r in b.collect()}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("increload_")]
+
+
+def test_compaction_merges_and_later_loads_read_only_it(spark, tmp_base):
+    from increload import compact_key_index, read_key_index
+
+    b1 = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (2, "a", "x")], S)
+    b2 = spark.createDataFrame([(1, "c", "x"), (2, "b", "x")], S)
+    run_load_job(spark, b1, tmp_base, 1, "part", ["k"])
+    # batch 2's index is lost: compaction must take its keys from master
+    append_delta(b2, tmp_base, 2, "part")
+    tables.write_commit(spark, tmp_base, "data", 2, 2)
+    ks = tables.key_schema_of(b1.schema, "part", ["k"])
+    assert compact_key_index(spark, tmp_base, ks, "part") == 2
+    assert compact_key_index(spark, tmp_base, ks, "part") == 2  # nothing new: no-op
+    idx = read_key_index(spark, tmp_base, ks)
+    assert rows(idx, "part", "k", "batch_id") == rows(
+        spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (1, "c", 2), (2, "b", 2)], "part int, k string, batch_id long")
+    )
+    b3 = b1.unionByName(b2).unionByName(spark.createDataFrame([(3, "a", "x")], S))
+    assert run_load_job(spark, b3, tmp_base, 3, "part", ["k"]).n_rows == 1
+    known = tables.existing_keys(spark, tmp_base, ks, exclude=[4])
+    files = known.inputFiles()
+    assert files and all("/index_compact/upto=2/" in f or "/index/batch_id=3/" in f for f in files)
+    with pytest.raises(ValueError):
+        run_load_job(spark, b2, tmp_base, 2, "part", ["k"])
+    # a second compaction folds in batch 3 and the first compaction
+    assert compact_key_index(spark, tmp_base, ks, "part") == 3
+    assert read_key_index(spark, tmp_base, ks).count() == 6
+    assert read_master(spark, tmp_base, b1.schema).count() == 6
