@@ -27,6 +27,7 @@ from increload.operators.layout import (
     bucket_profile,
     estimate_partitions_by_date,
     estimate_partitions_by_files,
+    layout_by_bucket,
     with_bucket,
 )
 from increload.operators.setops import except_rows, replay_split
@@ -36,6 +37,7 @@ from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
 from increload.session import shared_scratch
 from increload.sources import tables
 from increload.sources.files import read_csv_dir, trim_column_names, with_partition_column
+from increload.streaming.micro_batch import load_stream
 
 # Fixed split points of the test increments.
 EVENTS_SPLIT_DAY = 20240116  # loaded: days before; new: this day on
@@ -182,6 +184,19 @@ SELECT * FROM dd WHERE NOT EXISTS (
 """
 
 
+def q_load_unpartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First load of web pages with no partition column, keyed by the whole page."""
+    pages = _read(spark, sf_dir, "pages")
+    return incremental_load(pages, None, None, None, ["html"], order_by=["page_id"]).delta
+
+
+_SQL_LOAD_UNPARTITIONED = f"""
+SELECT page_id, url, html FROM (
+    SELECT *, row_number() OVER (PARTITION BY html ORDER BY {_nulls_first(['page_id', 'url'])}) AS rn
+    FROM pages) WHERE rn = 1
+"""
+
+
 # ---------------------------------------------------------------- dedup
 
 
@@ -426,6 +441,21 @@ FROM orders GROUP BY 1
 """
 
 
+def q_layout_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders laid out by bucket of their order day (7 buckets, each spread
+    over 4 partitions); ``placed_bucket`` is read back from the partition id."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", yyyymmdd("o_orderdate").alias("day"))
+    laid = with_bucket(layout_by_bucket(o, "day", 7, spread=4), "day", 7)
+    return laid.select("o_orderkey", "day", "bucket", (F.spark_partition_id() / 4).cast("int").alias("placed_bucket"))
+
+
+_SQL_LAYOUT = """
+SELECT o_orderkey, day, CAST(day % 7 AS INTEGER) AS bucket, CAST(day % 7 AS INTEGER) AS placed_bucket
+FROM (SELECT o_orderkey, CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER) AS day
+      FROM orders)
+"""
+
+
 def _event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing-file names an hourly export of events would have; errors land
     in one undated file."""
@@ -520,7 +550,7 @@ def q_csv_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing, batch = events_increment(spark, sf_dir)
 
     def drop_csv(df: DataFrame, name: str) -> None:
-        cols = ["event_id", "user_id", "event_type", "value", "day"]
+        cols = ["event_id", "user_id", "event_type", "props", "day"]
         out = df.select(*[F.col(c).cast("string").alias(c if i == 0 else f" {c}") for i, c in enumerate(cols)])
         out.write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
 
@@ -531,12 +561,51 @@ def q_csv_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_load(new, old, None, "part", ["event_id"]).delta
 
 
+_SQL_CSV_DEMO = f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props,
+       CAST(day AS VARCHAR) AS day, day AS part
+FROM ({_SQL_LOAD_EVENTS})
+"""
+
+
+def q_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events delivered as three file drops (first half, second half, second
+    half again) and loaded by a streaming query, one micro-batch per drop;
+    the master table afterwards."""
+    ev = events(spark, sf_dir)
+    root = shared_scratch(spark, "stream-load")
+    early = F.col("day") < EVENTS_SPLIT_DAY
+    for i, cond in enumerate([early, ~early, ~early]):
+        ev.where(cond).write.mode("overwrite").parquet(f"{root}/landing/drop={i}")
+    stream = (
+        spark.readStream.schema(ev.schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True)
+        .parquet(f"{root}/landing")
+    )
+    q = load_stream(stream, f"{root}/tables", "day", ["event_id"], f"{root}/checkpoint", trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return tables.read_master(spark, f"{root}/tables", ev.schema).drop("batch_id")
+
+
+_SQL_STREAM_LOAD = f"""
+WITH {_EV}
+SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY day, event_id
+                                 ORDER BY {_nulls_first(['ts', 'user_id', 'event_type', 'value', 'props'])}) AS rn
+    FROM ev) WHERE rn = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_with_index": q_load_with_index,
     "load_index_lost": q_load_index_lost,
     "load_first": q_load_first,
     "load_global_scope": q_load_global_scope,
     "load_partition_scope": q_load_partition_scope,
+    "load_unpartitioned": q_load_unpartitioned,
     "dedup_ordered": q_dedup_ordered,
     "dedup_any_keys": q_dedup_any_keys,
     "key_index_build": q_key_index_build,
@@ -555,12 +624,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "except_rows": q_except_rows,
     "with_bucket": q_with_bucket,
     "bucket_profile": q_bucket_profile,
+    "layout_by_bucket": q_layout_by_bucket,
     "estimate_by_date": q_estimate_by_date,
     "estimate_by_files": q_estimate_by_files,
     "run_load_job": q_run_load_job,
     "stored_index": q_stored_index,
     "compacted_index": q_compacted_index,
     "csv_demo": q_csv_demo,
+    "stream_load": q_stream_load,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -569,6 +640,7 @@ ORACLE_SQL: dict[str, str] = {
     "load_first": _SQL_LOAD_FIRST,
     "load_global_scope": _SQL_LOAD_GLOBAL,
     "load_partition_scope": _SQL_LOAD_PARTITION,
+    "load_unpartitioned": _SQL_LOAD_UNPARTITIONED,
     "dedup_ordered": _SQL_DEDUP_ORDERED,
     "dedup_any_keys": _SQL_DEDUP_ANY,
     "key_index_build": _SQL_INDEX_BUILD,
@@ -587,9 +659,12 @@ ORACLE_SQL: dict[str, str] = {
     "except_rows": _SQL_EXCEPT_ROWS,
     "with_bucket": _SQL_WITH_BUCKET,
     "bucket_profile": _SQL_BUCKET_PROFILE,
+    "layout_by_bucket": _SQL_LAYOUT,
     "estimate_by_date": _SQL_ESTIMATE_DATE,
     "estimate_by_files": _SQL_ESTIMATE_FILES,
     "run_load_job": _SQL_RUN_LOAD_JOB,
     "stored_index": _SQL_STORED_INDEX,
     "compacted_index": _SQL_STORED_INDEX,
+    "csv_demo": _SQL_CSV_DEMO,
+    "stream_load": _SQL_STREAM_LOAD,
 }
