@@ -15,11 +15,19 @@ def shared_scratch(spark: SparkSession, name: str = "scratch") -> str:
     used as is.  Only a local-mode session without one (tests, laptops) gets
     a temporary directory, registered as its checkpoint dir.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for scratch tables")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="increload-ckpt-"))
-        root = sc.getCheckpointDir()
+        try:
+            sc = spark.sparkContext
+        except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+            sc = None
+        if sc is not None:
+            root = sc.getCheckpointDir()
+            if not root:
+                if not sc.master.startswith("local"):
+                    raise RuntimeError("set spark.checkpoint.dir to a shared folder for scratch tables")
+                sc.setCheckpointDir(tempfile.mkdtemp(prefix="increload-ckpt-"))
+                root = sc.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for scratch tables")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
