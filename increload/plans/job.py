@@ -57,10 +57,10 @@ def run_load_job(
     tables.append_delta(delta, base, batch_id, part)
     written = spark.read.schema(batch.schema).parquet(tables.batch_dir(base, tables.MASTER, batch_id))
     n = written.count()
-    tables.write_commit(spark, base, "data", batch_id, n)
+    tables.write_commit(spark, base, "data", batch_id, n, cov.compacted)
 
     tables.write_key_index(written.select(*key_schema.fieldNames()), base, batch_id, part)
-    tables.write_commit(spark, base, "index", batch_id, n)
+    tables.write_commit(spark, base, "index", batch_id, n, cov.compacted)
     return LoadReport(int(batch_id), int(n), not cov.data, cov.missing)
 
 

@@ -1,13 +1,14 @@
 """Crash-safe storage of the master table, the key index and batch commits.
 
-Layout under ``base`` (every directory written once per batch, never edited):
+Layout under ``base`` (every directory written once, never edited):
 
-    master/batch_id=K/<part>=v/*.parquet     delta rows of batch K
-    index/batch_id=K/<part>=v/*.parquet      key tuples of batch K's delta
-    commits/stage=data/batch_id=K/           one row (n) after the delta landed
-    commits/stage=index/batch_id=K/          one row (n) after the keys landed
-    index_compact/upto=C/<part>=v/*.parquet  every key of batches <= C, merged
-    commits/stage=compact/batch_id=C/        one row (n) after the merge landed
+    master/batch_id=K/<part>=v/*.parquet       delta rows of batch K
+    index/batch_id=K/<part>=v/*.parquet        key tuples of batch K's delta
+    commits/gen=G/stage=data/batch_id=K/       one row (n) after the delta landed
+    commits/gen=G/stage=index/batch_id=K/      one row (n) after the keys landed
+    index_compact/upto=C/<part>=v/*.parquet    every key of batches <= C, merged
+    commits_compact/upto=C/                    every commit row as of compaction C
+    compactions/upto=C/                        marker, written last
 
 A batch is visible only once its ``data`` commit exists, so a crash before
 it leaves nothing behind that a reader sees, and the retry overwrites the
@@ -16,9 +17,12 @@ rebuilt from its own master directory.  Old index entries are never
 rewritten, so no reader can see a half-deleted index.  One writer per
 ``base`` at a time (plain Parquet has no cross-job lock).
 
-Readers list only the directories they need (explicit paths, not the whole
-tree), and :func:`compact_key_index` merges the per-batch index directories
-into one, so the listing a load does stays small however many loads ran.
+What a load reads stays small however many loads ran: readers pass explicit
+directories instead of listing whole trees, and :func:`compact_key_index`
+merges the per-batch index directories into one and rolls the commit log
+over.  Commits are written to generation ``G = C + 1`` of the latest
+compaction ``C`` (``G = 0`` before any), so a reader lists the compaction
+markers, reads one compacted commit file set and the current generation.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ MASTER = "master"
 INDEX = "index"
 COMPACT = "index_compact"
 COMMITS = "commits"
+COMMITS_COMPACT = "commits_compact"
+COMPACTIONS = "compactions"
 BATCH_COL = "batch_id"
 
 COMMIT_SCHEMA = T.StructType(
@@ -47,6 +53,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField(BATCH_COL, T.LongType()),
     ]
 )
+MARKER_SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("upto", T.LongType())])
 
 
 def _join(base: str, *parts: str) -> str:
@@ -61,27 +68,52 @@ def _missing_path(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
 
 
-def read_commits(spark: SparkSession, base: str) -> DataFrame:
-    """All commit rows ``(batch_id, stage, n)``; empty when nothing was committed."""
+def _read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     try:
-        df = spark.read.schema(COMMIT_SCHEMA).parquet(_join(base, COMMITS))
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if not _missing_path(e):
             raise
-        df = spark.createDataFrame([], COMMIT_SCHEMA)
-    return df.select(BATCH_COL, "stage", "n")
+        return spark.createDataFrame([], schema)
+
+
+def latest_compaction(spark: SparkSession, base: str) -> int | None:
+    """Id of the latest committed compaction, or ``None``.  One row per
+    compaction ever run reaches the driver."""
+    ids = [r["upto"] for r in _read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto").collect()]
+    return max(ids) if ids else None
+
+
+def _generation(compacted: int | None) -> int:
+    return 0 if compacted is None else int(compacted) + 1
 
 
-def write_commit(spark: SparkSession, base: str, stage: str, batch_id: int, n: int) -> None:
+_AUTO = object()
+
+
+def read_commits(spark: SparkSession, base: str, compacted=_AUTO) -> DataFrame:
+    """All commit rows ``(batch_id, stage, n)``; empty when nothing was committed."""
+    c = latest_compaction(spark, base) if compacted is _AUTO else compacted
+    gen = _read_or_empty(spark, COMMIT_SCHEMA, _join(base, COMMITS, f"gen={_generation(c)}"))
+    rows = gen.select(BATCH_COL, "stage", "n")
+    if c is not None:
+        old = spark.read.schema(COMMIT_SCHEMA).parquet(_join(base, COMMITS_COMPACT, f"upto={int(c)}"))
+        rows = old.select(BATCH_COL, "stage", "n").unionByName(rows)
+    return rows
+
+
+def write_commit(spark: SparkSession, base: str, stage: str, batch_id: int, n: int, compacted=_AUTO) -> None:
+    """Record that ``stage`` of batch ``batch_id`` landed (in the current generation)."""
+    c = latest_compaction(spark, base) if compacted is _AUTO else compacted
     row = spark.createDataFrame([(int(n),)], "n long")
-    row.coalesce(1).write.mode("overwrite").parquet(_join(base, COMMITS, f"stage={stage}", f"{BATCH_COL}={int(batch_id)}"))
+    path = _join(base, COMMITS, f"gen={_generation(c)}", f"stage={stage}", f"{BATCH_COL}={int(batch_id)}")
+    row.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def coverage_of(commits: DataFrame) -> DataFrame:
     """Per committed data batch: ``(batch_id, n_rows, has_index)``.
 
-    Index commits without a data commit (a crash between a retry's delete and
-    its write) are ignored.
+    Index commits without a data commit are ignored.
     """
     data = commits.where(F.col("stage") == "data").groupBy(BATCH_COL).agg(F.max("n").alias("n_rows"))
     idx = commits.where(F.col("stage") == "index").select(BATCH_COL, F.lit(True).alias("__idx")).distinct()
@@ -115,14 +147,11 @@ def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ())
     skip = {int(b) for b in exclude}
     data: set[int] = set()
     indexed: set[int] = set()
-    compactions: set[int] = set()
-    for r in read_commits(spark, base).collect():
+    upto = latest_compaction(spark, base)
+    for r in read_commits(spark, base, upto).collect():
         b = int(r[BATCH_COL])
-        if r["stage"] == "compact":
-            compactions.add(b)
-        elif b not in skip:
+        if b not in skip:
             (data if r["stage"] == "data" else indexed).add(b)
-    upto = max(compactions) if compactions else None
     newer = {b for b in data if upto is None or b > upto}
     return Coverage(
         tuple(sorted(data)), tuple(sorted(newer & indexed)), tuple(sorted(newer - indexed)), upto
@@ -285,5 +314,17 @@ def compact_key_index(
     path = _join(base, COMPACT, f"upto={upto}")
     _rebalanced_writer(merged, part).parquet(path)
     n = spark.read.schema(_with_batch(key_schema)).parquet(path).count()
-    write_commit(spark, base, "compact", upto, n)
+    # Roll the commit log: every batch up to C counts as indexed (its keys are
+    # in the compaction); later batches keep their rows as they are.
+    rows = read_commits(spark, base, cov.compacted)
+    data = rows.where(F.col("stage") == "data")
+    merged_rows = (
+        rows.where(F.col(BATCH_COL) > upto)
+        .unionByName(data.where(F.col(BATCH_COL) <= upto))
+        .unionByName(data.where(F.col(BATCH_COL) <= upto).withColumn("stage", F.lit("index")))
+        .select("n", "stage", BATCH_COL)
+    )
+    merged_rows.coalesce(1).write.mode("overwrite").parquet(_join(base, COMMITS_COMPACT, f"upto={upto}"))
+    marker = spark.createDataFrame([(int(n),)], "n long")
+    marker.coalesce(1).write.mode("overwrite").parquet(_join(base, COMPACTIONS, f"upto={upto}"))
     return upto

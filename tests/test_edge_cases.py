@@ -184,3 +184,30 @@ def test_compaction_merges_and_later_loads_read_only_it(spark, tmp_base):
     assert compact_key_index(spark, tmp_base, ks, "part") == 3
     assert read_key_index(spark, tmp_base, ks).count() == 6
     assert read_master(spark, tmp_base, b1.schema).count() == 6
+
+
+def test_compaction_rolls_the_commit_log(spark, tmp_base):
+    from increload import compact_key_index
+
+    mk = lambda rows: spark.createDataFrame(rows, S)
+    ks = tables.key_schema_of(mk([(1, "a", "x")]).schema, "part", ["k"])
+    run_load_job(spark, mk([(1, "a", "x")]), tmp_base, 1, "part", ["k"])
+    run_load_job(spark, mk([(1, "b", "x")]), tmp_base, 2, "part", ["k"])
+    run_load_job(spark, mk([(1, "c", "x")]), tmp_base, 3, "part", ["k"])
+    # partial compaction: batch 3 is carried over as it is
+    assert compact_key_index(spark, tmp_base, ks, "part", through=2) == 2
+    cov = tables.coverage_lists(spark, tmp_base)
+    assert (cov.data, cov.covered, cov.missing, cov.compacted) == ((1, 2, 3), (3,), (), 2)
+    run_load_job(spark, mk([(1, "a", "x"), (1, "d", "x")]), tmp_base, 4, "part", ["k"])
+    files = tables.read_commits(spark, tmp_base).inputFiles()
+    assert files and all("/commits_compact/upto=2/" in f or "/commits/gen=3/" in f for f in files)
+    assert {r["batch_id"]: r["has_index"] for r in index_coverage(spark, tmp_base).collect()} == {
+        1: True, 2: True, 3: True, 4: True,
+    }
+    # a compaction that dies before its marker is ignored
+    spark.createDataFrame([], tables.COMMIT_SCHEMA).write.mode("overwrite").parquet(f"{tmp_base}/commits_compact/upto=9")
+    assert tables.latest_compaction(spark, tmp_base) == 2
+    assert read_master(spark, tmp_base, mk([(1, "a", "x")]).schema).count() == 4
+    assert compact_key_index(spark, tmp_base, ks, "part") == 4
+    assert tables.coverage_lists(spark, tmp_base).data == (1, 2, 3, 4)
+    assert run_load_job(spark, mk([(1, "d", "y"), (1, "e", "x")]), tmp_base, 5, "part", ["k"]).n_rows == 1
