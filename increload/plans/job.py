@@ -48,7 +48,7 @@ def run_load_job(
     """
     keys = as_list(keys)
     key_schema = tables.key_schema_of(batch.schema, part, keys)
-    cov = tables.coverage_lists(spark, base, exclude=[batch_id])
+    cov = tables.coverage_lists(spark, base, exclude=[batch_id], full=False)
     if cov.compacted is not None and batch_id <= cov.compacted:
         raise ValueError(f"batch {batch_id} is already merged into the index compaction up to {cov.compacted}")
     known = tables.existing_keys(spark, base, key_schema, coverage=cov)
@@ -61,7 +61,7 @@ def run_load_job(
 
     tables.write_key_index(written.select(*key_schema.fieldNames()), base, batch_id, part)
     tables.write_commit(spark, base, "index", batch_id, n, cov.compacted)
-    return LoadReport(int(batch_id), int(n), not cov.data, cov.missing)
+    return LoadReport(int(batch_id), int(n), not cov.loaded, cov.missing)
 
 
 def load_result_rows(spark: SparkSession, base: str, schema, batch_id: int) -> DataFrame:

@@ -137,18 +137,29 @@ class Coverage:
     missing: tuple[int, ...]
     compacted: int | None = None
 
+    @property
+    def loaded(self) -> bool:
+        """Is any batch loaded at all?"""
+        return bool(self.data) or self.compacted is not None
 
-def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = ()) -> Coverage:
+
+def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = (), full: bool = True) -> Coverage:
     """Batch ids from the commit table, minus ``exclude``.
 
     The commit table holds one row per load run and stage, not per data row,
-    so collecting it is bounded by the number of loads ever run.
+    so collecting it is bounded by the number of loads ever run.  With
+    ``full=False`` only batches newer than the latest compaction are
+    collected (``data`` then lists those only): all a load needs, since the
+    compaction stands for everything older.
     """
     skip = {int(b) for b in exclude}
     data: set[int] = set()
     indexed: set[int] = set()
     upto = latest_compaction(spark, base)
-    for r in read_commits(spark, base, upto).collect():
+    rows = read_commits(spark, base, upto)
+    if not full and upto is not None:
+        rows = rows.where(F.col(BATCH_COL) > upto)
+    for r in rows.collect():
         b = int(r[BATCH_COL])
         if b not in skip:
             (data if r["stage"] == "data" else indexed).add(b)
@@ -275,8 +286,8 @@ def existing_keys(
     the keys of committed batches whose index is missing, read (column-pruned)
     from their master directories.  ``None`` when nothing is loaded.
     """
-    cov = coverage if coverage is not None else coverage_lists(spark, base, exclude)
-    if not cov.data:
+    cov = coverage if coverage is not None else coverage_lists(spark, base, exclude, full=False)
+    if not cov.loaded:
         return None
     cols = key_schema.fieldNames()
     parts = [p.select(*cols) for p in _key_sources(spark, base, key_schema, cov)]

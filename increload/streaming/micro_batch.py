@@ -36,8 +36,9 @@ def load_stream(
 ) -> StreamingQuery:
     """Start a streaming query that loads every micro-batch into ``base``."""
     spark = stream.sparkSession
-    committed = tables.coverage_lists(spark, base).data
-    first_id = (max(committed) + 1) if committed else 0
+    cov = tables.coverage_lists(spark, base, full=False)
+    newest = max([*cov.data, *([cov.compacted] if cov.compacted is not None else [])], default=None)
+    first_id = 0 if newest is None else newest + 1
 
     def load(batch: DataFrame, epoch_id: int) -> None:
         run_load_job(batch.sparkSession, batch, base, first_id + epoch_id, part, keys, order_by, scope)
