@@ -47,6 +47,9 @@ def run_load_job(
     delta instead of recomputing it, and nothing is cached on executors.
     """
     keys = as_list(keys)
+    reserved = [c for c in batch.columns if c == tables.BATCH_COL or c.startswith("__increload")]
+    if reserved:
+        raise ValueError(f"batch columns {reserved} clash with the stored table's own columns; rename them")
     key_schema = tables.key_schema_of(batch.schema, part, keys)
     cov = tables.coverage_lists(spark, base, exclude=[batch_id], full=False)
     if cov.compacted is not None and batch_id <= cov.compacted:

@@ -211,3 +211,18 @@ def test_compaction_rolls_the_commit_log(spark, tmp_base):
     assert compact_key_index(spark, tmp_base, ks, "part") == 4
     assert tables.coverage_lists(spark, tmp_base).data == (1, 2, 3, 4)
     assert run_load_job(spark, mk([(1, "d", "y"), (1, "e", "x")]), tmp_base, 5, "part", ["k"]).n_rows == 1
+
+
+def test_stored_load_without_partition_column(spark, tmp_base):
+    s = "k long, v string"
+    run_load_job(spark, spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], s), tmp_base, 1, None, ["k"])
+    rep = run_load_job(spark, spark.createDataFrame([(2, "c"), (3, "c"), (None, "n")], s), tmp_base, 2, None, ["k"])
+    assert rep.n_rows == 2
+    master = read_master(spark, tmp_base, spark.createDataFrame([], s).schema)
+    assert rows(master, "k", "v") == rows(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "n")], s))
+
+
+def test_reserved_column_names_are_rejected(spark, tmp_base):
+    df = spark.createDataFrame([(1, "a", 7)], "part int, k string, batch_id long")
+    with pytest.raises(ValueError):
+        run_load_job(spark, df, tmp_base, 1, "part", ["k"])
