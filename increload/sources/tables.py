@@ -6,9 +6,9 @@ Layout under ``base`` (every directory written once, never edited):
     index/batch_id=K/<part>=v/*.parquet        key tuples of batch K's delta
     commits/gen=G/stage=data/batch_id=K/       one row (n) after the delta landed
     commits/gen=G/stage=index/batch_id=K/      one row (n) after the keys landed
-    index_compact/upto=C/<part>=v/*.parquet    every key of batches <= C, merged
+    index_compact/upto=C/<part>=v/*.parquet    keys of batches in (since, C], merged
     commits_compact/upto=C/                    every commit row as of compaction C
-    compactions/upto=C/                        marker, written last
+    compactions/upto=C/                        marker (n, since), written last
 
 A batch is visible only once its ``data`` commit exists, so a crash before
 it leaves nothing behind that a reader sees, and the retry overwrites the
@@ -23,6 +23,10 @@ merges the per-batch index directories into one and rolls the commit log
 over.  Commits are written to generation ``G = C + 1`` of the latest
 compaction ``C`` (``G = 0`` before any), so a reader lists the compaction
 markers, reads one compacted commit file set and the current generation.
+A compaction writes a segment holding only the keys added since the
+previous one (its cost follows the new keys, not the whole index); the
+markers chain the segments back to the last full one.  ``full=True``
+merges the chain into one segment.
 """
 
 from __future__ import annotations
@@ -53,7 +57,10 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField(BATCH_COL, T.LongType()),
     ]
 )
-MARKER_SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("upto", T.LongType())])
+MARKER_SCHEMA = T.StructType(
+    [T.StructField("n", T.LongType()), T.StructField("since", T.LongType()), T.StructField("upto", T.LongType())]
+)
+FULL = -1  # ``since`` of a segment that covers every batch up to its ``upto``
 
 
 def _join(base: str, *parts: str) -> str:
@@ -77,11 +84,31 @@ def _read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> Data
         return spark.createDataFrame([], schema)
 
 
+def _markers(spark: SparkSession, base: str) -> dict[int, int]:
+    """``upto -> since`` of every committed compaction (one row per
+    compaction ever run reaches the driver)."""
+    rows = _read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto", "since").collect()
+    return {int(r["upto"]): int(r["since"]) for r in rows}
+
+
+def _chain(markers: dict[int, int]) -> tuple[int, ...]:
+    """Segments to read, newest first: the latest one, then back along
+    ``since`` to a full one."""
+    if not markers:
+        return ()
+    out = [max(markers)]
+    while markers[out[-1]] != FULL:
+        prev = markers[out[-1]]
+        if prev not in markers:
+            raise RuntimeError(f"compaction {out[-1]} follows {prev}, which has no marker")
+        out.append(prev)
+    return tuple(out)
+
+
 def latest_compaction(spark: SparkSession, base: str) -> int | None:
-    """Id of the latest committed compaction, or ``None``.  One row per
-    compaction ever run reaches the driver."""
-    ids = [r["upto"] for r in _read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto").collect()]
-    return max(ids) if ids else None
+    """Id of the latest committed compaction, or ``None``."""
+    markers = _markers(spark, base)
+    return max(markers) if markers else None
 
 
 def _generation(compacted: int | None) -> int:
@@ -136,6 +163,7 @@ class Coverage:
     covered: tuple[int, ...]
     missing: tuple[int, ...]
     compacted: int | None = None
+    segments: tuple[int, ...] = ()
 
     @property
     def loaded(self) -> bool:
@@ -155,7 +183,8 @@ def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = (),
     skip = {int(b) for b in exclude}
     data: set[int] = set()
     indexed: set[int] = set()
-    upto = latest_compaction(spark, base)
+    segments = _chain(_markers(spark, base))
+    upto = segments[0] if segments else None
     rows = read_commits(spark, base, upto)
     if not full and upto is not None:
         rows = rows.where(F.col(BATCH_COL) > upto)
@@ -165,7 +194,7 @@ def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = (),
             (data if r["stage"] == "data" else indexed).add(b)
     newer = {b for b in data if upto is None or b > upto}
     return Coverage(
-        tuple(sorted(data)), tuple(sorted(newer & indexed)), tuple(sorted(newer - indexed)), upto
+        tuple(sorted(data)), tuple(sorted(newer & indexed)), tuple(sorted(newer - indexed)), upto, segments
     )
 
 
@@ -244,9 +273,7 @@ def _key_sources(spark: SparkSession, base: str, key_schema: T.StructType, cov:
     """``(part, *keys, batch_id)`` of every loaded batch, from the cheapest
     place holding it: the compaction, the per-batch index, or master."""
     cols = _with_batch(key_schema).fieldNames()
-    out = []
-    if cov.compacted is not None:
-        out.append(_read_compaction(spark, base, cov.compacted, key_schema))
+    out = [_read_compaction(spark, base, seg, key_schema) for seg in cov.segments]
     if cov.covered:
         out.append(_read_batches(spark, base, INDEX, cov.covered, key_schema).select(*cols))
     if cov.missing:
@@ -263,7 +290,7 @@ def read_key_index(
     """The stored index ``(part, *keys, batch_id)``: the latest compaction plus
     every newer batch that has both commits."""
     cov = coverage_lists(spark, base, exclude)
-    cov = Coverage(cov.data, cov.covered, (), cov.compacted)
+    cov = Coverage(cov.data, cov.covered, (), cov.compacted, cov.segments)
     parts = _key_sources(spark, base, key_schema, cov)
     if not parts:
         return spark.createDataFrame([], _with_batch(key_schema))
@@ -300,14 +327,18 @@ def compact_key_index(
     key_schema: T.StructType,
     part: str | None,
     through: int | None = None,
+    full: bool = False,
 ) -> int | None:
-    """Merge the index of every committed batch up to ``through`` (default:
-    all) into ``index_compact/upto=C``, then commit it.
-
-    Batches without an index commit get their keys from master here, so the
-    compaction is complete.  Loads afterwards read the compaction plus the
-    newer batches only.  Batches up to ``C`` can no longer be re-loaded
-    (their keys are merged); a retry of one raises.  Returns ``C``.
+    """Merge the index of the committed batches up to ``through`` (default:
+    all) into a segment ``index_compact/upto=C``, then commit it.
+
+    The segment holds the batches added since the previous compaction, so
+    its cost follows the new keys; ``full=True`` also folds in the earlier
+    segments, leaving one.  Batches without an index commit get their keys
+    from master here, so the compaction is complete.  Loads afterwards read
+    the segments plus the newer batches only.  Batches up to ``C`` can no
+    longer be re-loaded (their keys are merged); a retry of one raises.
+    Returns ``C``.
     """
     cov = coverage_lists(spark, base)
     if not cov.data:
@@ -320,8 +351,13 @@ def compact_key_index(
         tuple(b for b in cov.covered if b <= upto),
         tuple(b for b in cov.missing if b <= upto),
         cov.compacted,
+        cov.segments if full else (),
     )
-    merged = reduce(lambda a, b: a.unionByName(b), _key_sources(spark, base, key_schema, take))
+    since = FULL if full or cov.compacted is None else cov.compacted
+    sources = _key_sources(spark, base, key_schema, take)
+    cols = _with_batch(key_schema).fieldNames()
+    merged = reduce(lambda a, b: a.unionByName(b), sources) if sources else spark.createDataFrame([], _with_batch(key_schema))
+    merged = merged.select(*cols)
     path = _join(base, COMPACT, f"upto={upto}")
     _rebalanced_writer(merged, part).parquet(path)
     n = spark.read.schema(_with_batch(key_schema)).parquet(path).count()
@@ -336,6 +372,6 @@ def compact_key_index(
         .select("n", "stage", BATCH_COL)
     )
     merged_rows.coalesce(1).write.mode("overwrite").parquet(_join(base, COMMITS_COMPACT, f"upto={upto}"))
-    marker = spark.createDataFrame([(int(n),)], "n long")
+    marker = spark.createDataFrame([(int(n), int(since))], "n long, since long")
     marker.coalesce(1).write.mode("overwrite").parquet(_join(base, COMPACTIONS, f"upto={upto}"))
     return upto

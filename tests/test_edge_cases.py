@@ -226,3 +226,25 @@ def test_reserved_column_names_are_rejected(spark, tmp_base):
     df = spark.createDataFrame([(1, "a", 7)], "part int, k string, batch_id long")
     with pytest.raises(ValueError):
         run_load_job(spark, df, tmp_base, 1, "part", ["k"])
+
+
+def test_compaction_segments_chain_and_full_merge(spark, tmp_base):
+    from increload import compact_key_index, read_key_index
+
+    mk = lambda rows: spark.createDataFrame(rows, S)
+    ks = tables.key_schema_of(mk([(1, "a", "x")]).schema, "part", ["k"])
+    for b, k in enumerate("abcdef", start=1):
+        run_load_job(spark, mk([(1, k, "x")]), tmp_base, b, "part", ["k"])
+        if b % 2 == 0:
+            compact_key_index(spark, tmp_base, ks, "part")
+    cov = tables.coverage_lists(spark, tmp_base)
+    assert cov.segments == (6, 4, 2)
+    # each segment holds only its own batches
+    seg4 = spark.read.schema(tables._with_batch(ks)).parquet(f"{tmp_base}/index_compact/upto=4")
+    assert sorted(r["batch_id"] for r in seg4.collect()) == [3, 4]
+    assert read_key_index(spark, tmp_base, ks).count() == 6
+    assert run_load_job(spark, mk([(1, k, "y") for k in "abcdefg"]), tmp_base, 7, "part", ["k"]).n_rows == 1
+    assert compact_key_index(spark, tmp_base, ks, "part", full=True) == 7
+    cov = tables.coverage_lists(spark, tmp_base)
+    assert cov.segments == (7,)
+    assert rows(read_key_index(spark, tmp_base, ks), "k") == rows(spark.createDataFrame([(k,) for k in "abcdefg"], "k string"))
