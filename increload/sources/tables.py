@@ -75,7 +75,8 @@ def _missing_path(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
 
 
-def _read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """Parquet at ``path`` read with ``schema``; an empty frame when the path does not exist."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -87,7 +88,7 @@ def _read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> Data
 def _markers(spark: SparkSession, base: str) -> dict[int, int]:
     """``upto -> since`` of every committed compaction (one row per
     compaction ever run reaches the driver)."""
-    rows = _read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto", "since").collect()
+    rows = read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto", "since").collect()
     return {int(r["upto"]): int(r["since"]) for r in rows}
 
 
@@ -121,7 +122,7 @@ _AUTO = object()
 def read_commits(spark: SparkSession, base: str, compacted=_AUTO) -> DataFrame:
     """All commit rows ``(batch_id, stage, n)``; empty when nothing was committed."""
     c = latest_compaction(spark, base) if compacted is _AUTO else compacted
-    gen = _read_or_empty(spark, COMMIT_SCHEMA, _join(base, COMMITS, f"gen={_generation(c)}"))
+    gen = read_or_empty(spark, COMMIT_SCHEMA, _join(base, COMMITS, f"gen={_generation(c)}"))
     rows = gen.select(BATCH_COL, "stage", "n")
     if c is not None:
         old = spark.read.schema(COMMIT_SCHEMA).parquet(_join(base, COMMITS_COMPACT, f"upto={int(c)}"))

@@ -2,27 +2,44 @@
 
 Each micro-batch becomes one load batch: de-duplicated, filtered against
 everything loaded before, appended, then indexed.  Batch ids are
-``first_id + epoch_id``, where ``first_id`` is one past the highest batch
-committed when the query starts.  That makes a replayed epoch safe in both
-failure cases:
-
-* the epoch crashed before its ``data`` commit: on restart its id is reused
-  and the retry replaces the uncommitted directory;
-* the epoch crashed after its ``data`` commit: on restart it gets a new id,
-  its landed rows count as loaded (keys rebuilt from master), so the replay
-  appends nothing twice.
+``first_id + epoch_id``.  ``first_id`` is fixed the first time a stream runs
+with a given checkpoint location (one past the newest batch loaded then) and
+stored under ``base``, so a restarted query maps every epoch to the same
+batch id.  A replayed epoch therefore either replaces its own uncommitted
+directory (it crashed before its ``data`` commit) or recomputes the same
+delta over what it already wrote (it crashed after); nothing lands twice.
+An epoch whose batch was since merged into an index compaction is already
+loaded and is skipped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from increload.plans.job import run_load_job
 from increload.sources import tables
 
+STREAMS = "streams"
+
+
+def _first_id(spark: SparkSession, base: str, checkpoint_location: str) -> int:
+    tag = hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()[:16]
+    path = f"{base.rstrip('/')}/{STREAMS}/checkpoint={tag}"
+    stored = tables.read_or_empty(spark, T.StructType([T.StructField("first_id", T.LongType())]), path)
+    ids = [r[0] for r in stored.collect()]
+    if ids:
+        return int(ids[0])
+    cov = tables.coverage_lists(spark, base, full=False)
+    newest = max([*cov.data, *([cov.compacted] if cov.compacted is not None else [])], default=None)
+    first = 0 if newest is None else newest + 1
+    spark.createDataFrame([(first,)], "first_id long").coalesce(1).write.mode("overwrite").parquet(path)
+    return first
+
 
 def load_stream(
     stream: DataFrame,
@@ -35,13 +52,15 @@ def load_stream(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start a streaming query that loads every micro-batch into ``base``."""
-    spark = stream.sparkSession
-    cov = tables.coverage_lists(spark, base, full=False)
-    newest = max([*cov.data, *([cov.compacted] if cov.compacted is not None else [])], default=None)
-    first_id = 0 if newest is None else newest + 1
+    first_id = _first_id(stream.sparkSession, base, checkpoint_location)
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        run_load_job(batch.sparkSession, batch, base, first_id + epoch_id, part, keys, order_by, scope)
+        spark = batch.sparkSession
+        batch_id = first_id + epoch_id
+        compacted = tables.latest_compaction(spark, base)
+        if compacted is not None and batch_id <= compacted:
+            return
+        run_load_job(spark, batch, base, batch_id, part, keys, order_by, scope)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
     if trigger:

@@ -27,3 +27,19 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     assert master.count() == dedup_batch(events, "day", ["event_id"]).count()
     assert master.select("day", "event_id").distinct().count() == master.count()
     assert sorted(r[0] for r in master.select("batch_id").distinct().collect()) == [0, 1]
+
+
+def test_restarted_stream_keeps_batch_ids(spark, tmp_path):
+    from increload.streaming.micro_batch import _first_id
+    from increload import run_load_job
+
+    base = str(tmp_path / "tables")
+    ck = str(tmp_path / "ckpt")
+    df = spark.createDataFrame([(1, "a")], "part int, k string")
+    run_load_job(spark, df, base, 4, "part", ["k"])
+    assert _first_id(spark, base, ck) == 5
+    run_load_job(spark, df, base, 9, "part", ["k"])
+    # same checkpoint: same mapping, whatever was loaded since
+    assert _first_id(spark, base, ck) == 5
+    # another stream starts after everything loaded so far
+    assert _first_id(spark, base, str(tmp_path / "other")) == 10
