@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from increload.functions.keys import KEY_COLS, key_columns, packed_key, with_packed_key
 
@@ -14,6 +16,70 @@ from increload.functions.keys import KEY_COLS, key_columns, packed_key, with_pac
 DEFAULT_MAX_PRUNE_VALUES = 1000
 
 
+# Budget for broadcasting the batch's key set to the known side.
+DEFAULT_BROADCAST_BUDGET = 64 << 20
+
+_FIXED_WIDTH = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
+    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
+
+
+def key_bytes_bound(schema: T.StructType, cols: Sequence[str]) -> int | None:
+    """Upper bound on the bytes one packed key takes in a broadcast hash
+    relation, or ``None`` when a key column has no fixed width (strings)."""
+    width = 0
+    for c in cols:
+        dtype = schema[c].dataType
+        w = next((v for t, v in _FIXED_WIDTH.items() if isinstance(dtype, t)), None)
+        if w is None and isinstance(dtype, T.DecimalType):
+            w = 8 if dtype.precision <= 18 else 16
+        if w is None:
+            return None
+        width += 8 + max(w, 8)  # null-tracking word share + 8-byte aligned slot
+    # row headers of the packed row and its struct, the hash, and a 2x
+    # allowance for the hash map around the rows
+    return 2 * (48 + width)
+
+
+@dataclass(frozen=True)
+class BatchProfile:
+    """What one small job learns about a batch before planning the join:
+    its partition values (``None``: more than the bound) and row count
+    (``None``: not counted)."""
+
+    values: list | None
+    n_rows: int | None
+
+
+def profile_batch(batch: DataFrame, part: str | None, max_values: int = DEFAULT_MAX_PRUNE_VALUES) -> BatchProfile:
+    """Partition values and row count of a batch in one aggregate job.
+
+    At most ``max_values + 1`` rows reach the driver.  Past that bound the
+    values are not returned and the row count is unknown.
+    """
+    if part is None:
+        return BatchProfile(None, batch.count())
+    rows = batch.groupBy(part).count().limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        return BatchProfile(None, None)
+    return BatchProfile([r[0] for r in rows], sum(int(r[1]) for r in rows))
+
+
+def prune_by_values(keys_df: DataFrame, part: str, values: list) -> DataFrame:
+    """``keys_df`` restricted to the given partition values (null kept as ``IS NULL``)."""
+    present = [v for v in values if v is not None]
+    cond = F.col(part).isin(present) if present else F.lit(False)
+    if len(present) != len(values):
+        cond = cond | F.col(part).isNull()
+    return keys_df.where(cond)
+
+
+def prune_by_semi_join(keys_df: DataFrame, batch: DataFrame, part: str) -> DataFrame:
+    wanted = batch.select(F.col(part).alias("__part")).distinct()
+    return keys_df.join(wanted, keys_df[part].eqNullSafe(wanted["__part"]), "left_semi")
+
+
 def prune_to_batch_partitions(
     keys_df: DataFrame,
     batch: DataFrame,
@@ -34,13 +100,8 @@ def prune_to_batch_partitions(
     """
     values = [r[0] for r in batch.select(part).distinct().limit(max_values + 1).collect()]
     if len(values) > max_values:
-        wanted = batch.select(F.col(part).alias("__part")).distinct()
-        return keys_df.join(wanted, keys_df[part].eqNullSafe(wanted["__part"]), "left_semi")
-    present = [v for v in values if v is not None]
-    cond = F.col(part).isin(present) if present else F.lit(False)
-    if len(present) != len(values):
-        cond = cond | F.col(part).isNull()
-    return keys_df.where(cond)
+        return prune_by_semi_join(keys_df, batch, part)
+    return prune_by_values(keys_df, part, values)
 
 
 def anti_on(batch: DataFrame, known: DataFrame, key_cols: Sequence[str] = KEY_COLS) -> DataFrame:
@@ -55,6 +116,22 @@ def anti_on(batch: DataFrame, known: DataFrame, key_cols: Sequence[str] = KEY_CO
     return batch.join(known.select(*key_cols), on=key_cols, how="left_anti")
 
 
+def anti_on_broadcast_keys(
+    batch: DataFrame, known: DataFrame, batch_keys: DataFrame, key_cols: Sequence[str] = KEY_COLS
+) -> DataFrame:
+    """:func:`anti_on` for a batch whose key rows are few (their size is
+    checked by the caller): ``batch_keys`` (the batch's packed keys, one per
+    input row, copies included, so no shuffle is needed to build them) are
+    broadcast to the known side, which is then only scanned and filtered
+    instead of shuffled; the few known keys that match are removed from the
+    batch.  Same result as :func:`anti_on`, since
+    ``batch - known = batch - (known ∩ batch keys)``.
+    """
+    key_cols = list(key_cols)
+    matched = known.select(*key_cols).join(F.broadcast(batch_keys.select(*key_cols)), on=key_cols, how="left_semi")
+    return batch.join(matched, on=key_cols, how="left_anti")
+
+
 def anti_join_keys(
     batch: DataFrame,
     existing_keys: DataFrame,

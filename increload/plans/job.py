@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from increload.functions.keys import as_list
-from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES
+from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES
 from increload.plans.load import new_rows
 from increload.sources import tables
 
@@ -31,6 +31,7 @@ def run_load_job(
     order_by: Sequence[str] | None = None,
     scope: str = "partition",
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
+    broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
 ) -> LoadReport:
     """Load ``batch`` as batch ``batch_id`` into the tables under ``base``.
 
@@ -55,7 +56,7 @@ def run_load_job(
     if cov.compacted is not None and batch_id <= cov.compacted:
         raise ValueError(f"batch {batch_id} is already merged into the index compaction up to {cov.compacted}")
     known = tables.existing_keys(spark, base, key_schema, coverage=cov)
-    delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values)
+    delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget)
 
     tables.append_delta(delta, base, batch_id, part)
     written = spark.read.schema(batch.schema).parquet(tables.batch_dir(base, tables.MASTER, batch_id))

@@ -8,7 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from increload.functions.keys import as_list, key_columns, packed_key, with_packed_key
-from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, anti_on, prune_to_batch_partitions
+from increload.operators.antijoin import (
+    DEFAULT_BROADCAST_BUDGET,
+    DEFAULT_MAX_PRUNE_VALUES,
+    anti_on,
+    anti_on_broadcast_keys,
+    key_bytes_bound,
+    profile_batch,
+    prune_by_semi_join,
+    prune_by_values,
+)
 from increload.operators.dedup import dedup_on
 from increload.operators.keyindex import select_keys
 
@@ -35,19 +44,41 @@ def new_rows(
     scope: str = "partition",
     prune: bool = True,
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
+    broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
 ) -> DataFrame:
     """De-duplicate ``batch`` and drop the keys in ``known_keys`` (``None``: nothing known).
 
     One logical plan: the dedup and the anti-join group/join on the same
-    packed key, so the batch is shuffled once; the known keys are pruned to the
-    batch's partition values before the join (partition scope).
+    packed key, so the batch is shuffled once.  Before planning, one small
+    job profiles the batch (partition values, row count):
+
+    * partition scope: the known keys are pruned to the batch's partition
+      values (an ``IN`` filter on the scan);
+    * when the row count times the fixed width of a key fits
+      ``broadcast_budget`` (a bound on the batch's key set, checked before
+      anything is broadcast), the batch keys are broadcast to the known side
+      instead of shuffling the known side; otherwise both sides meet in a
+      sort-merge join, which AQE may still turn into a broadcast of the
+      known side at run time.  ``broadcast_budget=0`` disables it.
     """
     cols = key_columns(part, keys, scope)
     deduped = dedup_on(with_packed_key(batch, cols), cols, order_by)
     if known_keys is not None:
-        if scope == "partition" and part is not None and prune:
-            known_keys = prune_to_batch_partitions(known_keys, batch, part, max_prune_values)
-        deduped = anti_on(deduped, known_keys.select(*packed_key(cols)))
+        pruning = scope == "partition" and part is not None and prune
+        width = key_bytes_bound(batch.schema, cols) if broadcast_budget > 0 else None
+        if pruning or width is not None:
+            profile = profile_batch(batch, part if pruning else None, max_prune_values)
+        if pruning:
+            if profile.values is None:
+                known_keys = prune_by_semi_join(known_keys, batch, part)
+            else:
+                known_keys = prune_by_values(known_keys, part, profile.values)
+        known_packed = known_keys.select(*packed_key(cols))
+        if width is not None and profile.n_rows is not None and profile.n_rows * width <= broadcast_budget:
+            batch_keys = batch.select(*packed_key(cols))
+            deduped = anti_on_broadcast_keys(deduped, known_packed, batch_keys)
+        else:
+            deduped = anti_on(deduped, known_packed)
     return deduped.select(*batch.columns)
 
 
@@ -61,6 +92,7 @@ def incremental_load(
     scope: str = "partition",
     prune: bool = True,
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
+    broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
 ) -> LoadResult:
     """Which rows of ``batch`` must be appended to ``existing``?
 
@@ -80,7 +112,7 @@ def incremental_load(
         return LoadResult(delta, select_keys(delta, part, keys))
     known = index if index is not None else select_keys(existing, part, keys)
     known = known.select(*select_keys(known, part, keys).columns)
-    delta = new_rows(batch, known, part, keys, order_by, scope, prune, max_prune_values)
+    delta = new_rows(batch, known, part, keys, order_by, scope, prune, max_prune_values, broadcast_budget)
     # The delta's keys are disjoint from the known keys by construction, so
     # the merged index is a plain union (no distinct, no shuffle).  A rebuilt
     # index is de-duplicated once.

@@ -45,3 +45,23 @@ def test_load_shuffles_batch_once_and_prunes_stored_keys(spark, tmp_base, no_bro
     assert "ReadSchema: struct<k:string>" in plan
     assert sorted(r["k"] for r in df.where("part = 8").collect()) == sorted(str(i) for i in range(50, 80))
     assert df.where("part = 11").count() == 1
+
+
+def test_small_batch_broadcasts_its_keys_instead_of_shuffling_the_index(spark, tmp_base, no_broadcast):
+    s = "part int, k long, v string"
+    b1 = spark.createDataFrame([(d, i, "x") for d in range(10) for i in range(50)], s)
+    run_load_job(spark, b1, tmp_base, 1, "part", ["k"])
+    batch = spark.createDataFrame([(8, i, "y") for i in range(80)] + [(11, 1, "z")] * 5, s)
+    ks = tables.key_schema_of(batch.schema, "part", ["k"])
+    known = tables.existing_keys(spark, tmp_base, ks, exclude=[2])
+    small = new_rows(batch, known, "part", ["k"])
+    plan = _plan(small)
+    assert "BroadcastExchange" in plan and "LeftSemi" in plan
+    # the index scan feeds the broadcast semi-join directly, not an exchange
+    probe_side = plan[plan.index("LeftSemi") : plan.index("BroadcastExchange")]
+    assert "FileScan parquet" in probe_side and "Exchange" not in probe_side
+    plain = new_rows(batch, known, "part", ["k"], broadcast_budget=0)
+    assert "LeftSemi" not in _plan(plain)
+    got = sorted(tuple(r) for r in small.collect())
+    assert got == sorted(tuple(r) for r in plain.collect())
+    assert len(got) == 31
