@@ -213,6 +213,26 @@ SELECT * EXCLUDE (rn) FROM (
 """
 
 
+def q_dedup_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key holds a large share of the table (a handful of flag pairs):
+    the partial aggregate collapses each key inside every map task, so no
+    reducer receives a hot key's rows."""
+    li = _read(spark, sf_dir, "lineitem")
+    rest = [c for c in li.columns if c not in ("l_returnflag", "l_linestatus")]
+    return dedup_batch(li, None, ["l_returnflag", "l_linestatus"], order_by=rest)
+
+
+_SQL_DEDUP_HOT = """
+SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus
+                                 ORDER BY l_orderkey NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST,
+                                          l_linenumber NULLS FIRST, l_quantity NULLS FIRST,
+                                          l_extendedprice NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST,
+                                          l_shipdate NULLS FIRST) AS rn
+    FROM lineitem) WHERE rn = 1
+"""
+
+
 def q_dedup_any_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_batch(lineitem(spark, sf_dir), "y", LINEITEM_KEYS).select("y", *LINEITEM_KEYS)
 
@@ -608,6 +628,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_unpartitioned": q_load_unpartitioned,
     "dedup_ordered": q_dedup_ordered,
     "dedup_any_keys": q_dedup_any_keys,
+    "dedup_hot_keys": q_dedup_hot_keys,
     "key_index_build": q_key_index_build,
     "key_index_merge": q_key_index_merge,
     "index_profile": q_index_profile,
@@ -643,6 +664,7 @@ ORACLE_SQL: dict[str, str] = {
     "load_unpartitioned": _SQL_LOAD_UNPARTITIONED,
     "dedup_ordered": _SQL_DEDUP_ORDERED,
     "dedup_any_keys": _SQL_DEDUP_ANY,
+    "dedup_hot_keys": _SQL_DEDUP_HOT,
     "key_index_build": _SQL_INDEX_BUILD,
     "key_index_merge": _SQL_INDEX_MERGE,
     "index_profile": _SQL_INDEX_PROFILE,
