@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from increload.functions.keys import as_list
 from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES
@@ -46,11 +48,18 @@ def run_load_job(
 
     The written files cut the lineage: step 3 re-reads two columns of the
     delta instead of recomputing it, and nothing is cached on executors.
+
+    A string partition value ``""`` is stored, and therefore matched, as
+    null: partition directories cannot tell the two apart.
     """
     keys = as_list(keys)
     reserved = [c for c in batch.columns if c == tables.BATCH_COL or c.startswith("__increload")]
     if reserved:
         raise ValueError(f"batch columns {reserved} clash with the stored table's own columns; rename them")
+    if part is not None and isinstance(batch.schema[part].dataType, T.StringType):
+        # Partition directories cannot tell "" from null (both are written as
+        # the default partition), so match them the way they will be stored.
+        batch = batch.withColumn(part, F.nullif(F.col(part), F.lit("")))
     key_schema = tables.key_schema_of(batch.schema, part, keys)
     cov = tables.coverage_lists(spark, base, exclude=[batch_id], full=False)
     if cov.compacted is not None and batch_id <= cov.compacted:
