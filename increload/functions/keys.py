@@ -76,11 +76,6 @@ def orderable(dtype: T.DataType) -> bool:
     return True
 
 
-def null_safe_match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    """``left.c <=> right.c`` for every column, AND-ed together."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def all_null(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, [c.isNull() for c in cols])
 

@@ -75,8 +75,3 @@ def run_load_job(
     tables.write_key_index(written.select(*key_schema.fieldNames()), base, batch_id, part)
     tables.write_commit(spark, base, "index", batch_id, n, cov.compacted)
     return LoadReport(int(batch_id), int(n), not cov.loaded, cov.missing)
-
-
-def load_result_rows(spark: SparkSession, base: str, schema, batch_id: int) -> DataFrame:
-    """The rows that batch ``batch_id`` appended, as stored."""
-    return tables.read_master(spark, base, schema, batch_ids=[batch_id])
