@@ -45,5 +45,5 @@ def list_input_files(spark: SparkSession, path: str) -> DataFrame:
         .select("path")
     )
     key = _base_key(path)
-    rel = F.expr(f"substring(path, instr(path, '{key}') + {len(key)})")
+    rel = F.substring(F.col("path"), F.instr(F.col("path"), key) + len(key), F.lit(1 << 30))
     return files.select("path", F.substring_index(rel, "/", 1).alias("segment"))
