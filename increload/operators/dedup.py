@@ -16,9 +16,9 @@ def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | No
 
     The surviving row is the smallest by ``(*order_by, *every other column)``,
     so the choice is total and the same on every run and retry.  Without
-    ``order_by`` that is simply the smallest whole row.  (If a column cannot
-    be ordered, e.g. a map, and no ``order_by`` is given, the first row met
-    survives instead.)
+    ``order_by`` that is simply the smallest whole row.  Columns that cannot
+    be ordered (maps) ride along with the row the others choose; if no
+    column can be ordered, the first row met survives.
 
     A grouped aggregate with a map-side partial step: a key delivered a
     million times is collapsed inside each map task before the shuffle, so a
@@ -40,7 +40,13 @@ def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | No
         out = df.select(*KEY_COLS).distinct()
     else:
         row = F.struct(*[F.col(c) for c in row_cols])
-        pick = F.min(row) if ranked or orderable(df.select(*row_cols).schema) else F.first(row)
+        rank_cols = [c for c in row_cols if orderable(df.schema[c].dataType)]
+        if len(rank_cols) == len(row_cols):
+            pick = F.min(row)
+        elif rank_cols:
+            pick = F.min_by(row, F.struct(*[F.col(c) for c in rank_cols]))
+        else:
+            pick = F.first(row)
         out = df.groupBy(*KEY_COLS).agg(pick.alias("__row"))
     value = {c: F.col(f"{KEY_COL}.{c}") for c in id_cols}
     value.update({c: F.col(f"__row.{c}") for c in payload})

@@ -140,6 +140,12 @@ def test_sql_baseline_keeps_null_keys_and_matches_on_key_only(spark):
 def test_map_columns_still_dedup(spark):
     df = spark.createDataFrame([(1, "a", {"x": 1}), (1, "a", {"x": 1}), (1, "b", {"y": 2})], "part int, k string, m map<string,int>")
     assert dedup_batch(df, "part", ["k"]).count() == 2
+    # a map column rides along with the row the orderable columns choose
+    s = "part int, k string, v string, m map<string,int>"
+    df2 = spark.createDataFrame([(1, "a", "z", {"z": 1}), (1, "a", "b", {"b": 2}), (1, "a", "m", {"m": 3})], s)
+    for order in (["v"], None):
+        out = dedup_batch(df2, "part", ["k"], order_by=order).collect()
+        assert [(r["v"], r["m"]) for r in out] == [("b", {"b": 2})]
 
 
 @pytest.mark.parametrize("output", ["counts", "one"])
