@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from increload.functions.keys import HASH_COL, KEY_COL, KEY_COLS, as_list, key_columns, orderable, with_packed_key
 
 
+def pick_row(df: DataFrame, row_cols: Sequence[str]):
+    """Aggregate choosing one whole row of ``row_cols`` per group: the
+    smallest by those columns in order; columns that cannot be ordered (maps)
+    ride along; with none orderable, the first row met."""
+    row = F.struct(*[F.col(c) for c in row_cols])
+    rank_cols = [c for c in row_cols if orderable(df.schema[c].dataType)]
+    if len(rank_cols) == len(row_cols):
+        return F.min(row)
+    if rank_cols:
+        return F.min_by(row, F.struct(*[F.col(c) for c in rank_cols]))
+    return F.first(row)
+
+
 def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
     """Keep one row per packed key of ``df`` (columns ``HASH_COL``, ``KEY_COL``
     built from ``id_cols`` by :func:`with_packed_key`).
@@ -39,15 +52,7 @@ def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | No
     if not row_cols:
         out = df.select(*KEY_COLS).distinct()
     else:
-        row = F.struct(*[F.col(c) for c in row_cols])
-        rank_cols = [c for c in row_cols if orderable(df.schema[c].dataType)]
-        if len(rank_cols) == len(row_cols):
-            pick = F.min(row)
-        elif rank_cols:
-            pick = F.min_by(row, F.struct(*[F.col(c) for c in rank_cols]))
-        else:
-            pick = F.first(row)
-        out = df.groupBy(*KEY_COLS).agg(pick.alias("__row"))
+        out = df.groupBy(*KEY_COLS).agg(pick_row(df, row_cols).alias("__row"))
     value = {c: F.col(f"{KEY_COL}.{c}") for c in id_cols}
     value.update({c: F.col(f"__row.{c}") for c in payload})
     return out.select(HASH_COL, KEY_COL, *[value[c].alias(c) for c in columns])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from increload.functions.keys import all_null, as_list, with_packed_key, packed_key
 from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, anti_on, prune_to_batch_partitions
+from increload.operators.dedup import pick_row
 
 
 def sql_dedup(
@@ -49,7 +50,7 @@ def sql_dedup(
         rest = [c for c in batch.columns if c not in group]
         if not rest:
             return kept.select(*group).distinct()
-        one = F.min(F.struct(*rest)).alias("__row")
+        one = pick_row(kept, rest).alias("__row")
         return kept.groupBy(*group).agg(one).select(*group, *[F.col(f"__row.{c}").alias(c) for c in rest])
     raise ValueError("output must be 'counts' or 'one'")
 
