@@ -39,8 +39,8 @@ def key_columns(part: str | None, keys: str | Sequence[str], scope: str = "parti
     if scope not in ("partition", "global"):
         raise ValueError(f"scope must be 'partition' or 'global', not {scope!r}")
     if scope == "partition" and part is not None:
-        return [part, *keys]
-    return keys
+        return list(dict.fromkeys([part, *keys]))
+    return list(dict.fromkeys(keys))
 
 
 def packed_key(cols: Sequence[str]) -> list[Column]:

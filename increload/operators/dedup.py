@@ -53,8 +53,8 @@ def dedup_on(df: DataFrame, id_cols: Sequence[str], order_by: Sequence[str] | No
         out = df.select(*KEY_COLS).distinct()
     else:
         out = df.groupBy(*KEY_COLS).agg(pick_row(df, row_cols).alias("__row"))
-    value = {c: F.col(f"{KEY_COL}.{c}") for c in id_cols}
-    value.update({c: F.col(f"__row.{c}") for c in payload})
+    value = {c: F.col(KEY_COL).getField(c) for c in id_cols}
+    value.update({c: F.col("__row").getField(c) for c in payload})
     return out.select(HASH_COL, KEY_COL, *[value[c].alias(c) for c in columns])
 
 

@@ -56,7 +56,7 @@ def index_profile(index: DataFrame, part: str, keys: str | Sequence[str]) -> Dat
     keys = as_list(keys)
     smallest = F.min(F.struct(*keys)).alias("__min")
     return index.groupBy(part).agg(F.count(F.lit(1)).alias("n_keys"), smallest).select(
-        part, "n_keys", *[F.col(f"__min.{k}").alias(f"min_{k}") for k in keys]
+        part, "n_keys", *[F.col("__min").getField(k).alias(f"min_{k}") for k in keys]
     )
 
 

@@ -51,7 +51,7 @@ def sql_dedup(
         if not rest:
             return kept.select(*group).distinct()
         one = pick_row(kept, rest).alias("__row")
-        return kept.groupBy(*group).agg(one).select(*group, *[F.col(f"__row.{c}").alias(c) for c in rest])
+        return kept.groupBy(*group).agg(one).select(*group, *[F.col("__row").getField(c).alias(c) for c in rest])
     raise ValueError("output must be 'counts' or 'one'")
 
 

@@ -275,3 +275,8 @@ def test_awkward_partition_values_round_trip(spark, tmp_base):
     run_load_job(spark, b1, base2, 1, "d", ["p", "k"])
     assert run_load_job(spark, b1.unionByName(b2), base2, 2, "d", ["p", "k"]).n_rows == b2.count()
     assert read_master(spark, base2, b1.schema).count() == b1.count() + b2.count()
+
+
+def test_part_repeated_in_keys(spark):
+    batch = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "z")], S)
+    assert rows(dedup_batch(batch, "part", ["part", "k"])) == rows(dedup_batch(batch, "part", ["k"]))
