@@ -65,3 +65,28 @@ def test_small_batch_broadcasts_its_keys_instead_of_shuffling_the_index(spark, t
     got = sorted(tuple(r) for r in small.collect())
     assert got == sorted(tuple(r) for r in plain.collect())
     assert len(got) == 31
+
+
+def test_broadcast_bound_and_profile(spark):
+    from pyspark.sql import types as T
+
+    from increload.operators.antijoin import key_bytes_bound, profile_batch
+
+    sch = T.StructType(
+        [
+            T.StructField("d", T.IntegerType()),
+            T.StructField("id", T.LongType()),
+            T.StructField("s", T.StringType()),
+            T.StructField("m", T.DecimalType(30, 2)),
+        ]
+    )
+    assert key_bytes_bound(sch, ["s"]) is None
+    one, two = key_bytes_bound(sch, ["id"]), key_bytes_bound(sch, ["d", "id"])
+    assert 0 < one < two
+    assert key_bytes_bound(sch, ["m"]) >= one
+    df = spark.createDataFrame([(d, i) for d in range(5) for i in range(d + 1)], "d int, id long")
+    prof = profile_batch(df, "d")
+    assert sorted(prof.values) == [0, 1, 2, 3, 4] and prof.n_rows == 15
+    capped = profile_batch(df, "d", max_values=3)
+    assert capped.values is None and capped.n_rows is None
+    assert profile_batch(df, None).n_rows == 15
