@@ -90,3 +90,30 @@ def test_broadcast_bound_and_profile(spark):
     capped = profile_batch(df, "d", max_values=3)
     assert capped.values is None and capped.n_rows is None
     assert profile_batch(df, None).n_rows == 15
+
+
+def test_hot_key_in_anti_join_is_split_by_aqe(spark, no_broadcast):
+    from pyspark.sql import functions as F
+
+    from increload import anti_join_keys
+
+    confs = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        base = spark.range(0, 9000, numPartitions=8).withColumn("part", F.lit(1))
+        # a third of the rows share one key (null)
+        batch = base.withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")))
+        known = batch.where("id % 5 = 0").select("part", "k")
+        out = anti_join_keys(batch, known, "part", ["k"])
+        got = sorted(r["id"] for r in out.collect())
+        assert "skew=true" in _plan(out)
+        assert got == [i for i in range(9000) if i % 3 != 0 and i % 5 != 0]
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
