@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -60,7 +61,14 @@ def load_stream(
         compacted = tables.latest_compaction(spark, base)
         if compacted is not None and batch_id <= compacted:
             return
-        run_load_job(spark, batch, base, batch_id, part, keys, order_by, scope)
+        # The load reads the micro-batch more than once (profile, write,
+        # small-batch key broadcast); keep it for the duration instead of
+        # re-reading the source.  A lost block is recomputed from the source.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            run_load_job(spark, batch, base, batch_id, part, keys, order_by, scope)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
     if trigger:
