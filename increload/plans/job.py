@@ -17,6 +17,10 @@ from increload.sources import tables
 
 @dataclass(frozen=True)
 class LoadReport:
+    """What a stored load did: rows appended, whether nothing was loaded
+    before, and which earlier batches had their keys read from master
+    because their index was missing."""
+
     batch_id: int
     n_rows: int
     first_load: bool
