@@ -139,6 +139,7 @@ def anti_join_keys(
     keys: str | Sequence[str],
     scope: str = "partition",
     nulls: str = "safe",
+    broadcast_budget: int | None = None,
 ) -> DataFrame:
     """Rows of ``batch`` whose ``(part, *keys)`` (or ``keys`` in global scope)
     is not in ``existing_keys``.  Payload columns are never compared.
@@ -146,6 +147,10 @@ def anti_join_keys(
     ``nulls="safe"`` (default) treats null as a value, so a null key already
     loaded filters a null key again.  ``nulls="sql"`` uses plain SQL equality
     (null never matches): only for keys declared non-null.
+
+    ``broadcast_budget`` (bytes, off by default): count the batch first and,
+    when its rows times the fixed key width fit, broadcast the batch keys so
+    ``existing_keys`` is filtered instead of shuffled (null-safe form only).
     """
     cols = key_columns(part, keys, scope)
     if nulls == "sql":
@@ -153,4 +158,10 @@ def anti_join_keys(
     if nulls != "safe":
         raise ValueError("nulls must be 'safe' or 'sql'")
     known = existing_keys.select(*packed_key(cols))
-    return anti_on(with_packed_key(batch, cols), known).select(*batch.columns)
+    packed = with_packed_key(batch, cols)
+    width = key_bytes_bound(batch.schema, cols) if broadcast_budget else None
+    if width is not None and batch.count() * width <= broadcast_budget:
+        out = anti_on_broadcast_keys(packed, known, batch.select(*packed_key(cols)))
+    else:
+        out = anti_on(packed, known)
+    return out.select(*batch.columns)

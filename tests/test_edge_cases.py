@@ -280,3 +280,14 @@ def test_awkward_partition_values_round_trip(spark, tmp_base):
 def test_part_repeated_in_keys(spark):
     batch = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "z")], S)
     assert rows(dedup_batch(batch, "part", ["part", "k"])) == rows(dedup_batch(batch, "part", ["k"]))
+
+
+def test_anti_join_keys_broadcast_option_same_rows(spark):
+    s = "part int, k long, v string"
+    batch = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (1, 2, "c"), (2, 3, "d"), (1, 4, "e")], s)
+    known = spark.createDataFrame([(1, None, "-"), (1, 2, "-"), (2, 4, "-")], s)
+    plain = anti_join_keys(batch, known, "part", ["k"])
+    small = anti_join_keys(batch, known, "part", ["k"], broadcast_budget=1 << 20)
+    assert "LeftSemi" in small._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert rows(small) == rows(plain) == rows(spark.createDataFrame([(2, 3, "d"), (1, 4, "e")], s))
