@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from increload.llm.components import components
+from increload.llm.simhash import block_keys, drop_near_duplicates, fingerprint, simhash_components
+
+
+def plain_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, distance=3):
+    """doc id -> smallest doc id reachable."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= distance:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_documents(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    got = {r["doc_id"]: r for r in simhash_components(docs).collect()}
+    assert {i: r["fp"] % (1 << 64) for i, r in got.items()} == prints
+    assert {i: r["component_id"] for i, r in got.items()} == plain_components(prints)
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 7])
+def test_every_close_pair_shares_a_key(spark, blocks):
+    import random
+
+    rng = random.Random(blocks)
+    pairs = []
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 3):
+            b ^= 1 << bit
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    keys = [block_keys(F.col(c), blocks, 3) for c in "ab"]
+    assert df.where(~F.arrays_overlap(*keys)).count() == 0
+
+
+def test_chains_and_mixed_buckets(spark, monkeypatch):
+    """Fingerprints made by hand: chains whose ends are far apart, dense groups, loners."""
+    import random
+
+    from increload.llm import simhash
+
+    rng = random.Random(5)
+    prints = []
+    for _ in range(12):
+        at = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 30)):
+            prints.append(at)
+            for bit in rng.sample(range(64), rng.choice([0, 1, 2, 3, 5])):
+                at ^= 1 << bit
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    table = spark.createDataFrame([(i, i, p) for i, p in enumerate(signed)], "doc_id long, th long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: table)
+    for blocks in (4, 6):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(table, blocks=blocks).collect()}
+        assert got == plain_components(dict(enumerate(prints)))
+
+
+def test_odd_documents(odd_docs, no_docs):
+    rows = simhash_components(odd_docs).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd_docs.collect())
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert by_id[1]["component_id"] == by_id[2]["component_id"] == 1
+    assert by_id[5]["component_id"] == by_id[6]["component_id"] == 5
+    assert by_id[3]["fp"] == by_id[4]["fp"] == by_id[9]["fp"] == 0
+    assert {by_id[i]["component_id"] for i in (3, 4, 9)} == {3}
+    assert by_id[8]["fp"] % (1 << 64) == xxhash.xxh64_intdigest(b"one", 42)
+    assert simhash_components(no_docs).collect() == []
+
+
+def test_one_document_of_each_group_stays(odd_docs):
+    kept = drop_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 5, 8, 10, None])
+
+
+def test_long_text_in_chunks():
+    text = " ".join(f"w{i % 5000}" for i in range(150_000))
+    assert fingerprint(text, 3) == plain_fingerprint(text)
+
+
+def test_components_of_a_path_and_a_hub(spark):
+    path = [(i, i + 1) for i in range(40)]
+    hub = [(100, i) for i in range(101, 160)] + [(7000, 7000), (150, 100), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path + hub, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
