@@ -19,8 +19,11 @@ columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,32 +36,93 @@ from pyspark.sql import functions as F
 from increload.llm.common import gapless, stage, text_or_empty
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SUBS = 64
-SPACE = re.compile(r"[ \t\r\n]+")
+SPACE = re.compile(r"[\t\r\n]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sub int"
 
 
+# How a tokenizer file says that it drops white space, lower-cases
+# and encodes letters, single digits and runs of other characters apart.
+WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Stretches of printable ASCII and Latin-1 letters: nothing to compose, and
+# lower-casing and classes of these characters are the same everywhere.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 for itself, the others 256, 257, ... in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
-    """Token ids (little-endian bytes) of space-free stretches of text.
+    """Token ids (little-endian bytes) of white-space-free stretches of text.
 
-    The tokenizer never joins text across white space, so a text's ids are
-    those of its stretches one after another; repeated stretches are looked up.
+    A tokenizer that drops white space never joins text across it, so a
+    text's ids are those of its stretches one after another.  Frequent
+    stretches are looked up; two generations of at most ``CACHE_WORDS`` are
+    kept.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        config = json.loads(tokenizer.to_str())
+        split = (config["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            (config["normalizer"] or {}).get("normalizers") == WORD_NORMALIZER
+            and split[0].get("pattern") == {"Regex": WORD_PATTERN}
+            and [p["type"] for p in split] == ["Split", "ByteLevel"]
+            and config["post_processor"] is None
+        )
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        special = [re.escape(t["content"]) for t in config["added_tokens"]]
+        self.special = re.compile("|".join(special) or r"(?!)")
+        self.letters = byte_letters()
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _encode(self, word: str) -> bytes:
+        if not SIMPLE.fullmatch(word) or self.special.search(word):
+            return _as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return b"".join(map(self._piece, PIECE.findall(word.lower())))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = _as_bytes([t.id for t in self.model.tokenize(spelled)])
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [SPACE.split(t) for t in texts]
-        missing = list({w for words in split for w in words if w not in self})
-        if len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = list({w for words in split for w in words})
-        for word, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        if not self.by_word:
+            return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [b"".join(map(self.__getitem__, SPACE.sub(" ", t).split(" "))) for t in texts]
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(maxsize=2)

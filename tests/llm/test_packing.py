@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from increload.llm.packing import WordIds, pack, packed_sequences, plan
@@ -112,7 +114,35 @@ def test_sequences_round_trip(docs):
 
 
 def test_split_at_white_space_changes_no_ids():
-    coder = WordIds(Tokenizer.from_file(PATH))
+    coder = WordIds(tokenizer())
+    assert coder.by_word
     texts = ["It's  a b　c\x1cd\n\t don't", "<|startoftext|> x<|endoftext|>y", "é ́x Σας ΣΑΣ İ", "a\x0bb\x0cc\x85d", "1234 !!a''s 're", ""]
     for text, got in zip(texts, coder.encode(texts), strict=True):
         assert [*np.frombuffer(got, dtype="<u4").tolist(), 1] == ids_of(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]), st.sampled_from("'stremdvlAZ09 \n<|>́😀ǅΣ١"))), max_size=4))
+def test_ids_equal_the_tokenizers(texts):
+    coder = WordIds(tokenizer())
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert [*np.frombuffer(got, dtype="<u4").tolist(), 1] == ids_of(text)
+
+
+def test_cache_generations(monkeypatch):
+    from increload.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    coder = WordIds(tokenizer())
+    texts = [f"word{i % 7} Wörd{i % 5}, it's" for i in range(50)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert [*np.frombuffer(got, dtype="<u4").tolist(), 1] == ids_of(text)
+    assert max(len(coder), len(coder.old), len(coder.pieces)) <= 3
+
+
+def test_other_tokenizers_encode_whole_texts():
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = WordIds(other)
+    assert not coder.by_word
+    (got,) = coder.encode(["two  spaces\n here"])
+    assert np.frombuffer(got, dtype="<u4").tolist() == other.encode("two  spaces\n here", add_special_tokens=False).ids
