@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from increload.llm.vector_graph import build_graph, forest, near_duplicate_vectors, range_search
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(ids, x, threshold=0.95):
+    x = np.asarray(x, dtype=np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= threshold
+    np.fill_diagonal(close, False)
+    label = np.arange(len(ids))
+    order = np.argsort(ids)
+    for start in order:
+        stack = [start] if label[start] == start else []
+        seen = set(stack)
+        while stack:
+            for j in np.flatnonzero(close[stack.pop()]):
+                if j not in seen:
+                    seen.add(j)
+                    stack.append(j)
+        for j in seen:
+            label[j] = start if ids[start] <= ids[label[j]] else label[j]
+    return {int(i): (int(c), int(ids[r])) for i, c, r in zip(ids, close.sum(axis=1), label)}
+
+
+def result(df, **kw):
+    rows = near_duplicate_vectors(df, **kw).collect()
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows}
+
+
+def clusters(seed, sizes, dims=24, noise=0.03):
+    rng = np.random.default_rng(seed)
+    parts = []
+    for n in sizes:
+        c = rng.normal(size=dims)
+        parts.append(c / np.linalg.norm(c) + rng.normal(size=(n, dims)) * noise)
+    return np.vstack(parts)
+
+
+def frame(spark, ids, x):
+    return spark.createDataFrame([(int(i), [float(v) for v in row], 1) for i, row in zip(ids, x)], "vec_id long, embedding array<double>, n_links int")
+
+
+def test_table(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = df.collect()
+    want = brute(np.array([r["vec_id"] for r in rows]), [r["embedding"] for r in rows])
+    assert result(df) == want
+
+
+@pytest.mark.parametrize("shard_rows", [60, 400])
+def test_many_shards_recall(spark, shard_rows):
+    x = clusters(1, [1] * 200 + [5] * 40 + [150])  # the last cluster is larger than a part
+    ids = np.random.default_rng(2).permutation(len(x)) + 1
+    want = brute(ids, x)
+    got = result(frame(spark, ids, x), shard_rows=shard_rows, degree=12, beam=24)
+    found, true = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
+    assert set(got) == set(want) and 0.95 * true <= found <= true
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.95 * len(want)
+
+
+def test_copies_count_without_pairs(spark):
+    x = np.vstack([np.tile([1.0, 0.0], (50, 1)), [[0.99, 0.01], [0.0, 1.0], [2.0, 0.0]]])
+    ids = np.arange(len(x))
+    assert result(frame(spark, ids, x)) == brute(ids, x)
+
+
+def test_unusable_rows_link_with_nothing(spark):
+    rows = [
+        (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]),
+        (8, [float("inf"), 0.0]), (9, [1.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None), (10, [1e200, 0.0]), (11, [1e-200, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(df.where("vec_id is not null"))
+    assert got == {i: (3, 1) if i in (1, 2, 10, 11) else (0, i) for i in range(1, 12)}
+    assert {r["vec_id"]: r["n_links"] for r in near_duplicate_vectors(df).collect()}[None] == 0
+    assert near_duplicate_vectors(df.limit(0)).collect() == []
+    assert result(df.where("vec_id in (3, 4)")) == {3: (0, 3), 4: (0, 4)}
+
+
+def test_graph_reaches_and_bounds_degree():
+    x = clusters(3, [3] * 300, dims=16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    adj = build_graph(x, 12, 24)
+    assert adj.shape == (900, 12)
+    found = range_search(x, adj, x, 0.95, 24)
+    true = x @ x.T >= 0.95
+    assert not (found & ~true).any()
+    assert found.sum() >= 0.97 * true.sum()
+
+
+def test_forest():
+    node, low = forest(np.array([5, 7, 9, 2]), np.array([7, 9, 11, 3]))
+    assert dict(zip(node, low)) == {5: 5, 7: 5, 9: 5, 11: 5, 2: 2, 3: 2}
