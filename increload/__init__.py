@@ -8,7 +8,6 @@ from increload.operators.keyindex import (
     index_profile,
     merge_key_index,
     partition_count,
-    rebuild_key_index,
     select_keys,
 )
 from increload.operators.layout import (
@@ -19,7 +18,7 @@ from increload.operators.layout import (
     require_partitions,
     with_bucket,
 )
-from increload.operators.setops import except_rows, replay_split, replay_split_values
+from increload.operators.setops import except_rows, replay_split
 from increload.plans.job import LoadReport, run_load_job
 from increload.plans.load import LoadResult, incremental_load
 from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
@@ -27,6 +26,7 @@ from increload.sources.files import list_input_files, read_csv_dir, trim_column_
 from increload.sources.tables import (
     append_delta,
     compact_key_index,
+    compact_master,
     existing_keys,
     index_coverage,
     read_key_index,
@@ -42,6 +42,7 @@ __all__ = [
     "batch_partitions",
     "bucket_profile",
     "compact_key_index",
+    "compact_master",
     "build_key_index",
     "dedup_batch",
     "estimate_partitions_by_date",
@@ -59,10 +60,8 @@ __all__ = [
     "read_csv_dir",
     "read_key_index",
     "read_master",
-    "rebuild_key_index",
     "replay_split",
     "require_partitions",
-    "replay_split_values",
     "run_load_job",
     "select_keys",
     "sql_dedup",

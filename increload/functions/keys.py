@@ -43,7 +43,19 @@ def key_columns(part: str | None, keys: str | Sequence[str], scope: str = "parti
     return list(dict.fromkeys(keys))
 
 
-def packed_key(cols: Sequence[str]) -> list[Column]:
+def binary_equal(dtype: T.DataType) -> bool:
+    """Are equal values of this type equal in bytes?  Not so for strings with
+    a collation other than the binary one."""
+    if isinstance(dtype, T.StringType):
+        return getattr(dtype, "collation", "UTF8_BINARY") == "UTF8_BINARY"
+    if isinstance(dtype, T.ArrayType):
+        return binary_equal(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(binary_equal(f.dataType) for f in dtype.fields)
+    return True
+
+
+def packed_key(schema: T.StructType, cols: Sequence[str]) -> list[Column]:
     """``[xxhash64(cols), struct(cols)]``: the identifying columns packed.
 
     The struct is never null and Spark compares structs field by field with
@@ -53,15 +65,19 @@ def packed_key(cols: Sequence[str]) -> list[Column]:
     (``eqNullSafe`` hashes on ``coalesce``/``isnull`` terms, which no
     aggregate produces).  The leading 64-bit hash gives the sort-based
     aggregate and the sort-merge join a sort prefix: a struct alone has none,
-    which made every comparison walk the struct (about 2x slower).  Equal
-    structs have equal hashes, so the hash never changes a match.
+    which made every comparison walk the struct (about 2x slower).  Only
+    columns whose equal values are equal in bytes are hashed: strings that a
+    collation makes equal differ in ``xxhash64`` and are left to the struct.
+    So equal structs have equal hashes, and the hash never changes a match.
     """
     fields = [F.col(c) for c in cols]
-    return [F.xxhash64(*fields).alias(HASH_COL), F.struct(*fields).alias(KEY_COL)]
+    hashed = [F.col(c) for c in cols if binary_equal(schema[c].dataType)]
+    code = F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")
+    return [code.alias(HASH_COL), F.struct(*fields).alias(KEY_COL)]
 
 
 def with_packed_key(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    h, k = packed_key(cols)
+    h, k = packed_key(df.schema, cols)
     return df.withColumns({HASH_COL: h, KEY_COL: k})
 
 
@@ -93,7 +109,8 @@ _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 def bucket_of(c: Column, dtype: T.DataType, n: int) -> Column:
     """Non-negative ``value mod n`` as an int; null goes to bucket 0.
 
-    Fractional values are truncated toward zero first.  Non-numeric types are
+    Fractional values are truncated toward zero first; those that no long can
+    hold (NaN, infinite, too large) count as null.  Non-numeric types are
     rejected, as a bucket must be computable without hashing.
     """
     if n <= 0:
@@ -101,7 +118,7 @@ def bucket_of(c: Column, dtype: T.DataType, n: int) -> Column:
     if isinstance(dtype, _INTEGRAL):
         v = c
     elif isinstance(dtype, _FRACTIONAL):
-        v = c.cast("long")
+        v = c.try_cast("long")
     else:
         raise TypeError(f"bucket column must be numeric, got {dtype.simpleString()}")
     return F.coalesce(F.pmod(v, F.lit(n)), F.lit(0)).cast("int")

@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from increload.functions.keys import KEY_COLS, key_columns, packed_key, with_packed_key
+from increload.session import shared_scratch
 
-# Above this many distinct partition values in a batch, pruning switches from a
-# literal IN-list (static partition filters on the scan) to a semi-join.
+# Up to this many distinct partition values of a batch become literals of a
+# filter; more are broadcast to the scan as a table.
 DEFAULT_MAX_PRUNE_VALUES = 1000
 
-
-# Budget for broadcasting the batch's key set to the known side.
+# Largest table that is broadcast: the batch's keys, or its partition values.
 DEFAULT_BROADCAST_BUDGET = 64 << 20
 
 _FIXED_WIDTH = {
@@ -25,18 +25,28 @@ _FIXED_WIDTH = {
 }
 
 
-def key_bytes_bound(schema: T.StructType, cols: Sequence[str]) -> int | None:
+def _fixed_width(dtype: T.DataType) -> int | None:
+    if isinstance(dtype, T.DecimalType):
+        return 8 if dtype.precision <= 18 else 16
+    return next((w for t, w in _FIXED_WIDTH.items() if isinstance(dtype, t)), None)
+
+
+def _measured(dtype: T.DataType) -> bool:
+    """Is the width of this type measured on the batch?"""
+    return isinstance(dtype, (T.StringType, T.BinaryType))
+
+
+def key_bytes_bound(schema: T.StructType, cols: Sequence[str], longest: int = 0) -> int | None:
     """Upper bound on the bytes one packed key takes in a broadcast hash
-    relation, or ``None`` when a key column has no fixed width (strings)."""
-    width = 0
+    relation, or ``None`` when a key column has neither a fixed width nor a
+    measured one.  ``longest`` is the most that the string and binary columns
+    of one row take together."""
+    width = longest
     for c in cols:
-        dtype = schema[c].dataType
-        w = next((v for t, v in _FIXED_WIDTH.items() if isinstance(dtype, t)), None)
-        if w is None and isinstance(dtype, T.DecimalType):
-            w = 8 if dtype.precision <= 18 else 16
+        w = 0 if _measured(schema[c].dataType) else _fixed_width(schema[c].dataType)
         if w is None:
             return None
-        width += 8 + max(w, 8)  # null-tracking word share + 8-byte aligned slot
+        width += 16 + max(w, 8)  # null-tracking word share, offset word, 8-byte aligned slot
     # row headers of the packed row and its struct, the hash, and a 2x
     # allowance for the hash map around the rows
     return 2 * (48 + width)
@@ -44,40 +54,115 @@ def key_bytes_bound(schema: T.StructType, cols: Sequence[str]) -> int | None:
 
 @dataclass(frozen=True)
 class BatchProfile:
-    """What one small job learns about a batch before planning the join:
-    its partition values (``None``: more than the bound) and row count
-    (``None``: not counted)."""
+    """What one small job learns about a batch before planning the join.
 
-    values: list | None
-    n_rows: int | None
+    ``values``: its partition values as literal columns, nulls left out
+    (``None``: too many, or not comparable as literals; then ``table`` holds
+    them).  ``has_null``: is a partition value null?  ``longest``: most bytes
+    that the string and binary key columns of one row take.  ``tag``: a
+    checksum of the keys, the same however the batch is partitioned.
+    """
 
+    n_rows: int
+    longest: int
+    tag: str
+    values: list[Column] | None = None
+    has_null: bool = False
+    table: DataFrame | None = None
 
-def profile_batch(batch: DataFrame, part: str | None, max_values: int = DEFAULT_MAX_PRUNE_VALUES) -> BatchProfile:
-    """Partition values and row count of a batch in one aggregate job.
 
-    At most ``max_values + 1`` rows reach the driver.  Past that bound the
-    values are not returned and the row count is unknown.
-    """
-    if part is None:
-        return BatchProfile(None, batch.count())
-    rows = batch.groupBy(part).count().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        return BatchProfile(None, None)
-    return BatchProfile([r[0] for r in rows], sum(int(r[1]) for r in rows))
+def _collected(value: Column, dtype: T.DataType) -> Column:
+    """A partition value in a form that Python keeps exactly.  Timestamps go
+    as microseconds (their local time is ambiguous when clocks go back), dates
+    and local timestamps as text (Python's have no years beyond 9999, and its
+    local timestamps would be read in the driver's time zone)."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        return value.cast("string")
+    return value
+
 
+def _literal(value, dtype: T.DataType) -> Column:
+    """A collected partition value as a literal that equals the original."""
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(dtype)
 
-def prune_by_values(keys_df: DataFrame, part: str, values: list) -> DataFrame:
-    """``keys_df`` restricted to the given partition values (null kept as ``IS NULL``)."""
-    present = [v for v in values if v is not None]
-    cond = F.col(part).isin(present) if present else F.lit(False)
-    if len(present) != len(values):
-        cond = cond | F.col(part).isNull()
-    return keys_df.where(cond)
 
+def _collectable(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.DecimalType) or (
+        isinstance(dtype, (T.StringType, T.BinaryType, *_FIXED_WIDTH)) and not isinstance(dtype, (T.FloatType, T.DoubleType))
+    )
 
-def prune_by_semi_join(keys_df: DataFrame, batch: DataFrame, part: str) -> DataFrame:
-    wanted = batch.select(F.col(part).alias("__part")).distinct()
-    return keys_df.join(wanted, keys_df[part].eqNullSafe(wanted["__part"]), "left_semi")
+
+def profile_batch(
+    batch: DataFrame, part: str | None, cols: Sequence[str], max_values: int = DEFAULT_MAX_PRUNE_VALUES
+) -> BatchProfile:
+    """Partition values, row count, key widths and key checksum of a batch.
+
+    One aggregate per partition value.  At most ``max_values + 1`` rows reach
+    the driver; beyond that the aggregate is written to the session's shared
+    folder, and only its totals are collected.
+    """
+    schema = batch.schema
+    widths = [F.coalesce(F.octet_length(c), F.lit(0)) for c in cols if _measured(schema[c].dataType)]
+    longest = F.max(sum(widths, F.lit(0)))
+    stats = [F.count(F.lit(1)).alias("n"), longest.alias("w"), F.bit_xor(F.xxhash64(*cols)).alias("x")]
+
+    def made(n, w, x, **more) -> BatchProfile:
+        return BatchProfile(int(n or 0), int(w or 0), f"{int(n or 0)}-{(x or 0) & (1 << 64) - 1:016x}", **more)
+
+    if part is None:
+        return made(*batch.agg(*stats).first())
+    dtype = schema[part].dataType
+    per_value = batch.groupBy(F.col(part).alias("value")).agg(*stats)
+    if _collectable(dtype):
+        rows = per_value.withColumn("value", _collected(F.col("value"), dtype)).limit(max_values + 1).collect()
+        if len(rows) <= max_values:
+            x = 0
+            for r in rows:
+                x ^= r["x"]
+            values = [_literal(r["value"], dtype) for r in rows if r["value"] is not None]
+            return made(
+                sum(r["n"] for r in rows), max([r["w"] for r in rows], default=0), x,
+                values=values, has_null=len(values) < len(rows),
+            )
+    spark = batch.sparkSession
+    path = shared_scratch(spark, "batch-values")
+    per_value.write.parquet(path)
+    table = spark.read.schema(per_value.schema).parquet(path)
+    n, w, x, null = table.agg(F.sum("n"), F.max("w"), F.bit_xor("x"), F.count_if(F.col("value").isNull())).first()
+    return made(n, w, x, has_null=bool(null), table=table.select("value", "n"))
+
+
+def prune_to_profile(keys_df: DataFrame, part: str, profile: BatchProfile, budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
+    """``keys_df`` restricted to the partition values of a profiled batch.
+
+    Few values become an ``IN`` filter, which prunes directories and row
+    groups when the scan is planned.  Many are joined as a table on plain
+    equality; when their measured size fits ``budget`` they are broadcast, so
+    that Spark prunes the scan's directories at run time by the same values.
+    A null value is kept by an ``IS NULL`` branch of its own.
+    """
+    col = F.col(part)
+    if profile.values is not None:
+        cond = col.isin(*profile.values) if profile.values else F.lit(False)
+        return keys_df.where(cond | col.isNull() if profile.has_null else cond)
+    # n > 0 holds for every row; it tells the optimizer that the table selects
+    wanted = profile.table.where((F.col("n") > 0) & F.col("value").isNotNull()).select("value")
+    size = profile.table.agg(F.sum(F.lit(64) + _value_bytes(profile.table))).first()[0] or 0
+    if size <= budget:
+        wanted = F.broadcast(wanted)
+    out = keys_df.join(wanted, col == wanted["value"], "left_semi")
+    return out.unionByName(keys_df.where(col.isNull())) if profile.has_null else out
+
+
+def _value_bytes(table: DataFrame) -> Column:
+    dtype = table.schema["value"].dataType
+    if _measured(dtype):
+        return F.coalesce(F.octet_length("value"), F.lit(0))
+    return F.lit(_fixed_width(dtype) or 1 << 40)  # other types are not broadcast
 
 
 def prune_to_batch_partitions(
@@ -85,23 +170,15 @@ def prune_to_batch_partitions(
     batch: DataFrame,
     part: str,
     max_values: int = DEFAULT_MAX_PRUNE_VALUES,
+    budget: int = DEFAULT_BROADCAST_BUDGET,
 ) -> DataFrame:
     """Restrict a key table (or master) to the partition values the batch touches.
 
     Spark's dynamic partition pruning does not fire for a left-anti join, so
-    without this step the whole key table is scanned.  The batch's distinct
-    partition values are fetched with a bounded ``limit(max_values + 1)``: at
-    most ``max_values`` literals reach the driver and become an ``IN`` filter
-    that prunes directories / row groups at the scan.  A batch touching more
-    values uses a semi-join instead (planned by AQE from runtime sizes).  A
-    null partition value is kept as ``IS NULL``.
-
-    Only valid for partition-scoped matching.
+    without this step the whole key table is scanned.  Only valid for
+    partition-scoped matching.
     """
-    values = [r[0] for r in batch.select(part).distinct().limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        return prune_by_semi_join(keys_df, batch, part)
-    return prune_by_values(keys_df, part, values)
+    return prune_to_profile(keys_df, part, profile_batch(batch, part, [part], max_values), budget)
 
 
 def anti_on(batch: DataFrame, known: DataFrame, key_cols: Sequence[str] = KEY_COLS) -> DataFrame:
@@ -148,20 +225,26 @@ def anti_join_keys(
     loaded filters a null key again.  ``nulls="sql"`` uses plain SQL equality
     (null never matches): only for keys declared non-null.
 
-    ``broadcast_budget`` (bytes, off by default): count the batch first and,
-    when its rows times the fixed key width fit, broadcast the batch keys so
-    ``existing_keys`` is filtered instead of shuffled (null-safe form only).
+    ``broadcast_budget`` (bytes, off by default): profile the batch first and,
+    when its rows times the bound of a key's width fit, broadcast the batch
+    keys so ``existing_keys`` is filtered instead of shuffled (null-safe form
+    only).
     """
     cols = key_columns(part, keys, scope)
     if nulls == "sql":
         return batch.join(existing_keys.select(*cols), on=cols, how="left_anti")
     if nulls != "safe":
         raise ValueError("nulls must be 'safe' or 'sql'")
-    known = existing_keys.select(*packed_key(cols))
+    known = existing_keys.select(*packed_key(existing_keys.schema, cols))
     packed = with_packed_key(batch, cols)
-    width = key_bytes_bound(batch.schema, cols) if broadcast_budget else None
-    if width is not None and batch.count() * width <= broadcast_budget:
-        out = anti_on_broadcast_keys(packed, known, batch.select(*packed_key(cols)))
+    if broadcast_budget and fits(batch.schema, cols, profile_batch(batch, None, cols), broadcast_budget):
+        out = anti_on_broadcast_keys(packed, known, batch.select(*packed_key(batch.schema, cols)))
     else:
         out = anti_on(packed, known)
     return out.select(*batch.columns)
+
+
+def fits(schema: T.StructType, cols: Sequence[str], profile: BatchProfile, budget: int) -> bool:
+    """Do all keys of a profiled batch fit ``budget`` bytes?"""
+    width = key_bytes_bound(schema, cols, profile.longest)
+    return width is not None and profile.n_rows * width <= budget

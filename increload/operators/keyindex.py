@@ -30,15 +30,11 @@ def select_keys(df: DataFrame, part: str | None, keys: str | Sequence[str]) -> D
 
 
 def build_key_index(df: DataFrame, part: str | None, keys: str | Sequence[str]) -> DataFrame:
-    """Distinct ``(part, *keys)`` of a table.  Partial + final aggregate."""
+    """Distinct ``(part, *keys)`` of a table: the index of a batch, or of a
+    master table whose stored index is lost.  Partial + final aggregate."""
     return select_keys(df, part, keys).distinct()
 
 
-def rebuild_key_index(master: DataFrame, part: str | None, keys: str | Sequence[str]) -> DataFrame:
-    """The index of a master table whose stored index is lost."""
-    return build_key_index(master, part, keys)
-
-
 def merge_key_index(*indexes: DataFrame) -> DataFrame:
     """Set union of key indexes (n-ary)."""
     if not indexes:

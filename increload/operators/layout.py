@@ -17,18 +17,23 @@ def with_bucket(df: DataFrame, col: str, n: int, name: str = "bucket") -> DataFr
     return df.withColumn(name, bucket_of(F.col(col), df.schema[col].dataType, n))
 
 
-def layout_by_bucket(df: DataFrame, col: str, n: int, spread: int = 8) -> DataFrame:
+def layout_by_bucket(
+    df: DataFrame, col: str, n: int, spread: int | None = None, rows_per_partition: int = 1_000_000
+) -> DataFrame:
     """Place rows so that Spark partitions ``[b*spread, (b+1)*spread)`` hold
     exactly the rows of bucket ``b``.
 
     Each bucket is split over ``spread`` partitions by a hash of the whole
-    row, so a bucket holding a third of the data is still written by
-    ``spread`` tasks rather than one.  ``spread=1`` gives one partition per
-    bucket.
+    row.  By default ``spread`` comes from the largest bucket (one count per
+    bucket): as many partitions as it needs for ``rows_per_partition`` rows
+    each, however hot it is.  ``spread=1`` gives one partition per bucket.
     """
+    bucket = bucket_of(F.col(col), df.schema[col].dataType, n)
+    if spread is None:
+        largest = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] or 0
+        spread = max(1, -(-largest // rows_per_partition))
     if spread < 1:
         raise ValueError("spread must be >= 1")
-    bucket = bucket_of(F.col(col), df.schema[col].dataType, n)
     if spread == 1:
         pid = bucket
     else:
@@ -71,7 +76,7 @@ def require_partitions(estimate: DataFrame) -> int:
     partition at all (no input file) raises ``ValueError``."""
     n = estimate.first()["estimate"]
     if not n:
-        raise ValueError("number of partitions of the new data cannot be 0: no input files")
+        raise ValueError("the batch location holds no input file")
     return int(n)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +19,6 @@ def replay_split(df: DataFrame, is_existing: Column, is_replayed: Column) -> tup
     return existing, batch
 
 
-def replay_split_values(
-    df: DataFrame, part: str, existing_values: Sequence, new_values: Sequence, replay_values: Sequence
-) -> tuple[DataFrame, DataFrame]:
-    """:func:`replay_split` with explicit partition value lists."""
-    existing = df.where(F.col(part).isin(list(existing_values)))
-    batch = df.where(F.col(part).isin(list(new_values))).unionByName(
-        df.where(F.col(part).isin(list(replay_values)))
-    )
-    return existing, batch
-
-
 def except_rows(df: DataFrame, other: DataFrame) -> DataFrame:
     """Distinct rows of ``df`` not in ``other`` (SQL ``EXCEPT DISTINCT``)."""
     return df.subtract(other.select(*df.columns))

@@ -27,6 +27,7 @@ from increload.operators.layout import (
     bucket_profile,
     estimate_partitions_by_date,
     estimate_partitions_by_files,
+    require_partitions,
     layout_by_bucket,
     with_bucket,
 )
@@ -36,7 +37,7 @@ from increload.plans.load import incremental_load
 from increload.plans.sql_baseline import sql_dedup, sql_dedup_text
 from increload.session import shared_scratch
 from increload.sources import tables
-from increload.sources.files import read_csv_dir, trim_column_names, with_partition_column
+from increload.sources.files import list_input_files, read_csv_dir, trim_column_names, with_partition_column
 from increload.streaming.micro_batch import load_stream
 
 # Fixed split points of the test increments.
@@ -63,8 +64,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _redelivered(ev: DataFrame) -> DataFrame:
+    """Events as a careless producer delivers them: some without a key, some
+    without a day, some twice (with another value)."""
+    by = lambda n: F.pmod("user_id", F.lit(n)) == 0
+    some = lambda n, c: F.when(F.pmod(F.col("event_id") * 7, F.lit(n)) != 0, F.col(c))
+    ev = ev.withColumns({"day": some(41, "day"), "event_id": some(37, "event_id")})
+    return ev.unionByName(ev.where(by(3)).withColumn("value", F.col("value") + 1))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").withColumn("day", yyyymmdd("ts"))
+    return _redelivered(_read(spark, sf_dir, "events").withColumn("day", yyyymmdd("ts")))
 
 
 def events_increment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +98,11 @@ def orders_increment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 # SQL fragments shared by the oracles (DuckDB dialect).
 _EV = f"""
-ev AS (SELECT *, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS day FROM events),
+e0 AS (SELECT * REPLACE (CASE WHEN event_id * 7 % 37 <> 0 THEN event_id END AS event_id),
+              CASE WHEN event_id * 7 % 41 <> 0
+                   THEN CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) END AS day
+       FROM events),
+ev AS (SELECT * FROM e0 UNION ALL SELECT * REPLACE (value + 1 AS value) FROM e0 WHERE user_id % 3 = 0),
 ex AS (SELECT * FROM ev WHERE day < {EVENTS_SPLIT_DAY}),
 bt AS (SELECT * FROM ev WHERE NOT coalesce(day < {EVENTS_SPLIT_DAY}, false)
        UNION ALL SELECT * FROM ev WHERE day = {EVENTS_REPLAY_DAY})"""
@@ -114,9 +128,13 @@ def _nulls_first(cols: list[str]) -> str:
 
 
 def q_load_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is stored and read back, as between two runs."""
     existing, batch = events_increment(spark, sf_dir)
     index = build_key_index(existing, "day", ["event_id"])
-    return incremental_load(batch, existing, index, "day", ["event_id"]).delta
+    path = shared_scratch(spark, "key-index")
+    index.write.parquet(path)
+    stored = spark.read.schema(index.schema).parquet(path)
+    return incremental_load(batch, existing, stored, "day", ["event_id"]).delta
 
 
 def q_load_index_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,6 +581,55 @@ def q_compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_key_index(spark, base, schema)
 
 
+def q_compacted_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored loads, index and master merged into segments, a third load
+    of everything again (which appends nothing), and a second merge; the
+    master table afterwards."""
+    base = _two_loads(spark, sf_dir)
+    ev = events(spark, sf_dir)
+    tables.compact_key_index(spark, base, tables.key_schema_of(ev.schema, "day", ["event_id"]), "day")
+    tables.compact_master(spark, base, ev.schema, "day")
+    run_load_job(spark, ev, base, 3, "day", ["event_id"])
+    tables.compact_master(spark, base, ev.schema, "day", full=True)
+    return tables.read_master(spark, base, ev.schema)
+
+
+_SQL_COMPACTED_MASTER = f"""
+WITH {_EV},
+dd AS (SELECT *, 1 AS b FROM ex UNION ALL SELECT *, 2 AS b FROM bt)
+SELECT * EXCLUDE (rn, b), CAST(b AS BIGINT) AS batch_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY day, event_id ORDER BY b,
+                                 {_nulls_first(['ts', 'user_id', 'event_type', 'value', 'props'])}) AS rn
+    FROM dd) WHERE rn = 1
+"""
+
+
+def q_load_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load, a second one whose first attempt dies after writing half of its
+    rows, its retry, the retry's own retry, and the batch delivered again
+    under a new id; the master table afterwards."""
+    base = shared_scratch(spark, "load-retry")
+    existing, batch = events_increment(spark, sf_dir)
+    run_load_job(spark, existing, base, 1, "day", ["event_id"])
+    tables.append_delta(batch.where("user_id % 2 = 0"), base, 2, "day", tables.new_attempt())
+    run_load_job(spark, batch, base, 2, "day", ["event_id"])
+    run_load_job(spark, batch, base, 2, "day", ["event_id"])
+    run_load_job(spark, batch, base, 3, "day", ["event_id"])
+    return tables.read_master(spark, base, batch.schema)
+
+
+def q_load_many_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders loaded by order day: more partition values than become literals."""
+    o = _read(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    existing, batch = replay_split(o, F.pmod("o_orderkey", F.lit(3)) != 0, F.pmod("o_orderkey", F.lit(5)) == 0)
+    return incremental_load(batch, existing, build_key_index(existing, "d", ["o_orderkey"]), "d", ["o_orderkey"]).delta
+
+
+_SQL_LOAD_MANY = """
+SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders WHERE coalesce(o_orderkey % 3 = 0, true)
+"""
+
+
 def q_csv_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members-style CSV drop: header names padded with blanks, every value
     text; the partition column is cast from one of them."""
@@ -570,7 +637,9 @@ def q_csv_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing, batch = events_increment(spark, sf_dir)
 
     def drop_csv(df: DataFrame, name: str) -> None:
-        cols = ["event_id", "user_id", "event_type", "props", "day"]
+        cols = df.columns
+        # text forms that read the same everywhere
+        df = df.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "value": F.col("value").cast("decimal(20,4)")})
         out = df.select(*[F.col(c).cast("string").alias(c if i == 0 else f" {c}") for i, c in enumerate(cols)])
         out.write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
 
@@ -581,10 +650,16 @@ def q_csv_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_load(new, old, None, "part", ["event_id"]).delta
 
 
+_SQL_LOAD_TEXT_EVENTS = _SQL_LOAD_EVENTS.replace("user_id ASC", "CAST(user_id AS VARCHAR) ASC").replace(
+    "value ASC", "CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) ASC"
+)
+
+# The rows are text when they are de-duplicated, so text order decides.
 _SQL_CSV_DEMO = f"""
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) AS value,
        CAST(day AS VARCHAR) AS day, day AS part
-FROM ({_SQL_LOAD_EVENTS})
+FROM ({_SQL_LOAD_TEXT_EVENTS})
 """
 
 
@@ -595,7 +670,8 @@ def q_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     root = shared_scratch(spark, "stream-load")
     early = F.col("day") < EVENTS_SPLIT_DAY
-    for i, cond in enumerate([early, ~early, ~early]):
+    late = ~early | early.isNull()
+    for i, cond in enumerate([early, late, late]):
         ev.where(cond).write.mode("overwrite").parquet(f"{root}/landing/drop={i}")
     stream = (
         spark.readStream.schema(ev.schema)
@@ -619,6 +695,53 @@ SELECT * EXCLUDE (rn) FROM (
 """
 
 
+def q_stream_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream loads the first days, a job loads one day under a high id, all
+    is compacted, and the stream goes on with the rest; the master table
+    afterwards."""
+    ev = events(spark, sf_dir)
+    root = shared_scratch(spark, "stream-compaction")
+    base, landing = f"{root}/tables", f"{root}/landing"
+    early, replayed = F.col("day") < EVENTS_REPLAY_DAY, F.col("day") == EVENTS_REPLAY_DAY
+
+    def drop_and_run(df: DataFrame, name: str) -> None:
+        df.write.parquet(f"{landing}/drop={name}")
+        stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).parquet(landing)
+        q = load_stream(stream, base, "day", ["event_id"], f"{root}/checkpoint", trigger={"availableNow": True}, compact_every=1)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+    drop_and_run(ev.where(early), "first")
+    run_load_job(spark, ev.where(replayed), base, 2_000_000, "day", ["event_id"])
+    tables.compact_key_index(spark, base, tables.key_schema_of(ev.schema, "day", ["event_id"]), "day", full=True)
+    drop_and_run(ev.where(~early | early.isNull()), "rest")
+    return tables.read_master(spark, base, ev.schema).drop("batch_id")
+
+
+def q_estimate_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as one landing directory per day, listed, and estimated
+    by date and by directory; the load's guard accepts the first."""
+    path = shared_scratch(spark, "landing-files")
+    ev = events(spark, sf_dir)
+    dated = ev.withColumn("file", F.concat(F.coalesce(F.col("day").cast("string"), F.lit("undated")), F.lit("-export")))
+    dated.select("file", "user_id").write.partitionBy("file").parquet(path)
+    listed = list_input_files(spark, path)
+    by_date = estimate_partitions_by_date(listed.select(F.col("segment").alias("path")))
+    require_partitions(by_date)
+    names = listed.select(F.col("segment").alias("path"))
+    return by_date.select(F.lit("date").alias("kind"), "estimate").unionByName(
+        estimate_partitions_by_files(names).select(F.lit("files").alias("kind"), "estimate")
+    )
+
+
+_SQL_ESTIMATE_LANDING = f"""
+WITH {_EV}
+SELECT kind, count(DISTINCT coalesce(day, -1)) AS estimate
+FROM ev CROSS JOIN (VALUES ('date'), ('files')) AS k(kind) GROUP BY kind
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_with_index": q_load_with_index,
     "load_index_lost": q_load_index_lost,
@@ -653,6 +776,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compacted_index": q_compacted_index,
     "csv_demo": q_csv_demo,
     "stream_load": q_stream_load,
+    "load_retry": q_load_retry,
+    "load_many_partitions": q_load_many_partitions,
+    "compacted_master": q_compacted_master,
+    "stream_after_compaction": q_stream_after_compaction,
+    "estimate_landing": q_estimate_landing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -689,4 +817,9 @@ ORACLE_SQL: dict[str, str] = {
     "compacted_index": _SQL_STORED_INDEX,
     "csv_demo": _SQL_CSV_DEMO,
     "stream_load": _SQL_STREAM_LOAD,
+    "load_retry": _SQL_COMPACTED_MASTER,
+    "load_many_partitions": _SQL_LOAD_MANY,
+    "compacted_master": _SQL_COMPACTED_MASTER,
+    "stream_after_compaction": _SQL_STREAM_LOAD,
+    "estimate_landing": _SQL_ESTIMATE_LANDING,
 }

@@ -9,22 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from increload.functions.keys import as_list
-from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES
+from increload.functions.keys import as_list, key_columns
+from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES, profile_batch
+from increload.operators.layout import require_partitions
 from increload.plans.load import new_rows
+from increload.session import shared_scratch
 from increload.sources import tables
 
+# Ids from here on belong to streams (see increload.streaming.micro_batch).
+STREAM_IDS = 1 << 52
+
 
 @dataclass(frozen=True)
 class LoadReport:
     """What a stored load did: rows appended, whether nothing was loaded
-    before, and which earlier batches had their keys read from master
-    because their index was missing."""
+    before, which earlier batches had their keys read from master because
+    their index was missing, and whether the batch's rows were committed
+    already, so that nothing was appended now."""
 
     batch_id: int
     n_rows: int
     first_load: bool
     rebuilt_batches: tuple[int, ...]
+    repeated: bool = False
 
 
 def run_load_job(
@@ -38,44 +45,90 @@ def run_load_job(
     scope: str = "partition",
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
+    estimate: DataFrame | None = None,
+    land: bool = True,
 ) -> LoadReport:
     """Load ``batch`` as batch ``batch_id`` into the tables under ``base``.
 
-    1. Known keys = stored index of committed batches, plus the keys of
-       committed batches whose index is missing, read from their master
-       directories.  Batch ``batch_id`` itself is excluded, so a retry
-       recomputes the same delta.
-    2. Delta = de-duplicated batch minus known keys -> ``master/batch_id=K``,
-       then the ``data`` commit.
-    3. The delta's keys, read back from what was written -> ``index/batch_id=K``,
-       then the ``index`` commit.
+    1. The batch is landed: written once to the session's shared folder, so
+       that the steps below see the same rows whatever the source does.
+       (``land=False`` for a source known to be stable, such as files.)
+    2. Known keys = stored index of committed batches, plus the keys of
+       committed batches whose index is missing, read from their master files.
+    3. Delta = de-duplicated batch minus known keys -> an attempt directory of
+       its own under ``master/batch_id=K``, then the ``data`` commit, which
+       names the attempt.
+    4. The delta's keys, read back from what was written -> an attempt under
+       ``index/batch_id=K``, then the ``index`` commit.
 
-    The written files cut the lineage: step 3 re-reads two columns of the
-    delta instead of recomputing it, and nothing is cached on executors.
+    A commit is final.  When ``data`` is committed for ``batch_id``, its rows
+    are never written again: a retry only finishes the index, and a different
+    batch under the same id raises ``ValueError`` (told apart by row count and
+    a checksum of the keys).
 
-    A string partition value ``""`` is stored, and therefore matched, as
-    null: partition directories cannot tell the two apart.
+    ``estimate`` (one row, from the partition estimators over the batch's
+    location): an estimate of 0 raises.  An empty-string partition value
+    raises: partition directories cannot tell it from null.
     """
+    if not 0 <= batch_id < STREAM_IDS:
+        raise ValueError(f"batch ids of load jobs lie in [0, {STREAM_IDS}); ids above belong to streams")
+    return load_batch(
+        spark, batch, base, batch_id, part, keys, order_by, scope, max_prune_values, broadcast_budget, estimate, land
+    )
+
+
+def load_batch(
+    spark: SparkSession,
+    batch: DataFrame,
+    base: str,
+    batch_id: int,
+    part: str | None,
+    keys: str | Sequence[str],
+    order_by: Sequence[str] | None,
+    scope: str,
+    max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
+    broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
+    estimate: DataFrame | None = None,
+    land: bool = True,
+) -> LoadReport:
+    """:func:`run_load_job` for any batch id, a stream's too."""
     keys = as_list(keys)
-    reserved = [c for c in batch.columns if c == tables.BATCH_COL or c.startswith("__increload")]
+    reserved = [c for c in batch.columns if c in (tables.BATCH_COL, tables.ATTEMPT_COL) or c.startswith("__increload")]
     if reserved:
         raise ValueError(f"batch columns {reserved} clash with the stored table's own columns; rename them")
+    if estimate is not None:
+        require_partitions(estimate)
+    if land:
+        path = shared_scratch(spark, "landed")
+        batch.write.parquet(path)
+        batch = spark.read.schema(batch.schema).parquet(path)
+    cols = key_columns(part, keys, scope)
+    profile = profile_batch(batch, part, cols, max_prune_values)
     if part is not None and isinstance(batch.schema[part].dataType, T.StringType):
-        # Partition directories cannot tell "" from null (both are written as
-        # the default partition), so match them the way they will be stored.
-        batch = batch.withColumn(part, F.nullif(F.col(part), F.lit("")))
+        values = batch if profile.values is None else spark.range(1).select(F.explode(F.array(*profile.values, F.lit(None).cast("string"))).alias(part))
+        if not values.where(F.col(part) == "").isEmpty():
+            raise ValueError(f"an empty string in {part!r} cannot be stored as a partition value; use null or another value")
+    state = tables.read_state(spark, base, batch_id)
     key_schema = tables.key_schema_of(batch.schema, part, keys)
-    cov = tables.coverage_lists(spark, base, exclude=[batch_id], full=False)
-    if cov.compacted is not None and batch_id <= cov.compacted:
-        raise ValueError(f"batch {batch_id} is already merged into the index compaction up to {cov.compacted}")
-    known = tables.existing_keys(spark, base, key_schema, coverage=cov)
-    delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget)
-
-    tables.append_delta(delta, base, batch_id, part)
-    written = spark.read.schema(batch.schema).parquet(tables.batch_dir(base, tables.MASTER, batch_id))
-    n = written.count()
-    tables.write_commit(spark, base, "data", batch_id, n, cov.compacted)
-
-    tables.write_key_index(written.select(*key_schema.fieldNames()), base, batch_id, part)
-    tables.write_commit(spark, base, "index", batch_id, n, cov.compacted)
-    return LoadReport(int(batch_id), int(n), not cov.loaded, cov.missing)
+
+    done = state.asked
+    if done is not None:
+        if done.tag is not None and done.tag != profile.tag:
+            raise ValueError(f"batch {batch_id} is already committed with other input ({done.tag}, now {profile.tag})")
+        attempt, n = done.data, done.n
+    else:
+        known = tables.existing_keys(spark, base, key_schema, state)
+        delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget, profile)
+        attempt = tables.new_attempt()
+        tables.append_delta(delta, base, batch_id, part, attempt)
+        n = tables.read_attempt(spark, base, batch_id, attempt, batch.schema).count()  # from the file footers
+        tables.write_commit(spark, base, "data", batch_id, n, attempt, profile.tag, state.gen)
+    if done is None or not done.has_index:
+        if attempt is not None:
+            rows = tables.read_attempt(spark, base, batch_id, attempt, batch.schema)
+        else:  # the data lies in a segment by now
+            rows = tables.read_master(spark, base, batch.schema, [batch_id])
+        index_attempt = tables.new_attempt()
+        tables.write_key_index(rows.select(*key_schema.fieldNames()), base, batch_id, part, index_attempt)
+        tables.write_commit(spark, base, "index", batch_id, n, index_attempt, None, state.gen)
+    return LoadReport(int(batch_id), int(n), not state.loaded, state.missing, done is not None)

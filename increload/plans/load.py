@@ -11,15 +11,17 @@ from increload.functions.keys import as_list, key_columns, packed_key, with_pack
 from increload.operators.antijoin import (
     DEFAULT_BROADCAST_BUDGET,
     DEFAULT_MAX_PRUNE_VALUES,
+    BatchProfile,
     anti_on,
     anti_on_broadcast_keys,
+    fits,
     key_bytes_bound,
     profile_batch,
-    prune_by_semi_join,
-    prune_by_values,
+    prune_to_profile,
 )
 from increload.operators.dedup import dedup_on
 from increload.operators.keyindex import select_keys
+from increload.operators.layout import require_partitions
 
 
 @dataclass(frozen=True)
@@ -45,16 +47,18 @@ def new_rows(
     prune: bool = True,
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
+    profile: BatchProfile | None = None,
 ) -> DataFrame:
     """De-duplicate ``batch`` and drop the keys in ``known_keys`` (``None``: nothing known).
 
     One logical plan: the dedup and the anti-join group/join on the same
     packed key, so the batch is shuffled once.  Before planning, one small
-    job profiles the batch (partition values, row count):
+    job profiles the batch (partition values, row count, key widths; or
+    ``profile`` is a profile made earlier):
 
     * partition scope: the known keys are pruned to the batch's partition
-      values (an ``IN`` filter on the scan);
-    * when the row count times the fixed width of a key fits
+      values (a filter on the scan, or pruning at run time for very many);
+    * when the row count times the bound of a key's width fits
       ``broadcast_budget`` (a bound on the batch's key set, checked before
       anything is broadcast), the batch keys are broadcast to the known side
       instead of shuffling the known side; otherwise both sides meet in a
@@ -65,17 +69,14 @@ def new_rows(
     deduped = dedup_on(with_packed_key(batch, cols), cols, order_by)
     if known_keys is not None:
         pruning = scope == "partition" and part is not None and prune
-        width = key_bytes_bound(batch.schema, cols) if broadcast_budget > 0 else None
-        if pruning or width is not None:
-            profile = profile_batch(batch, part if pruning else None, max_prune_values)
+        broadcasting = broadcast_budget > 0 and key_bytes_bound(batch.schema, cols) is not None
+        if profile is None and (pruning or broadcasting):
+            profile = profile_batch(batch, part if pruning else None, cols, max_prune_values)
         if pruning:
-            if profile.values is None:
-                known_keys = prune_by_semi_join(known_keys, batch, part)
-            else:
-                known_keys = prune_by_values(known_keys, part, profile.values)
-        known_packed = known_keys.select(*packed_key(cols))
-        if width is not None and profile.n_rows is not None and profile.n_rows * width <= broadcast_budget:
-            batch_keys = batch.select(*packed_key(cols))
+            known_keys = prune_to_profile(known_keys, part, profile, broadcast_budget)
+        known_packed = known_keys.select(*packed_key(known_keys.schema, cols))
+        if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):
+            batch_keys = batch.select(*packed_key(batch.schema, cols))
             deduped = anti_on_broadcast_keys(deduped, known_packed, batch_keys)
         else:
             deduped = anti_on(deduped, known_packed)
@@ -93,6 +94,7 @@ def incremental_load(
     prune: bool = True,
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
+    estimate: DataFrame | None = None,
 ) -> LoadResult:
     """Which rows of ``batch`` must be appended to ``existing``?
 
@@ -105,8 +107,18 @@ def incremental_load(
     ``scope="partition"`` matches on ``(part, *keys)``; ``"global"`` on the
     keys alone, across partitions.  Insert-only: a known key with a changed
     payload is dropped, never updated.
+
+    ``estimate`` (one row, from the partition estimators over the batch's
+    location) guards against an empty location: an estimate of 0 raises.
+
+    The plan reads ``batch`` more than once (profile, keys, rows), and the
+    result is lazy: ``batch`` must give the same rows each time.  For a source
+    that changes, or that is dear to read, write it to a table first, as
+    :func:`increload.plans.job.run_load_job` does.
     """
     keys = as_list(keys)
+    if estimate is not None:
+        require_partitions(estimate)
     if _is_empty(existing):
         delta = new_rows(batch, None, part, keys, order_by, scope)
         return LoadResult(delta, select_keys(delta, part, keys))

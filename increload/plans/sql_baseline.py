@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.functions.keys import all_null, as_list, with_packed_key, packed_key
+from increload.functions.keys import all_null, as_list, orderable, packed_key, with_packed_key
 from increload.operators.antijoin import DEFAULT_MAX_PRUNE_VALUES, anti_on, prune_to_batch_partitions
 from increload.operators.dedup import pick_row
 
@@ -41,7 +41,7 @@ def sql_dedup(
     keys = as_list(keys)
     master_keys = prune_to_batch_partitions(existing.select(part, *keys), batch, part, max_prune_values)
     master_keys = master_keys.where(~all_null([F.col(k) for k in keys]))
-    kept = anti_on(with_packed_key(batch, keys), master_keys.select(*packed_key(keys))).select(*batch.columns)
+    kept = anti_on(with_packed_key(batch, keys), master_keys.select(*packed_key(master_keys.schema, keys))).select(*batch.columns)
     group = [*keys, part]
     if output == "counts":
         values = as_list(value_cols) if value_cols else [c for c in batch.columns if c not in group]
@@ -59,6 +59,10 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _s(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def sql_dedup_text(
     batch: DataFrame,
     existing: DataFrame,
@@ -101,11 +105,18 @@ def sql_dedup_text(
             sql = f"SELECT {group_sql}, {aggs} FROM ({kept}) t GROUP BY {group_sql}"
         elif output == "one":
             rest = [c for c in batch.columns if c not in group]
-            fields = ", ".join(f"'{c}', {_q(c)}" for c in rest)
+            fields = ", ".join(f"{_s(c)}, {_q(c)}" for c in rest)
             picked = ", ".join(f"r.{_q(c)} AS {_q(c)}" for c in rest)
+            ranks = ", ".join(_q(c) for c in rest if orderable(batch.schema[c].dataType))
+            # the same choice as pick_row: by the columns that have an order
+            if all(orderable(batch.schema[c].dataType) for c in rest):
+                one = f"min(named_struct({fields}))"
+            else:
+                one = f"min_by(named_struct({fields}), struct({ranks}))" if ranks else f"first(named_struct({fields}))"
             sql = (
-                f"SELECT {group_sql}, {picked} FROM (SELECT {group_sql}, min(named_struct({fields})) AS r "
-                f"FROM ({kept}) t GROUP BY {group_sql}) g"
+                f"SELECT {group_sql}, {picked} FROM (SELECT {group_sql}, {one} AS r FROM ({kept}) t GROUP BY {group_sql}) g"
+                if rest
+                else f"SELECT DISTINCT {group_sql} FROM ({kept}) t"
             )
         else:
             raise ValueError("output must be 'counts' or 'one'")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,26 +21,57 @@ def with_partition_column(df: DataFrame, name: str, source_col: str, dtype: str
     return df.withColumn(name, F.col(source_col).try_cast(dtype))
 
 
-def _base_key(base: str) -> str:
-    parsed = urlparse(base)
-    path = parsed.path if parsed.scheme else os.path.abspath(base)
-    return path.rstrip("/") + "/"
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names its files: scheme and authority of the path's
+    (or the default) file system, absolute, no trailing slash."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toString().rstrip("/")
+
+
+# What Hadoop's path patterns are made of, and their meaning within one segment.
+_GLOB = {"*": "[^/]*", "?": "[^/]"}
+
+
+def _pattern(path: str) -> str:
+    """Regular expression for the files below ``path``, which may hold ``*``,
+    ``?``, ``[...]`` and ``{a,b}``.  The first group is the next segment."""
+    out, braces, i = [], 0, 0
+    while i < len(path):
+        ch = path[i]
+        if ch == "[" and "]" in path[i:]:
+            end = path.index("]", i)
+            out.append(path[i : end + 1])
+            i = end
+        elif ch == "{" and "}" in path[i:]:
+            braces += 1
+            out.append("(?:")
+        elif ch == "}" and braces:
+            braces -= 1
+            out.append(")")
+        elif ch == "," and braces:
+            out.append("|")
+        else:
+            out.append(_GLOB.get(ch) or ("\\" + ch if not ch.isalnum() and ch.isascii() else ch))
+        i += 1
+    return "^" + "".join(out) + "/+([^/]+)"
+
+
+def below(path: Column, pattern: str) -> Column:
+    """The segment below the base; a path that is not below it raises."""
+    segment = F.regexp_extract(path, pattern, 1)
+    return F.when(segment != "", segment).otherwise(F.raise_error(F.concat(F.lit("not below the listed path: "), path)).cast("string"))
 
 
 def list_input_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under ``path`` as rows ``(path, segment)``, contents not read.
 
     ``segment`` is the name directly below ``path``: the file name, or the
-    directory it sits in (e.g. ``date=20170101``).  Spark's listing skips
-    names starting with ``_`` or ``.`` (``_SUCCESS``, ``.crc``).  The listing
-    itself is distributed by Spark's file index on large trees.
+    directory it sits in (e.g. ``date=20170101``).  ``path`` may be relative
+    (to the default file system's working directory) and may hold a pattern;
+    the segment is then the name below the directories it matches.  Spark's
+    listing skips names starting with ``_`` or ``.`` (``_SUCCESS``, ``.crc``)
+    and is distributed on large trees.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path")
-    )
-    key = _base_key(path)
-    rel = F.substring(F.col("path"), F.instr(F.col("path"), key) + len(key), F.lit(1 << 30))
-    return files.select("path", F.substring_index(rel, "/", 1).alias("segment"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.select("path", below(F.col("path"), _pattern(_qualified(spark, path))).alias("segment"))

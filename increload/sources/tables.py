@@ -1,36 +1,31 @@
 """Crash-safe storage of the master table, the key index and batch commits.
 
-Layout under ``base`` (every directory written once, never edited):
-
-    master/batch_id=K/<part>=v/*.parquet       delta rows of batch K
-    index/batch_id=K/<part>=v/*.parquet        key tuples of batch K's delta
-    commits/gen=G/stage=data/batch_id=K/       one row (n) after the delta landed
-    commits/gen=G/stage=index/batch_id=K/      one row (n) after the keys landed
-    index_compact/upto=C/<part>=v/*.parquet    keys of batches in (since, C], merged
-    commits_compact/upto=C/                    every commit row as of compaction C
-    compactions/upto=C/                        marker (n, since), written last
-
-A batch is visible only once its ``data`` commit exists, so a crash before
-it leaves nothing behind that a reader sees, and the retry overwrites the
-batch directory.  A batch with ``data`` but no ``index`` commit has its keys
-rebuilt from its own master directory.  Old index entries are never
-rewritten, so no reader can see a half-deleted index.  One writer per
-``base`` at a time (plain Parquet has no cross-job lock).
-
-What a load reads stays small however many loads ran: readers pass explicit
-directories instead of listing whole trees, and :func:`compact_key_index`
-merges the per-batch index directories into one and rolls the commit log
-over.  Commits are written to generation ``G = C + 1`` of the latest
-compaction ``C`` (``G = 0`` before any), so a reader lists the compaction
-markers, reads one compacted commit file set and the current generation.
-A compaction writes a segment holding only the keys added since the
-previous one (its cost follows the new keys, not the whole index); the
-markers chain the segments back to the last full one.  ``full=True``
-merges the chain into one segment.
+Layout under ``base`` (a directory is written once and never changed):
+
+    master/batch_id=K/attempt=A/<part>=v/      delta rows of batch K, written by attempt A
+    index/batch_id=K/attempt=A/<part>=v/       key tuples of batch K's delta
+    commits/gen=G/stage=S/batch_id=K/          one row: stage S (data, index) of batch K is attempt A
+    master_compact/segment=G/<part>=v/         delta rows of many batches
+    index_compact/segment=G/<part>=v/          key tuples of many batches
+    commits_compact/gen=G/                     every commit row at the start of generation G
+    generations/gen=G/                         marker, written last
+
+The commit row is the switch: it names the attempt whose files count, so a
+failed or repeated attempt leaves files that nobody reads and never touches
+committed ones.  A batch with a ``data`` but no ``index`` commit has its keys
+read from its own master files.
+
+A compaction copies batches into a segment, rolls the commit log over to the
+next generation with the batches' rows pointing to the segment, and then
+writes the generation's marker.  Which batches a segment holds is what the
+commit rows say, never a range of ids.  Readers open the newest generation:
+the segments, and one directory for each batch committed since.  One writer
+per ``base`` at a time (plain Parquet has no cross-job lock).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -44,31 +39,41 @@ from increload.functions.keys import as_list
 
 MASTER = "master"
 INDEX = "index"
-COMPACT = "index_compact"
+COMPACT = {MASTER: "master_compact", INDEX: "index_compact"}
+STAGE = {MASTER: "data", INDEX: "index"}
 COMMITS = "commits"
 COMMITS_COMPACT = "commits_compact"
-COMPACTIONS = "compactions"
+GENERATIONS = "generations"
 BATCH_COL = "batch_id"
+ATTEMPT_COL = "attempt"
 
 COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("n", T.LongType()),
+        T.StructField(ATTEMPT_COL, T.StringType()),
+        T.StructField("tag", T.StringType()),
+        T.StructField("segment", T.LongType()),
         T.StructField("stage", T.StringType()),
         T.StructField(BATCH_COL, T.LongType()),
     ]
 )
-MARKER_SCHEMA = T.StructType(
-    [T.StructField("n", T.LongType()), T.StructField("since", T.LongType()), T.StructField("upto", T.LongType())]
-)
-FULL = -1  # ``since`` of a segment that covers every batch up to its ``upto``
+MARKER_SCHEMA = T.StructType([T.StructField("n", T.LongType()), T.StructField("gen", T.LongType())])
 
 
 def _join(base: str, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
 
-def batch_dir(base: str, area: str, batch_id: int) -> str:
-    return _join(base, area, f"{BATCH_COL}={int(batch_id)}")
+def new_attempt() -> str:
+    return uuid.uuid4().hex
+
+
+def batch_dir(base: str, area: str, batch_id: int, attempt: str) -> str:
+    return _join(base, area, f"{BATCH_COL}={int(batch_id)}", f"{ATTEMPT_COL}={attempt}")
+
+
+def segment_dir(base: str, area: str, segment: int) -> str:
+    return _join(base, COMPACT[area], f"segment={int(segment)}")
 
 
 def _missing_path(e: AnalysisException) -> bool:
@@ -85,56 +90,30 @@ def read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def _markers(spark: SparkSession, base: str) -> dict[int, int]:
-    """``upto -> since`` of every committed compaction (one row per
-    compaction ever run reaches the driver)."""
-    rows = read_or_empty(spark, MARKER_SCHEMA, _join(base, COMPACTIONS)).select("upto", "since").collect()
-    return {int(r["upto"]): int(r["since"]) for r in rows}
-
-
-def _chain(markers: dict[int, int]) -> tuple[int, ...]:
-    """Segments to read, newest first: the latest one, then back along
-    ``since`` to a full one."""
-    if not markers:
-        return ()
-    out = [max(markers)]
-    while markers[out[-1]] != FULL:
-        prev = markers[out[-1]]
-        if prev not in markers:
-            raise RuntimeError(f"compaction {out[-1]} follows {prev}, which has no marker")
-        out.append(prev)
-    return tuple(out)
-
-
-def latest_compaction(spark: SparkSession, base: str) -> int | None:
-    """Id of the latest committed compaction, or ``None``."""
-    markers = _markers(spark, base)
-    return max(markers) if markers else None
-
-
-def _generation(compacted: int | None) -> int:
-    return 0 if compacted is None else int(compacted) + 1
+def generation(spark: SparkSession, base: str) -> int:
+    """The newest committed generation; 0 before any compaction."""
+    newest = read_or_empty(spark, MARKER_SCHEMA, _join(base, GENERATIONS)).agg(F.max("gen")).first()[0]
+    return int(newest or 0)
 
 
-_AUTO = object()
-
-
-def read_commits(spark: SparkSession, base: str, compacted=_AUTO) -> DataFrame:
-    """All commit rows ``(batch_id, stage, n)``; empty when nothing was committed."""
-    c = latest_compaction(spark, base) if compacted is _AUTO else compacted
-    gen = read_or_empty(spark, COMMIT_SCHEMA, _join(base, COMMITS, f"gen={_generation(c)}"))
-    rows = gen.select(BATCH_COL, "stage", "n")
-    if c is not None:
-        old = spark.read.schema(COMMIT_SCHEMA).parquet(_join(base, COMMITS_COMPACT, f"upto={int(c)}"))
-        rows = old.select(BATCH_COL, "stage", "n").unionByName(rows)
+def read_commits(spark: SparkSession, base: str, gen: int | None = None) -> DataFrame:
+    """All commit rows ``(batch_id, stage, n, attempt, tag, segment)``."""
+    gen = generation(spark, base) if gen is None else gen
+    names = [BATCH_COL, "stage", "n", ATTEMPT_COL, "tag", "segment"]
+    rows = read_or_empty(spark, COMMIT_SCHEMA, _join(base, COMMITS, f"gen={gen}")).select(*names)
+    if gen:
+        old = spark.read.schema(COMMIT_SCHEMA).parquet(_join(base, COMMITS_COMPACT, f"gen={gen}"))
+        rows = old.select(*names).unionByName(rows)
     return rows
 
 
-def write_commit(spark: SparkSession, base: str, stage: str, batch_id: int, n: int, compacted=_AUTO) -> None:
-    """Record that ``stage`` of batch ``batch_id`` landed (in the current generation)."""
-    c = latest_compaction(spark, base) if compacted is _AUTO else compacted
-    row = spark.createDataFrame([(int(n),)], "n long")
-    path = _join(base, COMMITS, f"gen={_generation(c)}", f"stage={stage}", f"{BATCH_COL}={int(batch_id)}")
+def write_commit(
+    spark: SparkSession, base: str, stage: str, batch_id: int, n: int, attempt: str, tag: str | None = None, gen: int | None = None
+) -> None:
+    """Record that ``attempt`` is stage ``stage`` of batch ``batch_id``."""
+    gen = generation(spark, base) if gen is None else gen
+    row = spark.createDataFrame([(int(n), attempt, tag, None)], T.StructType(COMMIT_SCHEMA.fields[:4]))
+    path = _join(base, COMMITS, f"gen={gen}", f"stage={stage}", f"{BATCH_COL}={int(batch_id)}")
     row.coalesce(1).write.mode("overwrite").parquet(path)
 
 
@@ -156,47 +135,70 @@ def index_coverage(spark: SparkSession, base: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Coverage:
-    """Committed batch ids: all with data; above the latest compaction, those
-    with an index and those without; and the latest compaction (or ``None``)."""
-
-    data: tuple[int, ...]
-    covered: tuple[int, ...]
-    missing: tuple[int, ...]
-    compacted: int | None = None
-    segments: tuple[int, ...] = ()
+class Commit:
+    """A committed batch: rows, what it was made from, and where its rows and
+    keys are (an attempt's directory, or a segment)."""
+
+    batch_id: int
+    n: int
+    tag: str | None
+    data: str | None
+    data_segment: int | None
+    index: str | None
+    index_segment: int | None
 
     @property
-    def loaded(self) -> bool:
-        """Is any batch loaded at all?"""
-        return bool(self.data) or self.compacted is not None
+    def has_index(self) -> bool:
+        return self.index is not None or self.index_segment is not None
+
 
+@dataclass(frozen=True)
+class State:
+    """What a load needs to know of the commit log: the batches that lie in
+    directories of their own, and the segments that hold all others.  Its
+    size follows the batches since the latest compactions, not all loads."""
 
-def coverage_lists(spark: SparkSession, base: str, exclude: Iterable[int] = (), full: bool = True) -> Coverage:
-    """Batch ids from the commit table, minus ``exclude``.
+    gen: int
+    batches: dict[int, Commit]
+    data_segments: tuple[int, ...]
+    index_segments: tuple[int, ...]
+    asked: Commit | None = None
 
-    The commit table holds one row per load run and stage, not per data row,
-    so collecting it is bounded by the number of loads ever run.  With
-    ``full=False`` only batches newer than the latest compaction are
-    collected (``data`` then lists those only): all a load needs, since the
-    compaction stands for everything older.
-    """
-    skip = {int(b) for b in exclude}
-    data: set[int] = set()
-    indexed: set[int] = set()
-    segments = _chain(_markers(spark, base))
-    upto = segments[0] if segments else None
-    rows = read_commits(spark, base, upto)
-    if not full and upto is not None:
-        rows = rows.where(F.col(BATCH_COL) > upto)
-    for r in rows.collect():
-        b = int(r[BATCH_COL])
-        if b not in skip:
-            (data if r["stage"] == "data" else indexed).add(b)
-    newer = {b for b in data if upto is None or b > upto}
-    return Coverage(
-        tuple(sorted(data)), tuple(sorted(newer & indexed)), tuple(sorted(newer - indexed)), upto, segments
-    )
+    @property
+    def loaded(self) -> bool:
+        """Is any batch loaded (beside the one asked for)?"""
+        return bool(self.batches or self.index_segments or self.data_segments)
+
+    @property
+    def missing(self) -> tuple[int, ...]:
+        """Batches whose index is not committed."""
+        return tuple(sorted(b for b, c in self.batches.items() if not c.has_index))
+
+
+def read_state(spark: SparkSession, base: str, batch_id: int | None = None) -> State:
+    """The commit log's state.  The batch ``batch_id`` is reported apart, as
+    ``asked``, and its own directories count neither as batch nor segment."""
+    gen = generation(spark, base)
+
+    def of(stage: str):
+        fields = F.struct("n", F.struct(ATTEMPT_COL, "segment").alias("at"), "tag")
+        return F.max(F.when(F.col("stage") == stage, fields)).alias(stage)
+
+    per_batch = read_commits(spark, base, gen).groupBy(BATCH_COL).agg(of("data"), of("index")).where("data is not null")
+    segmented = F.col("data.at.segment").isNotNull() & F.col("index.at.segment").isNotNull()
+    if batch_id is not None:
+        segmented = segmented & (F.col(BATCH_COL) != int(batch_id))
+    own = ~segmented
+    rows = per_batch.select(
+        F.when(own, F.col(BATCH_COL)).alias("id"), F.when(own, F.col("data.n")).alias("n"), F.when(own, F.col("data.tag")).alias("tag"),
+        F.when(own, F.col(f"data.at.{ATTEMPT_COL}")).alias("data"), F.col("data.at.segment").alias("data_segment"),
+        F.when(own, F.col(f"index.at.{ATTEMPT_COL}")).alias("index"), F.col("index.at.segment").alias("index_segment"),
+    ).distinct().collect()
+    batches = {r["id"]: Commit(*r) for r in rows if r["id"] is not None}
+    asked = batches.pop(int(batch_id), None) if batch_id is not None else None
+    others = [r for r in rows if r["id"] is None or r["id"] in batches]
+    segments = [tuple(sorted({r[c] for r in others if r[c] is not None})) for c in ("data_segment", "index_segment")]
+    return State(gen, batches, *segments, asked)
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
@@ -204,175 +206,167 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*fields, T.StructField(BATCH_COL, T.LongType())])
 
 
-def _read_batches(
-    spark: SparkSession, base: str, area: str, batch_ids: Sequence[int], schema: T.StructType | None
-) -> DataFrame | None:
-    if not batch_ids:
-        if schema is None:
-            return None
-        return spark.createDataFrame([], _with_batch(schema))
-    reader = spark.read.option("basePath", _join(base, area))
-    if schema is not None:
-        reader = reader.schema(_with_batch(schema))
-    df = reader.parquet(*[batch_dir(base, area, b) for b in batch_ids])
-    if schema is not None:
-        df = df.select(*_with_batch(schema).fieldNames())
-    return df
+def _read_attempts(spark: SparkSession, base: str, area: str, attempts: dict[int, str], schema: T.StructType) -> DataFrame:
+    """Rows of the named attempts with their batch id.  Explicit directories:
+    no other attempt is listed or read."""
+    full = _with_batch(schema)
+    stored = T.StructType([*full.fields, T.StructField(ATTEMPT_COL, T.StringType())])
+    paths = [batch_dir(base, area, b, a) for b, a in sorted(attempts.items())]
+    return spark.read.option("basePath", _join(base, area)).schema(stored).parquet(*paths).select(*full.fieldNames())
+
+
+def _read_segments(spark: SparkSession, base: str, area: str, segments: Sequence[int], schema: T.StructType) -> list[DataFrame]:
+    full = _with_batch(schema)
+    return [spark.read.schema(full).parquet(segment_dir(base, area, s)).select(*full.fieldNames()) for s in segments]
+
+
+def _sources(spark: SparkSession, base: str, area: str, state: State, schema: T.StructType, segments: bool = True) -> list[DataFrame]:
+    """Rows of every loaded batch from where they are: ``MASTER`` rows, or
+    ``INDEX`` keys with those of batches without an index taken from master."""
+    out = _read_segments(spark, base, area, state.data_segments if area == MASTER else state.index_segments, schema) if segments else []
+    name = "data" if area == MASTER else "index"
+    own = {b: getattr(c, name) for b, c in state.batches.items() if getattr(c, f"{name}_segment") is None}
+    here = {b: a for b, a in own.items() if a is not None}
+    if here:
+        out.append(_read_attempts(spark, base, area, here, schema))
+    if area == INDEX:
+        rest = [c for c in state.batches.values() if not c.has_index]
+        at_home = {c.batch_id: c.data for c in rest if c.data_segment is None}
+        if at_home:
+            out.append(_read_attempts(spark, base, MASTER, at_home, schema))
+        merged = [c.batch_id for c in rest if c.data_segment is not None]
+        if merged:
+            held = sorted({c.data_segment for c in rest if c.data_segment is not None})
+            out += [df.where(F.col(BATCH_COL).isin(merged)) for df in _read_segments(spark, base, MASTER, held, schema)]
+    return out
 
 
-def append_delta(df: DataFrame, base: str, batch_id: int, part: str | None) -> None:
-    """Write one batch's delta to its own directory, replacing a failed attempt."""
-    writer = df.drop(BATCH_COL).write.mode("overwrite")
-    if part is not None:
-        writer = writer.partitionBy(part)
-    writer.parquet(batch_dir(base, MASTER, batch_id))
+def _union(parts: list[DataFrame], spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _with_batch(schema))
 
 
 def _rebalanced_writer(df: DataFrame, part: str | None):
     """Writer partitioned by ``part``; AQE rebalances rows first so that each
     partition value lands in few files (a hot value is split, small ones are
-    merged).  Used for key tables, whose rows are small."""
+    merged)."""
     if part is None:
-        return df.hint("rebalance").write.mode("overwrite")
-    return df.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
+        return df.hint("rebalance").write
+    return df.hint("rebalance", part).write.partitionBy(part)
+
+
+def append_delta(df: DataFrame, base: str, batch_id: int, part: str | None, attempt: str) -> None:
+    """Write one batch's delta to the attempt's own directory."""
+    _rebalanced_writer(df.drop(BATCH_COL), part).parquet(batch_dir(base, MASTER, batch_id, attempt))
+
 
+def write_key_index(keys: DataFrame, base: str, batch_id: int, part: str | None, attempt: str) -> None:
+    """Write one batch's key tuples to the attempt's own index directory."""
+    _rebalanced_writer(keys.drop(BATCH_COL), part).parquet(batch_dir(base, INDEX, batch_id, attempt))
 
-def write_key_index(keys: DataFrame, base: str, batch_id: int, part: str | None) -> None:
-    """Write one batch's key tuples to its own index directory."""
-    _rebalanced_writer(keys.drop(BATCH_COL), part).parquet(batch_dir(base, INDEX, batch_id))
+
+def read_attempt(spark: SparkSession, base: str, batch_id: int, attempt: str, schema: T.StructType) -> DataFrame:
+    """The rows that one attempt wrote, committed or not."""
+    return spark.read.schema(schema).parquet(batch_dir(base, MASTER, batch_id, attempt))
 
 
 def read_master(
-    spark: SparkSession,
-    base: str,
-    schema: T.StructType | None = None,
-    batch_ids: Iterable[int] | None = None,
-    exclude: Iterable[int] = (),
-) -> DataFrame | None:
+    spark: SparkSession, base: str, schema: T.StructType, batch_ids: Iterable[int] | None = None, exclude: Iterable[int] = ()
+) -> DataFrame:
     """Rows of committed batches, with a ``batch_id`` column.
 
-    Only the directories of committed batches are listed, so uncommitted
-    attempts are invisible and the listing does not grow with failed runs.
     ``schema`` (the batch schema) pins column types, including the partition
     column, which directory discovery would otherwise infer from its text.
-    Returns ``None`` when nothing is committed and no schema is given.
     """
-    data = list(coverage_lists(spark, base, exclude).data)
+    out = _union(_sources(spark, base, MASTER, read_state(spark, base), schema), spark, schema)
     if batch_ids is not None:
-        wanted = {int(b) for b in batch_ids}
-        data = [b for b in data if b in wanted]
-    return _read_batches(spark, base, MASTER, data, schema)
+        out = out.where(F.col(BATCH_COL).isin([int(b) for b in batch_ids]))
+    skip = [int(b) for b in exclude]
+    return out.where(~F.col(BATCH_COL).isin(skip)) if skip else out
 
 
-def _read_compaction(spark: SparkSession, base: str, upto: int, key_schema: T.StructType) -> DataFrame:
-    schema = _with_batch(key_schema)
-    df = spark.read.schema(schema).parquet(_join(base, COMPACT, f"upto={int(upto)}"))
-    return df.select(*schema.fieldNames())
-
-
-def _key_sources(spark: SparkSession, base: str, key_schema: T.StructType, cov: Coverage) -> list[DataFrame]:
-    """``(part, *keys, batch_id)`` of every loaded batch, from the cheapest
-    place holding it: the compaction, the per-batch index, or master."""
-    cols = _with_batch(key_schema).fieldNames()
-    out = [_read_compaction(spark, base, seg, key_schema) for seg in cov.segments]
-    if cov.covered:
-        out.append(_read_batches(spark, base, INDEX, cov.covered, key_schema).select(*cols))
-    if cov.missing:
-        out.append(_read_batches(spark, base, MASTER, cov.missing, key_schema).select(*cols))
-    return out
-
-
-def read_key_index(
-    spark: SparkSession,
-    base: str,
-    key_schema: T.StructType,
-    exclude: Iterable[int] = (),
-) -> DataFrame:
-    """The stored index ``(part, *keys, batch_id)``: the latest compaction plus
-    every newer batch that has both commits."""
-    cov = coverage_lists(spark, base, exclude)
-    cov = Coverage(cov.data, cov.covered, (), cov.compacted, cov.segments)
-    parts = _key_sources(spark, base, key_schema, cov)
-    if not parts:
-        return spark.createDataFrame([], _with_batch(key_schema))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def read_key_index(spark: SparkSession, base: str, key_schema: T.StructType, exclude: Iterable[int] = ()) -> DataFrame:
+    """The stored index ``(part, *keys, batch_id)`` of the batches whose index is committed."""
+    state = read_state(spark, base)
+    indexed = {b: c for b, c in state.batches.items() if c.has_index}
+    state = State(state.gen, indexed, state.data_segments, state.index_segments)
+    out = _union(_sources(spark, base, INDEX, state, key_schema), spark, key_schema)
+    skip = [int(b) for b in exclude]
+    return out.where(~F.col(BATCH_COL).isin(skip)) if skip else out
 
 
 def key_schema_of(schema: T.StructType, part: str | None, keys: str | Sequence[str]) -> T.StructType:
     cols = ([part] if part is not None else []) + as_list(keys)
-    return T.StructType([schema[c] for c in cols])
+    return T.StructType([schema[c] for c in dict.fromkeys(cols)])
 
 
-def existing_keys(
-    spark: SparkSession,
-    base: str,
-    key_schema: T.StructType,
-    exclude: Iterable[int] = (),
-    coverage: Coverage | None = None,
-) -> DataFrame | None:
+def existing_keys(spark: SparkSession, base: str, key_schema: T.StructType, state: State | None = None) -> DataFrame | None:
     """Every loaded key tuple: the stored index where it is committed, plus
     the keys of committed batches whose index is missing, read (column-pruned)
-    from their master directories.  ``None`` when nothing is loaded.
+    from their master files.  ``None`` when nothing is loaded.
     """
-    cov = coverage if coverage is not None else coverage_lists(spark, base, exclude, full=False)
-    if not cov.loaded:
+    state = state if state is not None else read_state(spark, base)
+    if not state.loaded:
         return None
     cols = key_schema.fieldNames()
-    parts = [p.select(*cols) for p in _key_sources(spark, base, key_schema, cov)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(DataFrame.unionByName, [p.select(*cols) for p in _sources(spark, base, INDEX, state, key_schema)])
+
+
+def _roll(spark: SparkSession, base: str, gen: int, stage: str, moved: DataFrame) -> int:
+    """Start the next generation: the rows of ``stage`` for the batches in
+    ``moved`` point to segment ``gen + 1``, all others stay as they are."""
+    new = gen + 1
+    rows = read_commits(spark, base, gen)
+    data = rows.where(F.col("stage") == "data").join(moved, BATCH_COL, "left_semi")
+    rest = rows.where(F.col("stage") != stage).unionByName(rows.where(F.col("stage") == stage).join(moved, BATCH_COL, "left_anti"))
+    there = data.withColumn("stage", F.lit(stage)).withColumn("segment", F.lit(new).cast("long"))
+    out = rest.unionByName(there).select(*COMMIT_SCHEMA.fieldNames())
+    out.write.mode("overwrite").parquet(_join(base, COMMITS_COMPACT, f"gen={new}"))
+    marker = spark.createDataFrame([(1,)], "n long")
+    marker.coalesce(1).write.mode("overwrite").parquet(_join(base, GENERATIONS, f"gen={new}"))
+    return new
+
+
+def _compact(
+    spark: SparkSession, base: str, area: str, schema: T.StructType, part: str | None, batch_ids: Iterable[int] | None, full: bool
+) -> int:
+    state = read_state(spark, base)
+    name = "data_segment" if area == MASTER else "index_segment"
+    fresh = {b: c for b, c in state.batches.items() if getattr(c, name) is None}
+    if batch_ids is not None:
+        wanted = {int(b) for b in batch_ids}
+        fresh = {b: c for b, c in fresh.items() if b in wanted}
+    segments = state.data_segments if area == MASTER else state.index_segments
+    if not fresh and not (full and len(segments) > 1):
+        return state.gen
+    take = State(state.gen, fresh, state.data_segments, state.index_segments)
+    merged = _union(_sources(spark, base, area, take, schema, segments=full), spark, schema)
+    # A compaction that died before its marker left this directory behind, unread.
+    _rebalanced_writer(merged, part).mode("overwrite").parquet(segment_dir(base, area, state.gen + 1))
+    ids = spark.createDataFrame([(b,) for b in fresh], f"{BATCH_COL} long")
+    if full:
+        commits = read_commits(spark, base, state.gen)
+        held = commits.where((F.col("stage") == STAGE[area]) & F.col("segment").isNotNull()).select(BATCH_COL)
+        ids = ids.unionByName(held).distinct()
+    return _roll(spark, base, state.gen, STAGE[area], ids)
 
 
 def compact_key_index(
-    spark: SparkSession,
-    base: str,
-    key_schema: T.StructType,
-    part: str | None,
-    through: int | None = None,
-    full: bool = False,
-) -> int | None:
-    """Merge the index of the committed batches up to ``through`` (default:
-    all) into a segment ``index_compact/upto=C``, then commit it.
-
-    The segment holds the batches added since the previous compaction, so
-    its cost follows the new keys; ``full=True`` also folds in the earlier
-    segments, leaving one.  Batches without an index commit get their keys
-    from master here, so the compaction is complete.  Loads afterwards read
-    the segments plus the newer batches only.  Batches up to ``C`` can no
-    longer be re-loaded (their keys are merged); a retry of one raises.
-    Returns ``C``.
+    spark: SparkSession, base: str, key_schema: T.StructType, part: str | None, batch_ids: Iterable[int] | None = None, full: bool = False
+) -> int:
+    """Merge the index of the batches that have a directory of their own
+    (``batch_ids``: only those) into one segment, and return the generation.
+
+    Batches without an index commit get their keys from master here.
+    ``full=True`` folds the earlier segments in too, leaving one; otherwise a
+    compaction costs what was added since the last.  A compacted batch is
+    still committed: loading it again changes nothing.
     """
-    cov = coverage_lists(spark, base)
-    if not cov.data:
-        return cov.compacted
-    upto = max(cov.data) if through is None else int(through)
-    if cov.compacted is not None and upto <= cov.compacted:
-        return cov.compacted
-    take = Coverage(
-        cov.data,
-        tuple(b for b in cov.covered if b <= upto),
-        tuple(b for b in cov.missing if b <= upto),
-        cov.compacted,
-        cov.segments if full else (),
-    )
-    since = FULL if full or cov.compacted is None else cov.compacted
-    sources = _key_sources(spark, base, key_schema, take)
-    cols = _with_batch(key_schema).fieldNames()
-    merged = reduce(lambda a, b: a.unionByName(b), sources) if sources else spark.createDataFrame([], _with_batch(key_schema))
-    merged = merged.select(*cols)
-    path = _join(base, COMPACT, f"upto={upto}")
-    _rebalanced_writer(merged, part).parquet(path)
-    n = spark.read.schema(_with_batch(key_schema)).parquet(path).count()
-    # Roll the commit log: every batch up to C counts as indexed (its keys are
-    # in the compaction); later batches keep their rows as they are.
-    rows = read_commits(spark, base, cov.compacted)
-    data = rows.where(F.col("stage") == "data")
-    merged_rows = (
-        rows.where(F.col(BATCH_COL) > upto)
-        .unionByName(data.where(F.col(BATCH_COL) <= upto))
-        .unionByName(data.where(F.col(BATCH_COL) <= upto).withColumn("stage", F.lit("index")))
-        .select("n", "stage", BATCH_COL)
-    )
-    merged_rows.coalesce(1).write.mode("overwrite").parquet(_join(base, COMMITS_COMPACT, f"upto={upto}"))
-    marker = spark.createDataFrame([(int(n), int(since))], "n long, since long")
-    marker.coalesce(1).write.mode("overwrite").parquet(_join(base, COMPACTIONS, f"upto={upto}"))
-    return upto
+    return _compact(spark, base, INDEX, key_schema, part, batch_ids, full)
+
+
+def compact_master(
+    spark: SparkSession, base: str, schema: T.StructType, part: str | None, batch_ids: Iterable[int] | None = None, full: bool = False
+) -> int:
+    """:func:`compact_key_index` for the master rows: readers then open a
+    segment instead of one directory per batch."""
+    return _compact(spark, base, MASTER, schema, part, batch_ids, full)

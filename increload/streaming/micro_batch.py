@@ -1,15 +1,13 @@
 """Run the stored load once per Structured Streaming micro-batch.
 
 Each micro-batch becomes one load batch: de-duplicated, filtered against
-everything loaded before, appended, then indexed.  Batch ids are
-``first_id + epoch_id``.  ``first_id`` is fixed the first time a stream runs
-with a given checkpoint location (one past the newest batch loaded then) and
-stored under ``base``, so a restarted query maps every epoch to the same
-batch id.  A replayed epoch therefore either replaces its own uncommitted
-directory (it crashed before its ``data`` commit) or recomputes the same
-delta over what it already wrote (it crashed after); nothing lands twice.
-An epoch whose batch was since merged into an index compaction is already
-loaded and is skipped.
+everything loaded before, appended, then indexed.  A stream gets a number the
+first time it runs with a given checkpoint location, stored under ``base``;
+its epoch ``e`` is batch ``number * 2**52 + e``.  Load jobs use ids below
+``2**52``, so the ids of jobs and streams never meet, and a restarted query
+maps every epoch to the same batch.  Whether an epoch is loaded is what the
+commit log says: one that is committed is not written again, any other is
+loaded, whatever was loaded or compacted in between.
 """
 
 from __future__ import annotations
@@ -17,29 +15,26 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from increload.plans.job import run_load_job
+from increload.plans.job import STREAM_IDS, load_batch
 from increload.sources import tables
 
 STREAMS = "streams"
+STREAM_SCHEMA = T.StructType([T.StructField("number", T.LongType()), T.StructField("checkpoint", T.StringType())])
 
 
-def _first_id(spark: SparkSession, base: str, checkpoint_location: str) -> int:
-    tag = hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()[:16]
-    path = f"{base.rstrip('/')}/{STREAMS}/checkpoint={tag}"
-    stored = tables.read_or_empty(spark, T.StructType([T.StructField("first_id", T.LongType())]), path)
-    ids = [r[0] for r in stored.collect()]
-    if ids:
-        return int(ids[0])
-    cov = tables.coverage_lists(spark, base, full=False)
-    newest = max([*cov.data, *([cov.compacted] if cov.compacted is not None else [])], default=None)
-    first = 0 if newest is None else newest + 1
-    spark.createDataFrame([(first,)], "first_id long").coalesce(1).write.mode("overwrite").parquet(path)
-    return first
+def stream_number(spark: SparkSession, base: str, checkpoint_location: str) -> int:
+    """The number (from 1) of the stream with this checkpoint location."""
+    tag = "c" + hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()
+    root = f"{base.rstrip('/')}/{STREAMS}"
+    known = {r["checkpoint"]: int(r["number"]) for r in tables.read_or_empty(spark, STREAM_SCHEMA, root).collect()}  # one row per stream
+    if tag not in known:
+        known[tag] = max(known.values(), default=0) + 1
+        spark.createDataFrame([(known[tag],)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{root}/checkpoint={tag}")
+    return known[tag]
 
 
 def load_stream(
@@ -51,24 +46,25 @@ def load_stream(
     order_by: Sequence[str] | None = None,
     scope: str = "partition",
     trigger: dict | None = None,
+    compact_every: int = 50,
 ) -> StreamingQuery:
-    """Start a streaming query that loads every micro-batch into ``base``."""
-    first_id = _first_id(stream.sparkSession, base, checkpoint_location)
+    """Start a streaming query that loads every micro-batch into ``base``.
+
+    Every ``compact_every`` epochs the batches since the last time are merged
+    into segments (index and master), so the directories that a load opens
+    stay bounded however long the stream runs.  0 leaves that to the caller.
+    """
+    spark = stream.sparkSession
+    first = stream_number(spark, base, checkpoint_location) * STREAM_IDS
+    schema = stream.schema
+    key_schema = tables.key_schema_of(schema, part, keys)
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        batch_id = first_id + epoch_id
-        compacted = tables.latest_compaction(spark, base)
-        if compacted is not None and batch_id <= compacted:
-            return
-        # The load reads the micro-batch more than once (profile, write,
-        # small-batch key broadcast); keep it for the duration instead of
-        # re-reading the source.  A lost block is recomputed from the source.
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            run_load_job(spark, batch, base, batch_id, part, keys, order_by, scope)
-        finally:
-            batch.unpersist()
+        session = batch.sparkSession
+        load_batch(session, batch, base, first + epoch_id, part, keys, order_by, scope)
+        if compact_every and (epoch_id + 1) % compact_every == 0:
+            tables.compact_key_index(session, base, key_schema, part)
+            tables.compact_master(session, base, schema, part)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
     if trigger:

@@ -114,3 +114,38 @@ def test_empty_location_is_rejected(spark, tmp_path):
         require_partitions(estimate_partitions_by_files(paths))
     _touch(d, ["20170101.csv"])
     assert require_partitions(estimate_partitions_by_date(list_input_files(spark, str(d)), path_col="segment")) == 1
+
+
+def test_listing_through_patterns_and_relative_paths(spark, tmp_path, monkeypatch):
+    for d in ("in1/date=20170101", "in1/date=20170102", "in2/date=20170101"):
+        _touch(tmp_path / d, ["a 1.csv", "_SUCCESS"])
+    segments = lambda p: sorted(r["segment"] for r in list_input_files(spark, p).collect())
+    assert segments(str(tmp_path / "in*")) == ["date=20170101", "date=20170101", "date=20170102"]
+    assert segments(str(tmp_path / "{in1,in2}") + "/") == ["date=20170101", "date=20170101", "date=20170102"]
+    assert segments(str(tmp_path / "in[1]" / "date=2017010?")) == ["a 1.csv", "a 1.csv"]
+    assert segments(f"file://{tmp_path}//in2") == ["date=20170101"]
+    import os
+
+    here = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    assert segments(os.path.relpath(str(tmp_path / "in2"), here)) == ["date=20170101"]
+
+
+def test_a_path_that_is_not_below_the_base_raises(spark):
+    from increload.sources.files import below
+
+    df = spark.createDataFrame([("file:/elsewhere/x.csv",)], "path string")
+    with pytest.raises(Exception, match="not below"):
+        df.select(below(F.col("path"), "^file:/base/+([^/]+)")).collect()
+
+
+def test_spread_follows_the_largest_bucket(spark):
+    df = spark.createDataFrame([(7, i) for i in range(90)] + [(1, i) for i in range(10)], "date int, i int")
+    laid = layout_by_bucket(df, "date", 7, rows_per_partition=20)
+    assert laid.rdd.getNumPartitions() == 7 * 5
+    assert layout_by_bucket(df, "date", 7).rdd.getNumPartitions() == 7
+    assert layout_by_bucket(df.limit(0), "date", 7).rdd.getNumPartitions() == 7
+
+
+def test_values_that_no_long_holds_go_to_bucket_zero(spark):
+    d = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (4.5,)], "x double")
+    assert [r["bucket"] for r in with_bucket(d, "x", 3).collect()] == [0, 0, 0, 1]

@@ -87,38 +87,35 @@ def test_stored_loads(spark, tmp_base):
     assert index_sizes(index.drop("batch_id")) == {20170101: 7, 20170102: 8, 20170103: 7}
 
 
-MEMBERS_HEADER = (
-    "member_id, name, email, joined, ip_address, posts, bday_day, bday_month, bday_year, members_profile_views, referred_by"
-)
+# Header cells padded with blanks on either side, as spreadsheets write them.
+SUBSCRIBER_HEADER = "sub_no ,  nick,  mail ,city, tier ,  year_of_birth "
 
 
-def member(mid, year, name="m"):
-    return f"{mid},{name}{mid},u{mid}@example.org,1462453725,10.0.0.{mid % 250},3,1,1,{year},0,0"
+def subscriber(no, year, nick="n"):
+    return f"{no},{nick}{no},{nick}{no}@example.org,Oslo,basic,{year}"
 
 
-def test_members_csv_demo(spark, tmp_path):
-    old_dir, new_dir = tmp_path / "alreadyExisting", tmp_path / "newIncrement"
+def test_padded_header_csv_demo(spark, tmp_path):
+    old_dir, new_dir = tmp_path / "loaded", tmp_path / "increment"
     old_dir.mkdir()
     new_dir.mkdir()
-    old = [member(911, 1991), member(912, 1991), member(913, 1991), member(931, 1993), member(932, 1993),
-           member(933, 1993), member(951, 1995), member(952, 1995)]
-    new = [member(981, 1998), member(982, 1998), member(983, 1998), member(941, 1994), member(942, 1994),
-           member(943, 1994), member(951, 1995, "changed"), member(952, 1995, "changed"), member(953, 1995)]
-    (old_dir / "chunk1.csv").write_text("\n".join([MEMBERS_HEADER, *old]) + "\n")
-    (new_dir / "chunk1.csv").write_text("\n".join([MEMBERS_HEADER, *new]) + "\n")
+    old = [subscriber(n, y) for n, y in ((10, 1970), (11, 1970), (20, 1982), (21, 1982), (40, 1995), (41, 1995))]
+    new = [subscriber(n, y) for n, y in ((50, 2001), (51, 2001), (51, 2001), (42, 1995))]
+    new += [subscriber(40, 1995, "renamed"), subscriber(41, 1995, "renamed"), subscriber(60, "unknown")]
+    (old_dir / "part1.csv").write_text("\n".join([SUBSCRIBER_HEADER, *old]) + "\n")
+    (new_dir / "part1.csv").write_text("\n".join([SUBSCRIBER_HEADER, *new]) + "\n")
 
     def load(p):
         df = trim_column_names(read_csv_dir(spark, str(p)))
-        return with_partition_column(df, "partitionColumn", "bday_year")
+        return with_partition_column(df, "born", "year_of_birth")
 
     existing, batch = load(old_dir), load(new_dir)
-    assert "bday_year" in existing.columns and all(t == "string" for _, t in existing.dtypes[:-1])
-    res = incremental_load(batch, existing, None, "partitionColumn", ["member_id"])
-    assert sorted(r[0] for r in res.delta.select("member_id").collect()) == sorted(
-        ["981", "982", "983", "941", "942", "943", "953"]
-    )
-    # Insert-only: 951/952 had a changed name and are still filtered.
-    assert res.delta.where(F.col("name").startswith("changed")).count() == 0
+    assert existing.columns == ["sub_no", "nick", "mail", "city", "tier", "year_of_birth", "born"]
+    assert all(t == "string" for _, t in existing.dtypes[:-1])
+    res = incremental_load(batch, existing, None, "born", ["sub_no"])
+    # bad text becomes a null partition; known keys stay as they were loaded
+    assert sorted((r["sub_no"], r["born"] or 0) for r in res.delta.collect()) == [("42", 1995), ("50", 2001), ("51", 2001), ("60", 0)]
+    assert res.delta.where(F.col("nick").startswith("renamed")).count() == 0
     assert res.delta.schema == batch.schema
 
 

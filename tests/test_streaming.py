@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from increload import dedup_batch, read_master
+from increload import compact_key_index, dedup_batch, read_master, run_load_job
 from increload.functions.keys import yyyymmdd
+from increload.plans.job import STREAM_IDS
+from increload.sources import tables
 from increload.streaming import load_stream
+from increload.streaming.micro_batch import stream_number
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,23 +29,48 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     master = read_master(spark, base, events.schema)
     assert master.count() == dedup_batch(events, "day", ["event_id"]).count()
     assert master.select("day", "event_id").distinct().count() == master.count()
-    assert sorted(r[0] for r in master.select("batch_id").distinct().collect()) == [0, 1]
+    ids = sorted(r[0] for r in master.select("batch_id").distinct().collect())
+    assert ids == [STREAM_IDS, STREAM_IDS + 1]
 
 
-def test_restarted_stream_keeps_batch_ids(spark, tmp_path):
-    from increload.streaming.micro_batch import _first_id
-    from increload import run_load_job
+def test_streams_have_ids_of_their_own(spark, tmp_path):
+    base, ck = str(tmp_path / "tables"), str(tmp_path / "ckpt")
+    assert stream_number(spark, base, ck) == 1
+    # same checkpoint: same number, whatever came since
+    assert stream_number(spark, base, str(tmp_path / "other")) == 2
+    assert stream_number(spark, base, ck + "/") == 1
 
-    base = str(tmp_path / "tables")
-    ck = str(tmp_path / "ckpt")
-    df = spark.createDataFrame([(1, "a")], "part int, k string")
-    run_load_job(spark, df, base, 4, "part", ["k"])
-    assert _first_id(spark, base, ck) == 5
-    run_load_job(spark, df, base, 9, "part", ["k"])
-    # same checkpoint: same mapping, whatever was loaded since
-    assert _first_id(spark, base, ck) == 5
-    # another stream starts after everything loaded so far
-    assert _first_id(spark, base, str(tmp_path / "other")) == 10
+
+def test_stream_goes_on_after_a_job_and_a_compaction(spark, tmp_path):
+    """Epochs are skipped only when the commit log holds them, never by the order of ids."""
+    base, ck, src = (str(tmp_path / n) for n in ("tables", "ckpt", "landing"))
+    s = "part int, k long"
+
+    def drop_and_run(ids, name):
+        spark.createDataFrame([(1, i) for i in ids], s).coalesce(1).write.parquet(f"{src}/{name}")
+        stream = spark.readStream.schema(s).parquet(f"{src}/*")
+        load_stream(stream, base, "part", ["k"], ck, trigger={"availableNow": True}).awaitTermination(300)
+
+    drop_and_run([0, 1, 2], "a")
+    job = spark.createDataFrame([(1, i) for i in (50, 51, 52)], s)
+    run_load_job(spark, job, base, 20, "part", ["k"])
+    compact_key_index(spark, base, tables.key_schema_of(job.schema, "part", ["k"]), "part")
+    drop_and_run([3, 4, 5, 0], "b")
+    master = read_master(spark, base, job.schema)
+    assert sorted(r["k"] for r in master.collect()) == [0, 1, 2, 3, 4, 5, 50, 51, 52]
+
+
+def test_stream_compacts_as_it_goes(spark, tmp_path):
+    base, src = str(tmp_path / "tables"), str(tmp_path / "landing")
+    s = "part int, k long"
+    for i in range(5):
+        spark.createDataFrame([(1, i), (2, i)], s).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = load_stream(stream, base, "part", ["k"], str(tmp_path / "ck"), trigger={"availableNow": True}, compact_every=2)
+    q.awaitTermination(300)
+    state = tables.read_state(spark, base)
+    assert len(state.batches) == 1 and len(state.index_segments) == 2
+    assert read_master(spark, base, spark.createDataFrame([], s).schema).count() == 10
 
 
 def test_replayed_epoch_lands_once(spark, tmp_path):
@@ -63,4 +91,4 @@ def test_replayed_epoch_lands_once(spark, tmp_path):
     load_stream(stream, base, "day", ["event_id"], ck, trigger={"availableNow": True}).awaitTermination(300)
     master = read_master(spark, base, events.schema)
     assert master.count() == events.count()
-    assert [r[0] for r in master.select("batch_id").distinct().collect()] == [0]
+    assert [r[0] for r in master.select("batch_id").distinct().collect()] == [STREAM_IDS]
