@@ -53,3 +53,27 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [ocols.index(c) for c in sorted(cols)]
     want = Counter(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert got == want
+
+
+def test_entry_works_without_the_corpus_operators():
+    """The corpus subpackage and its pipeline may be taken away."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['increload.llm'] = None\n"
+        "import __spark_entry__ as E\n"
+        "assert 'pipeline' not in E.queries() and not any(q.startswith('op') for q in E.queries())\n"
+        "assert set(E.oracle_sql()) == set(E.queries())\n"
+    )
+    root = E.__file__.rsplit("/", 1)[0]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_nothing_else_imports_the_corpus_operators():
+    import pathlib
+
+    root = pathlib.Path(E.__file__).parent
+    for path in [*(root / "increload").rglob("*.py"), *(root / "tools").glob("*.py"), root / "bench.py"]:
+        if "llm" not in path.parts:
+            assert "increload.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
