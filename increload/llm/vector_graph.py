@@ -2,10 +2,10 @@
 
 Distinct vectors are assigned to their nearest few centroids, which gives
 overlapping shards; a shard that is still large is divided by a hash.  In each
-part a flat proximity graph is built by greedy search from the medoid and
-robust pruning.  A vector's adjacency lists from all its parts are united.
+part a flat proximity graph is built by robust pruning of each vector's
+nearest ones.  A vector's adjacency lists from all its parts are united.
 Each vector then searches every part of its own shard: greedy search from the
-part's medoid, and from there on every node within the similarity threshold
+part's medoids, and from there on every node within the similarity threshold
 is expanded until no new one turns up.  Every link is verified by its cosine
 in double precision.  The recall is audited against brute force for a bounded
 set of queries over all vectors; while it misses the target, the overlap is
@@ -57,16 +57,20 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def greedy(x: np.ndarray, adj: np.ndarray, start: int, queries: np.ndarray, beam: int):
-    """Best-first search of a batch of queries: ``(visited, beam ids, beam
-    similarities, expanded)``; a node is visited once its similarity is known."""
+def greedy(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int):
+    """Best-first search of a batch of queries from the best of the nodes
+    ``starts``: ``(visited, beam ids, beam similarities, expanded)``; a node is
+    visited once its similarity is known."""
     b, n = len(queries), len(x)
     rows = np.arange(b)
     visited, expanded = np.zeros((b, n), dtype=bool), np.zeros((b, n), dtype=bool)
     ids = np.full((b, beam), -1)
     sims = np.full((b, beam), -np.inf)
-    ids[:, 0], sims[:, 0] = start, queries @ x[start]
-    visited[:, start] = True
+    first = queries @ x[starts].T
+    best = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+    ids[:, : best.shape[1]] = starts[best]
+    sims[:, : best.shape[1]] = np.take_along_axis(first, best, axis=1)
+    visited[:, starts] = True
     while len(rows):
         done = expanded[rows[:, None], np.maximum(ids[rows], 0)] | (ids[rows] < 0)
         open_sims = np.where(done, -np.inf, sims[rows])
@@ -94,7 +98,10 @@ def greedy(x: np.ndarray, adj: np.ndarray, start: int, queries: np.ndarray, beam
 def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, alpha: float, degree: int) -> np.ndarray:
     """For each node keep the nearest candidate, drop those that are ``alpha``
     times nearer to it than to the node, and go on; at most ``degree`` stay.
-    ``cand`` is padded with -1."""
+    A third of the places go to the nearest candidates whether dropped or not:
+    around a vector with many noisy copies every copy is covered by the
+    original, and without these links most would have no way in.  ``cand`` is
+    padded with -1."""
     cand = np.sort(cand, axis=1)
     repeat = np.zeros_like(cand, dtype=bool)
     repeat[:, 1:] = cand[:, 1:] == cand[:, :-1]
@@ -104,43 +111,40 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, alpha: floa
     between = 1.0 - np.einsum("bcd,bed->bce", points, points)
     out = np.full((len(nodes), degree), -1)
     rows = np.arange(len(nodes))
+    nearest = dist.copy()
     for i in range(degree):
-        pick = np.argmin(dist, axis=1)
-        has = np.isfinite(dist[rows, pick])
-        if not has.any():
-            break
+        choice = nearest if i < degree // 3 else dist
+        pick = np.argmin(choice, axis=1)
+        has = np.isfinite(choice[rows, pick])
         out[has, i] = cand[rows[has], pick[has]]
         # distances are squared chords, so alpha enters squared
         covered = alpha * alpha * between[rows, pick] <= dist
         dist[covered & has[:, None]] = np.inf
-        dist[rows, pick] = np.inf
+        dist[rows, pick] = nearest[rows, pick] = np.inf
     return out
 
 
 def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float = 1.2, seed: int = 7) -> np.ndarray:
-    """Adjacency ``(n, degree)``, padded with -1."""
+    """Adjacency of a part, at most ``2 * degree`` nodes each, padded with -1.
+
+    Candidates are the ``beam`` nearest nodes of the part and a few random
+    ones; robust pruning keeps ``degree`` of them.  A node that is among the
+    nearest of others is also linked back to them, to the nearest ``degree``.
+    """
     n = len(x)
-    if n <= degree + 1:
-        full = np.tile(np.arange(n), (n, 1))
-        full = full[~np.eye(n, dtype=bool)].reshape(n, n - 1)
-        return np.hstack([full, np.full((n, degree - n + 1), -1)])
     rng = np.random.default_rng(seed)
-    adj = rng.integers(0, n, size=(n, degree))
-    start = medoid(x)
-    for a in (1.0, alpha):
-        for nodes in np.array_split(rng.permutation(n), math.ceil(n / BATCH)):
-            _, ids, _, expanded = greedy(x, adj, start, x[nodes], beam)
-            paths = _padded(*np.nonzero(expanded), len(nodes), 2 * beam)
-            adj[nodes] = robust_prune(x, nodes, np.hstack([ids, paths, adj[nodes]]), a, degree)
-            to = adj[nodes]
-            from_row, col = np.nonzero(to >= 0)
-            target, source = to[from_row, col], nodes[from_row]
-            order = np.argsort(target, kind="stable")
-            hit, at = np.unique(target[order], return_inverse=True)
-            back = _padded(at, source[order], len(hit), 3 * degree)
-            for part in np.array_split(np.arange(len(hit)), math.ceil(len(hit) / BATCH)):
-                adj[hit[part]] = robust_prune(x, hit[part], np.hstack([adj[hit[part]], back[part]]), a, degree)
-    return adj
+    out = np.full((n, degree), -1)
+    for nodes in np.array_split(np.arange(n), math.ceil(n / BATCH)):
+        sims = x[nodes] @ x.T
+        sims[np.arange(len(nodes)), nodes] = -np.inf
+        near = np.argpartition(-sims, min(beam, n) - 1, axis=1)[:, :beam]
+        far = rng.integers(0, n, size=(len(nodes), degree // 2))
+        out[nodes] = robust_prune(x, nodes, np.hstack([near, far]), alpha, degree)
+    source, col = np.nonzero(out[:, : degree // 3] >= 0)
+    target = out[source, col]
+    closeness = np.einsum("ij,ij->i", x[source], x[target])
+    order = np.lexsort((source, -closeness, target))
+    return np.hstack([out, _padded(target[order], source[order], n, degree)])
 
 
 def _padded(rows: np.ndarray, values: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -153,13 +157,15 @@ def _padded(rows: np.ndarray, values: np.ndarray, n: int, width: int) -> np.ndar
     return out
 
 
-def medoid(x: np.ndarray) -> int:
-    return int(np.argmax(x @ x.mean(axis=0)))
+def medoids(x: np.ndarray, groups: int = 64) -> np.ndarray:
+    """The nodes nearest to the centres of up to ``groups`` clusters of ``x``."""
+    centres = fit_centroids(x, min(groups, len(x)))
+    return np.unique(np.argmax(x @ centres.T, axis=0))
 
 
 def range_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> np.ndarray:
     """Matrix of the nodes within ``threshold`` that each query finds."""
-    visited, _, _, expanded = greedy(x, adj, medoid(x), queries, beam)
+    visited, _, _, expanded = greedy(x, adj, medoids(x), queries, beam)
     found = np.zeros_like(visited)
     q, node = np.nonzero(visited)
     for at in range(0, len(q), 1 << 18):
