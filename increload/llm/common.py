@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +34,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matrix(rows: pa.Table, column: str) -> np.ndarray:
+    """A collected array column, whose arrays are equally long, as a matrix."""
+    values = rows.column(column).combine_chunks()
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=np.float64).reshape(len(values), -1) if len(values) else np.empty((0, 0))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Identity of a document row: its id and the hash of its text.
 

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from increload.llm.common import matrix
+
 MAX_LABELLED = 20_000
 MAX_POOL = 20_000
 ROUNDS = 4
@@ -192,8 +194,9 @@ def co_train(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: np.ndarray, r
     return CoTrained(views, fit_logistic(logits, cal_y, ridge=0.1))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> pd.DataFrame:
-    """Bounded labelled and unlabelled documents with their features."""
+def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounded labelled and unlabelled documents: ids in order, labels (-1:
+    none), features."""
     order = F.xxhash64("doc_id", F.lit("sample"))
     rated = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     rated = rated.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
@@ -210,9 +213,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": x})
 
     rows = rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
-    out = _plain(rows).mapInPandas(run, "doc_id long, y int, x array<double>").toPandas()
-    out = out.drop_duplicates("doc_id")  # repeated rows
-    return out.sort_values("doc_id", kind="stable")
+    out = _plain(rows).mapInPandas(run, "doc_id long, y int, x array<float>").toArrow()
+    ids, first = np.unique(out.column("doc_id").to_numpy(), return_index=True)  # repeated rows count once
+    return ids, out.column("y").to_numpy()[first], matrix(out, "x").reshape(-1, N_FEATURES)[first]
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -222,11 +225,9 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    rows = _sample(docs, labels, max_labelled, max_pool)
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-    y = rows["y"].to_numpy()
+    ids, y, x = _sample(docs, labels, max_labelled, max_pool)
     known = y >= 0
-    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in rows["doc_id"]], dtype=bool)
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], dtype=bool)
     return co_train(x[known], y[known].astype(float), held[known], x[~known])
 
 

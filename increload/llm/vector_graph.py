@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.llm.common import stage
+from increload.llm.common import matrix, stage
 from increload.llm.components import components
 
 SAMPLE_PER_CENTROID = 32
@@ -39,7 +39,7 @@ MAX_SAMPLE = 65536
 BATCH = 512
 
 
-def unit_rows(values: list) -> np.ndarray:
+def unit_rows(values: list | np.ndarray) -> np.ndarray:
     x = np.array(values, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps the squares of huge and tiny components finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -235,7 +235,7 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
     # One row per centroid, at most MAX_CENTROIDS.
     members = members.join(F.broadcast(sizes), "shard")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")  # one type on both sides of the cogroup
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
@@ -248,7 +248,7 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
     joined = stage(members.join(graph, "id"), "graph")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     inside = joined.select("shard", part, F.explode(every).alias("asked"), "id", "v", "w", "near")
-    asked = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("asked")
+    asked = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("asked")
     asking = joined.where("home").select("shard", F.explode(every).alias("part"), asked, "id", "v")
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -325,9 +325,9 @@ def near_duplicate_vectors(
     n = nodes.count()
     k = min(MAX_CENTROIDS, math.ceil(n * overlap / shard_rows))
     mixed = F.xxhash64("id", F.lit(2))
-    sample = nodes.orderBy(mixed, "id").select("v").limit(min(MAX_SAMPLE, SAMPLE_PER_CENTROID * k)).toPandas()
+    sample = nodes.orderBy(mixed, "id").select("v").limit(min(MAX_SAMPLE, SAMPLE_PER_CENTROID * k)).toArrow()
     k = min(k, len(sample))
-    centres = fit_centroids(unit_rows(sample["v"].tolist()), k)
+    centres = fit_centroids(unit_rows(matrix(sample, "v")), k)
     asked = nodes.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id", "v").limit(audit).toPandas()
     true = _brute_counts(nodes, asked, threshold)
     while True:
