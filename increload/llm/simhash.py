@@ -89,9 +89,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def blocks_for(nodes: int, distance: int) -> int:
-    """Fewest blocks whose keys are long enough that random fingerprints give
-    each node at most about one candidate per key."""
-    blocks = distance + 1
+    """Fewest blocks, two more than ``distance`` at least, whose keys are long
+    enough that random fingerprints give each node at most about one candidate
+    per key."""
+    blocks = distance + 2
     while blocks < distance + 5 and (64 * (blocks - distance)) // blocks < nodes.bit_length():
         blocks += 1
     return blocks
