@@ -37,7 +37,7 @@ def _bare(line: Column) -> Column:
 
 def line_table(docs: DataFrame, site: str) -> DataFrame:
     """``(h1, h2, site, key, line)`` per non-blank line: hashes, site, row key, line number."""
-    label = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit(""))
+    label = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-"))  # sketches skip empty strings
     rows = docs.where(F.col("text").isNotNull()).select(
         label.alias("site"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.posexplode(_lines()).alias("line", "raw")
     )
