@@ -86,14 +86,14 @@ def test_odd_documents(odd_docs, no_docs):
     assert found(no_docs) == []
 
 
-def planted(n=240):
+def planted(n=480):
     rng = random.Random(9)
     out = []
     for i in range(n):
         words = [rng.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(30)]
         if i % 2:
             phone = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
-            words[10] = phone + (" 4524132264652800" if i % 16 == 1 else "")  # the base pattern runs on and fails
+            words[10] = phone + (" 4524132264652800" if i % 80 == 1 else "")  # the base pattern runs on and fails
         elif i % 4 == 0:
             words[10] = f"{rng.randint(10, 99)}-{rng.randint(100, 999)}"
         out.append((i, " ".join(words)))
@@ -104,7 +104,7 @@ def test_boosted_trees_add_what_the_base_patterns_miss(spark):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in found(df)}
-    missed = [i for i, t in rows if i % 16 == 1]
+    missed = [i for i, t in rows if i % 80 == 1]
     for i in missed:
         text = dict(rows)[i]
         assert "phone" not in got[i]["base"]
