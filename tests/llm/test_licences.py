@@ -81,6 +81,7 @@ TREE = [
     ("src/vendor/x/y/z.c", "int main"),
     ("src/vendor/x/own.c", "// Licensed under the Apache License, Version 2.0\nint f;"),
     ("src/vendor/x/deep/k.c", "int g;"),
+    ("src/vendor/w/q.c", "int q;"),
     ("docs/late.txt", "\n" * 30 + "Licensed under CC BY-NC 4.0."),
     ("docs/other.txt", "text with a licence of nothing in particular, and a driving licence besides"),
     ("docs/other.txt", "text with a licence of nothing in particular, and a driving licence besides"),
@@ -96,7 +97,8 @@ def test_tree(spark):
     assert got == plain(TREE)
     by_path = {k[0]: k for k in got}
     assert by_path["src/a.py"][3] == "MIT" and by_path["src/a.py"][5] == ""
-    assert by_path["src/vendor/x/y/z.c"][3] == "GPL-3.0" and by_path["src/vendor/x/y/z.c"][5] == "src/vendor"
+    assert by_path["src/vendor/w/q.c"][3] == "GPL-3.0" and by_path["src/vendor/w/q.c"][5] == "src/vendor"
+    assert by_path["src/vendor/x/y/z.c"][3] == "Apache-2.0" and by_path["src/vendor/x/y/z.c"][5] == "src/vendor/x"
     assert by_path["src/vendor/x/deep/k.c"][3] == "Apache-2.0" and by_path["src/vendor/x/deep/k.c"][5] == "src/vendor/x"
     assert by_path["docs/late.txt"][2:4] == (True, "CC-BY-NC-4.0")
     assert by_path["docs/both.txt"][1] == ("CC-BY-NC-4.0", "MIT")
