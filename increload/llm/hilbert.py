@@ -9,7 +9,7 @@ can be pruned by filters on any of them.
 The order is never sorted as a whole: rows are ranked within a cell (a cell
 with very many rows is divided by a hash of the row first), and the positions
 of the cells come from their counts, of which there are at most
-``2 ** (3 * BITS)`` plus one per ``RANKED_ROWS`` rows.
+``2 ** (3 * BITS)`` plus 1024 or one per ``RANKED_ROWS`` rows.
 
 Defined results: a null text has size 1 and the checksum of the empty text;
 null language, source or length sort first.  Every row gets a place, repeated
@@ -27,7 +27,7 @@ from increload.llm.common import KEY, stage, text_or_empty
 
 BITS = 5
 MICRO = 4096  # bins of the histogram from which equally filled bins are cut
-RANKED_ROWS = 65536
+RANKED_ROWS = 65536  # rows of a cell ranked by one task, at most
 DIMS = ("lang", "source", "n_chars")
 
 
@@ -64,12 +64,13 @@ def hilbert_index(q: Column, bits: int, dims: int) -> Column:
         bit = F.when(acc["x"][s["i"]].bitwiseAND(s["q"]) != 0, F.lit(1)).otherwise(F.lit(0))
         return F.struct(acc["x"].alias("x"), (acc["h"] * 2 + bit).cast("long").alias("h"))
 
-    x = F.aggregate(steps, q, exchange)
+    x = F.aggregate(steps, q, exchange) if levels else q
     x = F.aggregate(F.array(*[F.lit(i) for i in range(1, dims)]), x, gray)
-    x = F.aggregate(
-        F.array(*[F.lit(lv) for lv in levels]), F.struct(x.alias("x"), F.lit(0).alias("t")), toggle,
-        lambda acc: F.transform(acc["x"], lambda v: v.bitwiseXOR(acc["t"])),
-    )
+    if levels:
+        x = F.aggregate(
+            F.array(*[F.lit(lv) for lv in levels]), F.struct(x.alias("x"), F.lit(0).alias("t")), toggle,
+            lambda acc: F.transform(acc["x"], lambda v: v.bitwiseXOR(acc["t"])),
+        )
     order = F.array(*[F.struct(F.lit(1 << j).alias("q"), F.lit(i).alias("i")) for j in range(bits - 1, -1, -1) for i in range(dims)])
     return F.aggregate(order, F.struct(x.alias("x"), F.lit(0).cast("long").alias("h")), interleave, lambda acc: acc["h"])
 
@@ -122,7 +123,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     cells = stage(cells.withColumn("curve", hilbert_index(F.array(*names), BITS, n)), "cells")
     # At most 2 ** (BITS * n) = 32768 cells, so the broadcast has a fixed bound.
     placed = binned.join(F.broadcast(cells), names)
-    sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.ceil(F.col("__llm_cell_rows") / F.lit(RANKED_ROWS)))
+    ranked_rows = min(RANKED_ROWS, max(256, total // 1024))
+    sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.ceil(F.col("__llm_cell_rows") / F.lit(ranked_rows)))
     placed = placed.select("doc_id", "size", "text_crc32", "curve", sub.alias("sub"))
 
     runs = placed.groupBy("curve", "sub").agg(F.count(F.lit(1)).alias("n"))
