@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from increload.llm.common import KEY, WORD, row_key, stage
 
 GROUP = 64
-RANKED_ROWS = 65536  # rows ranked by one task when groups are formed
+RANKED_ROWS = 2048  # rows ranked together when groups are formed
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_rate: float) -> DataFrame:
