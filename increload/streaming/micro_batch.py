@@ -51,8 +51,9 @@ def load_stream(
     """Start a streaming query that loads every micro-batch into ``base``.
 
     Every ``compact_every`` epochs the batches since the last time are merged
-    into segments (index and master), so the directories that a load opens
-    stay bounded however long the stream runs.  0 leaves that to the caller.
+    into a segment (index and master), and every ``compact_every`` segments
+    into one, so the directories that a load opens stay bounded however long
+    the stream runs.  0 leaves that to the caller.
     """
     spark = stream.sparkSession
     first = stream_number(spark, base, checkpoint_location) * STREAM_IDS
@@ -63,8 +64,9 @@ def load_stream(
         session = batch.sparkSession
         load_batch(session, batch, base, first + epoch_id, part, keys, order_by, scope)
         if compact_every and (epoch_id + 1) % compact_every == 0:
-            tables.compact_key_index(session, base, key_schema, part)
-            tables.compact_master(session, base, schema, part)
+            state = tables.read_state(session, base)
+            tables.compact_key_index(session, base, key_schema, part, full=len(state.index_segments) >= compact_every)
+            tables.compact_master(session, base, schema, part, full=len(state.data_segments) >= compact_every)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
     if trigger:
