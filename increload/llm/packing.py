@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from increload.llm.common import gapless, stage, text_or_empty
 
 END_ID = 1
-CACHE_WORDS = 400_000  # about 80 MB a generation
+CACHE_WORDS = 150_000  # about 30 MB a generation
 SUBS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sub int"
 
@@ -146,27 +146,24 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id:
     ``with_ids`` adds the piece's token ids as little-endian bytes."""
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * window
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sub", *(["ids"] if with_ids else [])]
+    types = [*[pa.int64()] * 5, pa.int32(), *([pa.binary()] if with_ids else [])]
 
     def run(batches):
         ids_of = load_tokenizer(tokenizer_path)
         count = TaskContext.get().partitionId()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(doc_ids[at : at + 256], ids_of.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, batch.num_rows, 256):  # few texts at a time become Python strings
+                part = batch.slice(at, 256)
+                rows = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode(part.column("text").to_pylist()), strict=True):
                     ids += end
                     for s in range(0, len(ids), step):
                         piece = ids[s : s + step]
-                        row = (doc_id, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, count % SUBS, piece)
-                        for col, value in zip(cols, row, strict=True):
-                            col.append(value)
+                        row = (doc_id, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, count % SUBS)
+                        rows.append((*row, piece) if with_ids else row)
                         count += 1
-            types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sub", "ids"]
-            n = 7 if with_ids else 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names[:n])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

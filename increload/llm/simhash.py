@@ -65,8 +65,8 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            texts = batch.column("text")
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps)], ["doc_id", "th", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_or_empty().alias("text"))
