@@ -663,26 +663,29 @@ FROM ({_SQL_LOAD_TEXT_EVENTS})
 """
 
 
+def _drop_and_run(spark: SparkSession, df: DataFrame, root: str, name: str, compact_every: int) -> None:
+    """Deliver ``df`` as one file drop and let the stream load what is new,
+    in one micro-batch."""
+    df.write.parquet(f"{root}/landing/drop={name}")
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{root}/landing")
+    q = load_stream(
+        stream, f"{root}/tables", "day", ["event_id"], f"{root}/checkpoint", trigger={"availableNow": True}, compact_every=compact_every
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def q_stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events delivered as three file drops (first half, second half, second
-    half again) and loaded by a streaming query, one micro-batch per drop;
-    the master table afterwards."""
+    half again) and loaded by a streaming query, restarted for each; the
+    master table afterwards."""
     ev = events(spark, sf_dir)
     root = shared_scratch(spark, "stream-load")
     early = F.col("day") < EVENTS_SPLIT_DAY
     late = ~early | early.isNull()
     for i, cond in enumerate([early, late, late]):
-        ev.where(cond).write.mode("overwrite").parquet(f"{root}/landing/drop={i}")
-    stream = (
-        spark.readStream.schema(ev.schema)
-        .option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", True)
-        .parquet(f"{root}/landing")
-    )
-    q = load_stream(stream, f"{root}/tables", "day", ["event_id"], f"{root}/checkpoint", trigger={"availableNow": True})
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+        _drop_and_run(spark, ev.where(cond), root, str(i), compact_every=0)
     return tables.read_master(spark, f"{root}/tables", ev.schema).drop("batch_id")
 
 
@@ -701,21 +704,12 @@ def q_stream_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     afterwards."""
     ev = events(spark, sf_dir)
     root = shared_scratch(spark, "stream-compaction")
-    base, landing = f"{root}/tables", f"{root}/landing"
+    base = f"{root}/tables"
     early, replayed = F.col("day") < EVENTS_REPLAY_DAY, F.col("day") == EVENTS_REPLAY_DAY
-
-    def drop_and_run(df: DataFrame, name: str) -> None:
-        df.write.parquet(f"{landing}/drop={name}")
-        stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).parquet(landing)
-        q = load_stream(stream, base, "day", ["event_id"], f"{root}/checkpoint", trigger={"availableNow": True}, compact_every=1)
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-
-    drop_and_run(ev.where(early), "first")
+    _drop_and_run(spark, ev.where(early), root, "first", compact_every=1)
     run_load_job(spark, ev.where(replayed), base, 2_000_000, "day", ["event_id"])
     tables.compact_key_index(spark, base, tables.key_schema_of(ev.schema, "day", ["event_id"]), "day", full=True)
-    drop_and_run(ev.where(~early | early.isNull()), "rest")
+    _drop_and_run(spark, ev.where(~early | early.isNull()), root, "rest", compact_every=1)
     return tables.read_master(spark, base, ev.schema).drop("batch_id")
 
 
