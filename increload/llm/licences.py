@@ -1,16 +1,27 @@
 """Licence scan: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file that contains a licence term is a segment.  Segments
-and templates become sparse TF-IDF vectors over the templates' terms, joined
-on the term; a segment is assigned its most similar template if the cosine
-reaches ``threshold``.  A file's licences are those of its segments.  A file
-that declares one in its first lines, or is named like a licence file, gives
-it to its directory, and a file without a licence of its own inherits from
-its nearest ancestor directory that has one.
-
-Document frequencies are counted over all segments of all files.  Only the
-templates' terms take part, so a term's postings on the template side are at
-most the number of templates; the segment side is never joined with itself.
+Three searches find the notices of a file, over its whole text:
+
+* Every line that contains a licence term is a segment, compared with the
+  templates under document frequencies counted over all segments.
+* Every anchor term (``ANCHORS``), wherever it stands, lays each template that
+  holds it over the text, term on term: the window is as long as the template
+  and is compared with it.  Lines and sentences do not matter, so notices
+  inside paragraphs or wrapped over comment lines are found.  Weights come from
+  the templates alone, so a notice does not sink as it becomes common, and a
+  window must hold the names and version numbers of its template and no others.
+* The identifiers of SPDX tags are licences, with cosine 1.
+
+A notice counts if its cosine reaches ``threshold``.  Segments and templates
+are sparse TF-IDF vectors joined on the term.  A file's licences are those of
+its notices; a GNU licence without a version counts only if no version of it is
+found.  A file that declares one in its first lines, or is named like a licence
+file, gives it to its directory, and a file without a licence of its own
+inherits from its nearest ancestor directory that has one.
+
+A term's postings on the template side are at most the number of templates;
+the segment side is never joined with itself.  A window is cut from the
+terms around its anchor, a fixed number,, so a long text is never copied.
 
 Defined results: a null text counts as empty, a null path as a file in the
 root directory.  Each input row gives one row, repeated rows too.  Extra
@@ -19,6 +30,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +59,61 @@ TEMPLATES = (
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+# Further notices, for windows only: headers as they are wrapped, and the titles of whole licences.
+NOTICES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Licensed under the terms of the MIT License"),
+    ("MIT", "Distributed under the MIT License"),
+    ("MIT", "available under the MIT License"),
+    ("MIT", "This project is licensed under the MIT License"),
+    ("ISC", "Licensed under the ISC License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3 Clause License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2 Clause License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("EPL-2.0", "under the terms of the Eclipse Public License v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution NonCommercial 4.0 International"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution NoDerivatives 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution NonCommercial ShareAlike 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution NonCommercial NoDerivatives 4.0 International"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+) + tuple(
+    (licence, form.format(name=name, version=version))
+    for spdx, name, versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser", ("2.1", "3")), ("AGPL", "Affero", ("3",)))
+    for version in versions
+    for licence in [f"{spdx}-{version if '.' in version else version + '.0'}"]
+    for form in (
+        "GNU {name} General Public License version {version}",
+        "GNU {name} General Public License v{version}",
+        "GNU {name} General Public License v{version}.0",
+        "under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {version} of the License",
+        "under the terms of version {version} of the GNU {name} General Public License as published by the Free Software Foundation",
+    )
+) + tuple(
+    (spdx, f"under the terms of the GNU {name} General Public License as published by")
+    for spdx, name in (("GPL", ""), ("LGPL", "Lesser"), ("AGPL", "Affero"))
+)
+ANCHORS = ("license", "licensed", "permission", "redistribution", "gnu", "cc", "cc0", "commons", "apache", "mozilla", "unencumbered")
+# Terms that tell one licence from another; numbers do too.
+NAMES = (
+    "apache", "mit", "isc", "bsd", "boost", "eclipse", "mozilla", "gnu", "lesser", "library", "affero", "cc", "cc0", "nc", "sa", "nd",
+    "noncommercial", "sharealike", "noderivatives", "noderivs", "attribution", "commons", "unencumbered", "organization",
+)
+NUMBER = r"^v?[0-9]+(?:\.[0-9]+)*$"
+ANCHORED = r"(?i)licen[sc]e|permission|redistribution|\bgnu\b|\bcc\b|\bcc0\b|commons|apache|mozilla|unencumbered"
+TAG = r"(?i)SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+()\x20\t:-]+)"
 SEGMENT = r"(?i)licen[sc]|copying|permission|redistribution|public domain|\bcc0\b|\bcc by|spdx"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense)[^/]*$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -96,6 +165,82 @@ def licence_segments(files: DataFrame, threshold: float) -> DataFrame:
     return found.select("file", "line", "seg").join(best, "seg").select("file", "line", "licence", "cosine")
 
 
+def _window_templates() -> tuple[list[tuple], list[tuple], float]:
+    """The window search's templates ``(template, licence, anchor, at, len, named)``,
+    one row per anchor, their vectors' ``(term, idf)`` and the idf of a term of no template."""
+    words = [(spdx, re.findall(TERM, text.lower())) for spdx, text in TEMPLATES + NOTICES]
+    df: dict[str, int] = {}
+    for _, terms in words:
+        for t in set(terms):
+            df[t] = df.get(t, 0) + 1
+    idf = [(t, math.log((len(words) + 1) / (n + 1)) + 1) for t, n in sorted(df.items())]
+    rows = [
+        (i, spdx, t, at, len(terms), sorted({x for x in terms if x in NAMES or re.match(NUMBER, x)}))
+        for i, (spdx, terms) in enumerate(words) for at, t in enumerate(terms) if t in ANCHORS
+    ]
+    return rows, idf, math.log(len(words) + 1) + 1
+
+
+def licence_windows(files: DataFrame, threshold: float) -> DataFrame:
+    """``(file, line, licence, cosine)`` for the windows of the texts that match
+    a template; ``line`` is the one in which the window begins."""
+    spark = files.sparkSession
+    laid, idf, rare = _window_templates()
+    span = max(r[4] for r in laid)
+    lines = F.split(F.regexp_replace(F.lower(text_or_empty()), "licenc", "licens"), "\n", -1)
+    words = F.flatten(F.transform(lines, lambda x, i: F.transform(_terms(x), lambda t: F.struct(t.alias("term"), i.alias("line")))))
+    texts = files.where(text_or_empty().rlike(ANCHORED)).select("file", words.alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w["term"].isin(*ANCHORS), i)), lambda i: i.isNotNull())
+    around = F.transform(places, lambda i: F.struct(
+        F.col("words")[i]["term"].alias("anchor"), i.alias("place"), F.least(i, F.lit(span)).alias("lead"),
+        F.slice("words", F.greatest(i - span, F.lit(0)) + 1, F.lit(2 * span)).alias("near"),
+    ))
+    anchors = texts.select("file", F.explode(around).alias("a")).select("file", "a.*")
+    # One row per anchor of a template, a fixed number.
+    templates = spark.createDataFrame(laid, "template int, licence string, anchor string, at int, len int, named array<string>")
+    first = F.greatest(F.col("lead") - F.col("at"), F.lit(0))
+    window = F.slice("near", first + 1, F.col("len") + F.least(F.col("lead") - F.col("at"), F.lit(0)))
+    cut = anchors.join(F.broadcast(templates), "anchor").select("file", "template", "licence", "named", window.alias("w"))
+    cut = cut.select("file", "template", "licence", "named", F.col("w")[0]["line"].alias("line"), F.col("w.term").alias("terms"))
+    named = F.filter(F.array_distinct("terms"), lambda t: t.isin(*NAMES) | t.rlike(NUMBER))
+    cut = cut.where(F.array_sort(named) == F.col("named")).withColumn("seg", F.concat_ws(" ", F.col("template").cast("string"), "terms"))
+    cut = stage(cut.select("file", "template", "licence", "line", "seg", "terms").distinct(), "windows")
+
+    weights = spark.createDataFrame(idf, "term string, idf double")
+    distinct = cut.groupBy("seg").agg(F.first("terms").alias("terms"), F.first("template").alias("template"))
+    every = distinct.select(F.explode("terms").alias("term")).distinct().join(F.broadcast(weights), "term", "left").fillna(rare, ["idf"])
+    goal = spark.createDataFrame(
+        [(i, re.findall(TERM, text.lower())) for i, (_, text) in enumerate(TEMPLATES + NOTICES)], "template int, terms array<string>"
+    )
+    goal = _vectors(goal, "template", weights)
+    near = _vectors(distinct, "seg", every).join(distinct.select("seg", "template"), "seg")
+    cosine = (
+        near.alias("s").join(F.broadcast(goal).alias("t"), ["template", "term"]).groupBy("seg")
+        .agg(F.round(F.sum(F.col("s.x") * F.col("t.x")), 9).alias("cosine"))
+    )
+    hits = cut.join(cosine.where(F.col("cosine") >= threshold), "seg")
+    return hits.select("file", "line", "licence", "cosine")
+
+
+def licence_tags(files: DataFrame) -> DataFrame:
+    """``(file, line, licence, cosine)`` for the identifiers of SPDX tags.
+    Exceptions (after ``WITH``) are no licences; ``-only``, ``-or-later`` and
+    ``+`` are left out, and known identifiers take their usual case."""
+    text = text_or_empty()
+    lines = files.where(text.rlike(TAG)).select("file", F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
+    tags = lines.select("file", "line", F.explode(F.regexp_extract_all("raw", F.lit(TAG), 1)).alias("tag"))
+    # An identifier stands first, or after an operator; words after the expression are none.
+    expression = F.regexp_extract("tag", r"(?i)^[(\x20\t]*([a-z0-9.+:-]+(?:[)\x20\t]+(?:and|or|with)[(\x20\t]+[a-z0-9.+:-]+)*)", 1)
+    bare = F.regexp_replace(expression, r"(?i)[)\x20\t]+with[\x20\t]+[a-z0-9.+:-]+", "")
+    ids = F.split(bare, r"(?i)[()\x20\t]+(?:and|or)[()\x20\t]+")
+    one = F.regexp_replace("id", r"(?i)(?:-only|-or-later|\+)?[.:-]*$", "")
+    known = sorted({spdx for spdx, _ in TEMPLATES + NOTICES})
+    usual = F.create_map(*[F.lit(x) for spdx in known for x in (spdx.lower(), spdx)])
+    found = tags.select("file", "line", F.explode(ids).alias("id")).select("file", "line", one.alias("id"))
+    found = found.where(~F.upper("id").isin("", "NONE", "NOASSERTION"))
+    return found.select("file", "line", F.coalesce(usual[F.lower("id")], "id").alias("licence"), F.lit(1.0).alias("cosine"))
+
+
 def scan_licences(files: DataFrame, path: Column, threshold: float = 0.6, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(path, licences, own, licence, cosine, from_dir)`` per row of
     ``files``, with the ``carry`` columns.
@@ -106,7 +251,11 @@ def scan_licences(files: DataFrame, path: Column, threshold: float = 0.6, carry:
     """
     name = F.coalesce(path.cast("string"), F.lit(""))
     key = F.struct(name.alias("path"), F.xxhash64("text").alias("th"))
-    hits = licence_segments(files.select(key.alias("file"), "text"), threshold)
+    keyed = files.select(key.alias("file"), "text")
+    hits = licence_segments(keyed, threshold).unionByName(licence_windows(keyed, threshold)).unionByName(licence_tags(keyed))
+    hits = stage(hits.distinct(), "hits")
+    versioned = hits.select("file", F.regexp_extract("licence", r"^([AL]?GPL)-", 1).alias("licence")).where("licence <> ''").distinct()
+    hits = hits.join(versioned, ["file", "licence"], "left_anti")
     # A line repeated in a file, or a repeated file, counts once.
     named = F.struct("cosine", (-F.col("line")).alias("order"), "licence")
     own = hits.groupBy("file").agg(

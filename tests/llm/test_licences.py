@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from increload.llm.licences import HEADER_LINES, LICENCE_FILE, SEGMENT, TEMPLATES, TERM, scan_licences
+from increload.llm.licences import ANCHORS, HEADER_LINES, LICENCE_FILE, NOTICES, SEGMENT, TEMPLATES, TERM, scan_licences
 
 
 def plain(files, threshold=0.6):
@@ -115,3 +115,43 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd_docs.collect())
     assert all(r["licence"] is None for r in rows)
     assert scan_licences(no_docs, F.col("source")).collect() == []
+
+
+PROSE = "the ordinary words of a long paragraph that says nothing of interest about anybody in particular and goes on for a while. "
+GPL_HEADER = """/* tool.c
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation; either version {} of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+ANYWHERE = [
+    ("// SPDX-License-Identifier: MIT", ["MIT"]),
+    ("# SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0"]),
+    ("SPDX-License-Identifier: (mit OR GPL-3.0-or-later WITH Classpath-exception-2.0) AND Zlib", ["GPL-3.0", "MIT", "Zlib"]),
+    ("SPDX-License-Identifier: BSD-3-Clause some words after it", ["BSD-3-Clause"]),
+    (PROSE * 5 + "Released under the MIT License. " + PROSE * 5, ["MIT"]),
+    (PROSE * 5 + "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0. " + PROSE, ["Apache-2.0", "CC-BY-NC-4.0"]),
+    (GPL_HEADER.format("", 2), ["GPL-2.0"]),
+    (GPL_HEADER.format("", 3), ["GPL-3.0"]),
+    (GPL_HEADER.format("Lesser ", "2.1"), ["LGPL-2.1"]),
+    (" * it under the terms of the GNU General Public License as published by", ["GPL"]),
+    ("#  Licensed under the\n#  Apache License,\n#  Version 2.0 (the thing)", ["Apache-2.0"]),
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of\nthis software and more", ["MIT"]),
+    ("This is free and unencumbered software released into the public\ndomain.", ["Unlicense"]),
+    (PROSE + "released under the GPL license, not under the MIT one; his driving license has version 3. " + PROSE, []),
+]
+
+
+def test_notices_anywhere(spark):
+    """Beside 300 files with one common notice, whose terms must not sink."""
+    files = [(f"f/{i}", text) for i, (text, _) in enumerate(ANYWHERE)] + [(f"c/{i}", "Released under the MIT License.") for i in range(300)]
+    rows = scan_licences(spark.createDataFrame(files, "path string, text string"), F.col("path")).where("path like 'f/%'").collect()
+    got = {r["path"]: r["licences"] for r in rows}
+    assert got == {f"f/{i}": want for i, (_, want) in enumerate(ANYWHERE)}
+
+
+def test_every_template_has_an_anchor():
+    assert all(set(re.findall(TERM, text.lower())) & set(ANCHORS) for _, text in TEMPLATES + NOTICES)
