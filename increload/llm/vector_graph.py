@@ -7,9 +7,14 @@ nearest ones.  A vector's adjacency lists from all its parts are united.
 Each vector then searches every part of its own shard: greedy search from the
 part's medoids, and from there on every node within the similarity threshold
 is expanded until no new one turns up.  Every link is verified by its cosine
-in double precision.  The recall is audited against brute force for a bounded
-set of queries over all vectors; while it misses the target, the overlap is
-doubled and the graph built again.
+in double precision.  The recall is audited against brute force over all
+vectors, for queries that grow with the root of their number and are drawn in
+equal parts from strata by found links, so that rare links and small groups are
+asked for too.  It is the least of the recall per link, per neighbour without
+its copies, per query, and per query within each stratum of true neighbours.
+While it misses the target, overlap, beam and degree are doubled and the graph
+built again; after ``RAISES`` times all vectors are compared block by block,
+exactly.  While no asked vector has a link at all, more are asked.
 
 Groups of copies do not become pairs: equal vectors are one node with a
 weight, searches return counts, and of the links themselves each task returns
@@ -37,6 +42,9 @@ SAMPLE_PER_CENTROID = 32
 MAX_CENTROIDS = 2048  # with the sample below, the bound of what the driver holds
 MAX_SAMPLE = 65536
 BATCH = 512
+RAISES = 3
+EXACT_ROWS = 4096  # of a block in the exact comparison
+AUDIT_ROWS = 4096  # queries that are compared by brute force at a time
 
 
 def unit_rows(values: list | np.ndarray) -> np.ndarray:
@@ -134,7 +142,8 @@ def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float = 1.2, seed:
     n = len(x)
     rng = np.random.default_rng(seed)
     out = np.full((n, degree), -1)
-    for nodes in np.array_split(np.arange(n), math.ceil(n / BATCH)):
+    batch = max(1, BATCH * 32 // max(32, beam))  # pruning holds the candidates' vectors
+    for nodes in np.array_split(np.arange(n), math.ceil(n / batch)):
         sims = x[nodes] @ x.T
         sims[np.arange(len(nodes)), nodes] = -np.inf
         near = np.argpartition(-sims, min(beam, n) - 1, axis=1)[:, :beam]
@@ -228,9 +237,31 @@ def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     return nodes.mapInPandas(assign, "shard int, home boolean, id long, v array<double>, w long")
 
 
+def _found_links(ask_ids: np.ndarray, found, ids: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+    """What a task of ``_links`` or ``_exact_links`` returns, from matrices of
+    the nodes that ``BATCH`` queries each have found."""
+    if not len(ask_ids):
+        return pd.DataFrame({"id": [], "n": [], "m": [], "other": []}).astype("Int64")
+    weights, numbers, left, right = [], [], [], []
+    for s, hit in zip(range(0, len(ask_ids), BATCH), found, strict=True):
+        r, c = np.nonzero(hit)
+        other = ids[c] != ask_ids[s + r]
+        r, c = r[other], c[other]
+        weights.append(np.bincount(r, weights=w[c], minlength=len(hit)).astype(np.int64))
+        numbers.append(np.bincount(r, minlength=len(hit)))
+        left.append(ask_ids[s + r])
+        right.append(ids[c])
+    node, low = forest(np.concatenate(left), np.concatenate(right))
+    tree = node != low
+    return pd.concat([
+        pd.DataFrame({"id": ask_ids, "n": np.concatenate(weights), "m": np.concatenate(numbers), "other": None}).astype("Int64"),
+        pd.DataFrame({"id": node[tree], "n": None, "m": None, "other": low[tree]}).astype("Int64"),
+    ])
+
+
 def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, shard_rows: int, degree: int, beam: int) -> DataFrame:
-    """``(id, n, other)``: per node the weight of the links it finds in a part
-    (``other`` null), and the links of the parts' spanning forests (``n`` null)."""
+    """``(id, n, m, other)``: per node the weight and number of the neighbours it finds in a
+    part (``other`` null), and the links of the parts' spanning forests (``n`` null)."""
     members = stage(_shards(nodes, centres, overlap), "shards")
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
     # One row per centroid, at most MAX_CENTROIDS.
@@ -252,9 +283,8 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
     asking = joined.where("home").select("shard", F.explode(every).alias("part"), asked, "id", "v")
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "n": [], "other": []}).astype("Int64")
         if rows.empty or asks.empty:
-            return empty
+            return _found_links(asks["id"].to_numpy()[:0], [], [], [])
         rows = rows.sort_values("id", kind="stable")
         ids, w, x = rows["id"].to_numpy(), rows["w"].to_numpy(), unit_rows(rows["v"].tolist())
         place = pd.Series(np.arange(len(ids)), index=ids)
@@ -265,40 +295,79 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
         here = ~np.isnan(local)  # neighbours outside this part are searched in theirs
         adj = _padded(at[here], local[here].astype(np.int64), len(ids), int(lengths.max(initial=1)))
         ask_ids, q = asks["id"].to_numpy(), unit_rows(asks["v"].tolist())
-        counts, left, right = [], [], []
-        for s in range(0, len(q), BATCH):
-            found = range_search(x, adj, q[s : s + BATCH], threshold, beam)
-            r, c = np.nonzero(found)
-            other = ids[c] != ask_ids[s + r]
-            r, c = r[other], c[other]
-            counts.append(np.bincount(r, weights=w[c], minlength=len(found)).astype(np.int64))
-            left.append(ask_ids[s + r])
-            right.append(ids[c])
-        node, low = forest(np.concatenate(left), np.concatenate(right))
-        tree = node != low
-        return pd.concat([
-            pd.DataFrame({"id": ask_ids, "n": np.concatenate(counts), "other": None}).astype("Int64"),
-            pd.DataFrame({"id": node[tree], "n": None, "other": low[tree]}).astype("Int64"),
-        ])
+        found = (range_search(x, adj, q[s : s + BATCH], threshold, beam) for s in range(0, len(q), BATCH))
+        return _found_links(ask_ids, found, ids, w)
 
     keys = ("shard", "part", "asked")
-    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, "id long, n long, other long")
-
+    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, "id long, n long, m long, other long")
 
-def _brute_counts(nodes: DataFrame, asked: pd.DataFrame, threshold: float) -> dict[int, int]:
-    """Links of the asked nodes, by comparison with every node."""
-    q, ids = unit_rows(asked["v"].tolist()), asked["id"].to_numpy()
 
-    def compare(batches):
-        for rows in batches:
-            if len(rows):
-                hit = unit_rows(rows["v"].tolist()) @ q.T >= threshold
-                hit &= rows["id"].to_numpy()[:, None] != ids[None, :]
-                n = (hit * rows["w"].to_numpy()[:, None]).sum(axis=0)
-                yield pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]})
+def _exact_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """What ``_links`` returns, by comparison of every block of nodes with every block."""
+    blocks = math.ceil(n / EXACT_ROWS)
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    inside = nodes.select(block.alias("part"), F.explode(every).alias("asked"), "id", "v", "w")
+    asking = nodes.select(F.explode(every).alias("part"), block.alias("asked"), "id", "v")
 
-    counts = nodes.mapInPandas(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counts.collect()}
+    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asks.empty:
+            return _found_links(asks["id"].to_numpy()[:0], [], [], [])
+        x, q = unit_rows(rows["v"].tolist()), unit_rows(asks["v"].tolist())
+        found = (q[s : s + BATCH] @ x.T >= threshold for s in range(0, len(q), BATCH))
+        return _found_links(asks["id"].to_numpy(), found, rows["id"].to_numpy(), rows["w"].to_numpy())
+
+    keys = ("part", "asked")
+    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, "id long, n long, m long, other long")
+
+
+def _brute_counts(nodes: DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """``(id, n, m)``: links and neighbours of the asked nodes that have any, by
+    comparison with every node."""
+    parts = []
+    for at in range(0, len(asked), AUDIT_ROWS):
+        block = asked[at : at + AUDIT_ROWS]
+        q, ids = unit_rows(block["v"].tolist()), block["id"].to_numpy()
+
+        def compare(batches, q=q, ids=ids):
+            for rows in batches:
+                if len(rows):
+                    hit = unit_rows(rows["v"].tolist()) @ q.T >= threshold
+                    hit &= rows["id"].to_numpy()[:, None] != ids[None, :]
+                    m, n = hit.sum(axis=0), rows["w"].to_numpy() @ hit
+                    yield pd.DataFrame({"id": ids[m > 0], "n": n[m > 0], "m": m[m > 0]})
+
+        counts = nodes.mapInPandas(compare, "id long, n long, m long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        parts.append(counts.toPandas())
+    return pd.concat(parts)
+
+
+def _asked(nodes: DataFrame, counts: DataFrame, queries: int) -> pd.DataFrame:
+    """``(id, v, n, m, share)``: about ``queries`` nodes, as many from each stratum
+    by found neighbours, with what they found; ``share`` nodes stand behind each."""
+    found = nodes.join(counts, "id", "left").select("id", "v", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "m")])
+    found = found.withColumn("stratum", F.floor(F.log2(F.col("m") + 1)).cast("int"))
+    sizes = {r["stratum"]: r["count"] for r in found.groupBy("stratum").count().collect()}
+    quota = math.ceil(queries / len(sizes))
+    share = F.create_map(*[F.lit(x) for st, size in sizes.items() for x in (st, max(1.0, size / quota))])[F.col("stratum")]
+    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    return found.withColumn("share", share).where(draw * F.col("share") < 1).select("id", "v", "n", "m", "share").toPandas()
+
+
+def audited_recall(asked: pd.DataFrame, true: pd.DataFrame) -> float | None:
+    """The least recall: per link, per neighbour, per query, and per query of each
+    stratum of true neighbours.  None if no asked node has a link."""
+    rows = asked.merge(true, on="id", suffixes=("", "_true"))
+    if rows.empty:
+        return None
+    share = rows["share"].to_numpy()
+    got, want = rows[["n", "m"]].to_numpy(dtype=np.float64), rows[["n_true", "m_true"]].to_numpy(dtype=np.float64)
+    got = np.minimum(got, want)
+    query = (got / want).min(axis=1)
+    stratum = np.floor(np.log2(want[:, 1] + 1))
+    recalls = [*(share @ got / (share @ want)), share @ query / share.sum()]
+    recalls += [share[stratum == x] @ query[stratum == x] / share[stratum == x].sum() for x in np.unique(stratum)]
+    return float(min(recalls))
 
 
 def near_duplicate_vectors(
@@ -328,16 +397,22 @@ def near_duplicate_vectors(
     sample = nodes.orderBy(mixed, "id").select("v").limit(min(MAX_SAMPLE, SAMPLE_PER_CENTROID * k)).toArrow()
     k = min(k, len(sample))
     centres = fit_centroids(unit_rows(matrix(sample, "v")), k)
-    asked = nodes.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id", "v").limit(audit).toPandas()
-    true = _brute_counts(nodes, asked, threshold)
-    while True:
+    for _ in range(RAISES + 1):
         links = stage(_links(nodes, centres, min(overlap, k), threshold, shard_rows, degree, beam), "links")
-        counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
-        got = {r["id"]: r["n"] for r in counts.where(F.col("id").isin([int(i) for i in asked["id"]])).collect()}
-        recall = sum(min(got.get(i, 0), t) for i, t in true.items()) / max(1, sum(true.values()))
-        if not true or recall >= target_recall or overlap >= k:
+        counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        queries = max(audit, math.ceil(4 * math.sqrt(n)))
+        while True:
+            asked = _asked(nodes, counts, queries)
+            recall = audited_recall(asked, _brute_counts(nodes, asked, threshold)) if len(asked) else None
+            if recall is not None or len(asked) == n:
+                break
+            queries *= 4
+        if recall is None or recall >= target_recall:
             break
-        overlap *= 2
+        overlap, degree, beam = 2 * overlap, 2 * degree, 2 * beam
+    else:
+        links = stage(_exact_links(nodes, n, threshold), "links")
+        counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = stage(components(links.where("other is not null"), "id", "other"), "roots")
     described = (
         nodes.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from increload.llm import vector_graph
 from increload.llm.vector_graph import build_graph, forest, near_duplicate_vectors, range_search
 
 SF = "/root/testdata/sf0.01"
@@ -100,3 +102,23 @@ def test_graph_reaches_and_bounds_degree():
 def test_forest():
     node, low = forest(np.array([5, 7, 9, 2]), np.array([7, 9, 11, 3]))
     assert dict(zip(node, low)) == {5: 5, 7: 5, 9: 5, 11: 5, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("large", [0, 300])
+def test_audit_sees_lost_small_groups(spark, monkeypatch, large):
+    """A search that finds only the links of one large group, or none of the few
+    links there are, must not pass: the exact comparison takes over."""
+    x = clusters(5, [1] * 500 + [2] * 3 + [large])
+    ids = np.arange(len(x)) + 1
+    want = brute(ids, x)
+    search = vector_graph._links
+
+    def losing(*args):
+        links = search(*args)
+        small = F.col("id") <= 506
+        return links.where(F.col("other").isNull() | ~small).withColumns({c: F.when(small & F.col(c).isNotNull(), 0).otherwise(F.col(c)) for c in "nm"})
+
+    monkeypatch.setattr(vector_graph, "_links", losing)
+    monkeypatch.setattr(vector_graph, "RAISES", 1)
+    monkeypatch.setattr(vector_graph, "EXACT_ROWS", 300)
+    assert result(frame(spark, ids, x), audit=64) == want
