@@ -3,8 +3,9 @@
 High-recall generators propose overlapping spans of four kinds: strict base
 patterns and loose variants of them.  Boosted regression trees on the spans'
 format and context tell how likely a candidate is real: a candidate counts as
-real while training if a valid base span of its kind overlaps it.  On a
-held-out half of the documents a threshold per kind is calibrated, the lowest
+real while training if a valid base span of its kind overlaps it, or if it
+passes a check that does not depend on the base patterns (``_checked``), so
+that forms only the loose patterns find can be learnt.  On a held-out half of the documents a threshold per kind is calibrated, the lowest
 score whose candidates reach the wanted precision.  Loose candidates above it
 are added; valid base spans always stay.
 
@@ -19,8 +20,7 @@ runs; they match what the plain patterns match.
 
 Defined results: a null text counts as empty.  Each input row gives one row.
 Positions are code points, ends exclusive.  Extra columns are ignored.  A
-corpus without candidates, or whose candidates are all of one class, adds no
-spans.
+corpus without real candidates adds no spans.
 """
 
 from __future__ import annotations
@@ -107,6 +107,22 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str, m: Column) -> Column:
+    """Is a loose match real by itself?  An address once ``at`` and ``dot`` are
+    undone, octets in range, Luhn over digits with any separator, or a phone
+    number of valid length that is written as one."""
+    if kind == "email":
+        at = F.regexp_replace(m, r"(?i)[(\[{]\x20?at\x20?[)\]}]", "@")
+        plain = F.regexp_replace(F.regexp_replace(at, r"(?i)[(\[{]\x20?dot\x20?[)\]}]", "."), r"\x20", "")
+        return plain.rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}$")
+    if kind == "ip":
+        alike = m.rlike(r"^[0-9]+(\x20?\.\x20?)[0-9]+\1[0-9]+\1[0-9]+$")
+        return alike & _valid("ip", F.regexp_replace(m, r"\x20", ""))
+    if kind == "phone":
+        return _valid("phone", m) & m.rlike(r"^(?:\+|00)|[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$")
+    return _valid(kind, m)
+
+
 def _valid_span(kind: str):
     return lambda x: _valid(kind, x["m"])
 
@@ -175,7 +191,7 @@ def _features(kind: int, text: Column, x: Column) -> Column:
 def with_candidates(df: DataFrame) -> DataFrame:
     """Adds ``cands``: loose candidates as ``struct<kind, s, e, real, free, f>``.
 
-    ``real``: overlaps a valid base span of its kind.  ``free``: overlaps no
+    ``real``: overlaps a valid base span of its kind or passes the check.  ``free``: overlaps no
     valid base span of any kind.
     """
     df = _with_spans(df, LOOSE, True, "loose")
@@ -189,7 +205,7 @@ def with_candidates(df: DataFrame) -> DataFrame:
             hits = {k: overlaps(F.col(f"base_{k}"), x) for k in KINDS}
             free = ~reduce(lambda a, b: a | b, hits.values())
             return F.struct(
-                F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), hits[kind].alias("real"), free.alias("free"), _features(i, text, x).alias("f")
+                F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (hits[kind] | _checked(kind, x["m"])).alias("real"), free.alias("free"), _features(i, text, x).alias("f")
             )
 
         return F.transform(f"loose_{kind}", make)
@@ -271,9 +287,9 @@ def fit(counts: list[dict], rounds: int = 30, depth: int = 3, shrink: float = 0.
     """
     train = [r for r in counts if r["fold"] == 0]
     n, pos = sum(r["n"] for r in train), sum(r["pos"] for r in train)
-    if not 0 < pos < n:
+    if not pos:
         return None
-    start = math.log(pos / (n - pos))
+    start = math.log(pos / max(n - pos, 0.5))
     scores, trees = [start] * len(train), []
     for _ in range(rounds):
         for r, s in zip(train, scores, strict=True):
