@@ -31,12 +31,9 @@ RANKED_ROWS = 65536  # rows of a cell ranked by one task, at most
 DIMS = ("lang", "source", "n_chars")
 
 
-def _order_code(name: str, kind: str) -> Column:
-    """A long that orders like the column: strings by their first six UTF-8
-    bytes, numbers by their logarithm."""
+def _order_code(name: str) -> Column:
+    """A long that orders like the number column: its logarithm."""
     c = F.col(name)
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.substring(F.hex(c), 1, 12), 12, "0"), 16, 10).cast("long"), F.lit(-1))
     return F.coalesce(F.floor(F.log2(F.greatest(c.cast("double"), F.lit(0.0)) + 1) * 1000), F.lit(-1)).cast("long")
 
 
@@ -87,6 +84,33 @@ def equal_bins(histogram: dict[int, int], bins: int) -> list[int]:
     return cuts
 
 
+def string_bin(rows: DataFrame, name: str, bins: int) -> Column:
+    """The bin of a string column, by counts of whole values: nulls have the
+    first bin for themselves, each value has its own while there are enough, and
+    otherwise the bins hold about the same number of rows.
+
+    The running sum over the distinct values, in order, is taken per range of
+    values and shifted by the sums of the smaller ranges.
+    """
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    valued = counts.where(F.col(name).isNotNull()).repartitionByRange(name).withColumn("sub", F.spark_partition_id())
+    valued = stage(valued, f"values_{name}")
+    nulls = int(not rows.where(F.col(name).isNull()).isEmpty())
+    sums = valued.groupBy("sub").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    size = valued.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).first()
+    if size["values"] <= bins - nulls:
+        firsts = [r[0] for r in valued.select(name).collect()]  # at most ``bins``
+    else:
+        inner = F.sum("n").over(Window.partitionBy("sub").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+        placed = valued.withColumn("inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(sums), "sub")
+        bin_ = F.floor((F.col("base") + F.col("inner")) * F.lit(bins - nulls) / F.lit(size["rows"]))
+        firsts = [r["first"] for r in placed.groupBy(bin_.alias("bin")).agg(F.min(name).alias("first")).collect()]
+    at = sum(((F.col(name) >= F.lit(v)).cast("int") for v in firsts), F.lit(nulls - 1))
+    return F.coalesce(at, F.lit(0))
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``(doc_id, size, text_crc32, curve, shard, slot)`` per row of ``docs``.
 
@@ -94,29 +118,23 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     from 0 along the curve.
     """
     text = text_or_empty()
-    codes = [_order_code(c, "number" if c == "n_chars" else "string").alias(f"c{i}") for i, c in enumerate(DIMS)]
+    codes = [(_order_code(c) if c == "n_chars" else F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(DIMS)]
     size = (F.octet_length(text) + 1).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), *codes)
     rows = stage(rows, "rows")
     n = len(DIMS)
-    ends = rows.agg(F.count(F.lit(1)), *[f(f"c{i}") for i in range(n) for f in (F.min, F.max)]).first()
+    length = DIMS.index("n_chars")
+    ends = rows.agg(F.count(F.lit(1)), F.min(f"c{length}"), F.max(f"c{length}")).first()
     total = ends[0]
     if not total:
         return rows.select("doc_id", "size", "text_crc32", *[F.lit(0).cast(t).alias(c) for c, t in (("curve", "long"), ("shard", "int"), ("slot", "long"))])
 
-    def micro(i: int) -> Column:
-        low, high = ends[1 + 2 * i], ends[2 + 2 * i]
-        return F.floor((F.col(f"c{i}") - F.lit(low)).cast("double") * F.lit((MICRO - 1) / max(1, high - low))).cast("int")
-
-    # At most MICRO counts for each dimension.
-    counted = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("d"), micro(i).alias("m")) for i in range(n)])).alias("x"))
-    histograms: list[dict[int, int]] = [{} for _ in DIMS]
-    for r in counted.groupBy("x.d", "x.m").agg(F.count(F.lit(1)).alias("n")).collect():
-        histograms[r["d"]][r["m"]] = r["n"]
-    bins = []
-    for i, histogram in enumerate(histograms):
-        cuts = equal_bins(histogram, 1 << BITS)
-        bins.append(sum(((micro(i) >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).alias(f"q{i}"))
+    low, high = ends[1], ends[2]
+    micro = F.floor((F.col(f"c{length}") - F.lit(low)).cast("double") * F.lit((MICRO - 1) / max(1, high - low))).cast("int")
+    # At most MICRO counts.
+    histogram = {r["m"]: r["n"] for r in rows.groupBy(micro.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_length = sum(((micro >= F.lit(c)).cast("int") for c in equal_bins(histogram, 1 << BITS)), F.lit(0))
+    bins = [(by_length if i == length else string_bin(rows, f"c{i}", 1 << BITS)).alias(f"q{i}") for i in range(n)]
     names = [f"q{i}" for i in range(n)]
     binned = rows.select("doc_id", "size", "text_crc32", *bins)
     cells = binned.groupBy(*names).agg(F.count(F.lit(1)).alias("__llm_cell_rows"))

@@ -7,7 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from increload.llm.hilbert import equal_bins, hilbert_index, shard_documents, write_shards
+from increload.llm.hilbert import equal_bins, hilbert_index, shard_documents, string_bin, write_shards
 
 
 @pytest.mark.parametrize(("bits", "dims"), [(1, 2), (3, 2), (4, 2), (2, 3), (3, 3), (2, 4)])
@@ -72,3 +72,18 @@ def test_written_shards_hold_every_row(spark, docs, tmp_path):
     assert back.select("shard").distinct().count() == 16
     spread = back.groupBy("shard").agg(F.count_distinct("lang").alias("n")).agg(F.avg("n")).first()[0]
     assert spread < docs.select("lang").distinct().count()
+
+
+def test_values_keep_their_own_bins(spark):
+    """Beside nulls, an outlier and a long common prefix."""
+    values = [None, "a", *[f"https://example.org/source{i:02}" for i in range(20)]]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(1 if v in (None, "a") else 50)], "c string")
+    rows = df.select("c", string_bin(df, "c", 32).alias("q")).distinct().collect()
+    assert [r["q"] for r in sorted(rows, key=lambda r: r["c"] or "")] == list(range(22))
+
+
+def test_many_values_fill_bins_equally(spark):
+    df = spark.range(6400).select(F.when(F.col("id") > 0, F.format_string("https://example.org/%05d", "id")).alias("c"))
+    counts = Counter(r["q"] for r in df.select(string_bin(df, "c", 32).alias("q")).collect())
+    assert set(counts) == set(range(32)) and counts[0] == 1
+    assert all(200 <= n <= 210 for q, n in counts.items() if q)
