@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import os
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from increload.plans.load import incremental_load
+from increload.sources.files import header_names, read_csv_dir, read_csv_files, read_headers, trim_column_names
+
+
+def put(folder, **files):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in files.items():
+        with open(f"{folder}/{name}.csv", "w") as f:
+            f.write(text)
+    return str(folder)
+
+
+def as_rows(df):
+    return Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+
+def test_swapped_missing_and_extra_columns(spark, tmp_path):
+    path = put(tmp_path, a="id,name\n1,ann\n2,ben\n", b="name,id\nbob,3\n", c="id\n4\n", d="id,extra,name\n5,x,eve\n", e="", f="\n\nname,id\nfay,6\n")
+    df = read_csv_dir(spark, path)
+    assert df.columns == ["id", "name", "extra"]
+    assert as_rows(df) == Counter([(None, "1", "ann"), (None, "2", "ben"), (None, "3", "bob"), (None, "4", None), ("x", "5", "eve"), (None, "6", "fay")])
+    headers = {os.path.basename(r["path"]): r["header"] for r in read_headers(spark, path).collect()}
+    assert headers == {"a.csv": "id,name", "b.csv": "name,id", "c.csv": "id", "d.csv": "id,extra,name", "f.csv": "name,id"}
+
+
+def test_one_header_is_one_scan(spark, tmp_path):
+    path = put(tmp_path, a="id,name\n1,ann\n", b="id,name\n2,ben\n")
+    plan = read_csv_dir(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+
+
+def test_padded_names_are_one_column_when_trimmed(spark, tmp_path):
+    path = put(tmp_path, a="id, name\n1,ann\n", b='"id",name\n2,ben\n', c=" name,id\ncy,3\n")
+    df = read_csv_files(spark, path, trim=True).rows
+    assert df.columns == ["id", "name"] and as_rows(df) == Counter([("1", "ann"), ("2", "ben"), ("3", "cy")])
+    assert set(read_csv_dir(spark, path).columns) == {"id", " name", "name"}
+    one = put(tmp_path / "one", a="id, name\n1,ann\n")
+    assert trim_column_names(read_csv_dir(spark, one)).columns == ["id", "name"]
+
+
+def test_awkward_file_names(spark, tmp_path):
+    folder = tmp_path / "with space"
+    put(folder, **{"a b": "id,name\n1,ann\n", "c[1]{x}": "name,id\nbob,2\n", "p%20q": "id\n3\n"})
+    assert as_rows(read_csv_dir(spark, str(folder))) == Counter([("1", "ann"), ("2", "bob"), ("3", None)])
+
+
+def test_names_of_headers():
+    assert header_names('a,"b,c",,A') == ["a0", "b,c", "_c2", "A3"]
+    assert header_names("﻿x| y", sep="|", trim=True) == ["x", "y"]
+
+
+def test_every_line_is_loaded_or_rejected(spark, tmp_path):
+    path = put(
+        tmp_path,
+        a='id,day,name\n1,20240101,ann\n2,2024\n3,20240101,"x,y"\n4,soon,dan\n5,,eve\n6,20240102,f,g\n',
+        b="day,id\n20240103,7\nnever,8\n20240103\n,9\n",
+        c="id\n10\n",
+    )
+    read = read_csv_files(spark, path, part="p", source_col="day")
+    assert read.rows.columns == ["id", "day", "name", "p"]
+    got = {r["id"]: (r["name"], r["p"]) for r in read.rows.collect()}
+    assert got == {"1": ("ann", 20240101), "3": ("x,y", 20240101), "5": ("eve", None), "7": (None, 20240103), "9": (None, None), "10": (None, None)}
+    bad = {(os.path.basename(r["path"]), r["record"], r["reason"]) for r in read.rejected.collect()}
+    assert bad == {
+        ("a.csv", "2,2024", "not 3 cells"), ("a.csv", "6,20240102,f,g", "not 3 cells"), ("a.csv", "4,soon,dan", "day is no int"),
+        ("b.csv", "20240103", "not 2 cells"), ("b.csv", "never,8", "day is no int"),
+    }
+    # counting, which needs no column, counts the same lines
+    assert read.rows.count() == 6 and read.rejected.count() == 5
+    assert read.rows.select("id").count() == 6 and read.rejected.groupBy("reason").count().count() == 3
+    # in place: the partition column keeps its name
+    same = read_csv_files(spark, path, part="day")
+    assert same.rows.columns == ["id", "name", "day"] and same.rows.schema["day"].dataType.simpleString() == "int"
+
+
+def test_good_rows_load_and_bad_ones_do_not_become_the_null_partition(spark, tmp_path):
+    old = put(tmp_path / "old", a="id,day\n1,20240101\n")
+    new = put(tmp_path / "new", a="day,id\n20240101,1\n20240102,2\nsoon,3\n,4\n")
+    existing, batch = (read_csv_files(spark, p, part="day").rows for p in (old, new))
+    delta = incremental_load(batch, existing, None, "day", ["id"]).delta
+    assert as_rows(delta) == Counter([(20240102, "2"), (None, "4")])
+
+
+def test_many_blocks_have_one_header(spark, tmp_path):
+    path = put(tmp_path, a="k,v\n" + "".join(f"{i},{'x' * (i % 50)}\n" for i in range(20000)), b="v,k\n" + "".join(f"y,{i}\n" for i in range(20000, 20100)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_csv_dir(spark, path)
+        assert df.select(F.col("k").cast("int").alias("k")).distinct().count() == 20100 and df.where("k = 'k' or v = 'v'").isEmpty()
+        assert read_headers(spark, path).count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_locations_without_header_or_column_raise(spark, tmp_path):
+    with pytest.raises(ValueError, match="header"):
+        read_csv_dir(spark, put(tmp_path / "empty", a="", b="\n\n"))
+    with pytest.raises(ValueError, match="no file below"):
+        read_csv_files(spark, put(tmp_path / "x", a="id\n1\n"), part="day")
+    many = put(tmp_path / "many", **{f"f{i}": f"c{i}\n1\n" for i in range(201)})
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv_dir(spark, many)
