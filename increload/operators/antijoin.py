@@ -209,6 +209,41 @@ def anti_on_broadcast_keys(
     return batch.join(matched, on=key_cols, how="left_anti")
 
 
+def matched_keys(known: DataFrame, batch_keys: DataFrame, key_cols: Sequence[str] = KEY_COLS) -> DataFrame:
+    """The known keys that the batch delivers again, as ``key_cols``.
+
+    For a batch too large to be broadcast.  Written as a semi-join so that
+    Spark's runtime filter can act: it builds a Bloom filter from the batch's
+    keys and drops known keys that cannot match where they are scanned, before
+    they are shuffled.  (Its thresholds are the session's:
+    ``spark.sql.optimizer.runtime.bloomFilter.*``.)  What passes by mistake is
+    dropped by the join, so the filter never changes the result.
+    """
+    key_cols = list(key_cols)
+    # Holds for every row; a filter is what tells the optimizer that this side selects.
+    asked = batch_keys.where(F.col(key_cols[0]) % 2 > -2).select(*key_cols)
+    return known.select(*key_cols).join(asked, on=key_cols, how="left_semi")
+
+
+def anti_on_matched(
+    batch: DataFrame, known: DataFrame, batch_keys: DataFrame, width: int | None, budget: int, key_cols: Sequence[str] = KEY_COLS
+) -> DataFrame:
+    """:func:`anti_on` by way of :func:`matched_keys`: ``batch - (known ∩ batch
+    keys)``.  The matches are written to the session's shared folder and
+    counted; ``width`` bounds the bytes of one.  When they fit ``budget`` they
+    are broadcast, and the batch's rows are filtered where they are.  Otherwise
+    (most of the batch was known) both sides meet in a sort-merge join."""
+    key_cols = list(key_cols)
+    spark = batch.sparkSession
+    path = shared_scratch(spark, "matched-keys")
+    found = matched_keys(known, batch_keys, key_cols).distinct()
+    found.write.parquet(path)
+    matched = spark.read.schema(found.schema).parquet(path)
+    if width is not None and matched.count() * width <= budget:
+        matched = F.broadcast(matched)
+    return batch.join(matched, on=key_cols, how="left_anti")
+
+
 def anti_join_keys(
     batch: DataFrame,
     existing_keys: DataFrame,

@@ -7,21 +7,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from increload.functions.keys import as_list, key_columns, packed_key, with_packed_key
+from increload.functions.keys import KEY_COLS, as_list, key_columns, packed_key, with_packed_key
 from increload.operators.antijoin import (
     DEFAULT_BROADCAST_BUDGET,
     DEFAULT_MAX_PRUNE_VALUES,
     BatchProfile,
     anti_on,
     anti_on_broadcast_keys,
+    anti_on_matched,
     fits,
     key_bytes_bound,
     profile_batch,
     prune_to_profile,
 )
-from increload.operators.dedup import dedup_on
+from increload.operators.dedup import dedup_on, dedup_two_pass
 from increload.operators.keyindex import select_keys
 from increload.operators.layout import require_partitions
+from increload.sources.key_table import KeyTable
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ def _is_empty(df: DataFrame | None) -> bool:
 
 def new_rows(
     batch: DataFrame,
-    known_keys: DataFrame | None,
+    known_keys: DataFrame | KeyTable | None,
     part: str | None,
     keys: str | Sequence[str],
     order_by: Sequence[str] | None = None,
@@ -48,6 +50,7 @@ def new_rows(
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
     profile: BatchProfile | None = None,
+    two_pass: bool = False,
 ) -> DataFrame:
     """De-duplicate ``batch`` and drop the keys in ``known_keys`` (``None``: nothing known).
 
@@ -64,29 +67,45 @@ def new_rows(
       instead of shuffling the known side; otherwise both sides meet in a
       sort-merge join, which AQE may still turn into a broadcast of the
       known side at run time.  ``broadcast_budget=0`` disables it.
+    * a :class:`KeyTable` as known side is joined bucket by bucket: only the
+      batch moves;
+    * ``two_pass``, for a batch over the budget that gives the same rows each
+      time it is read: keys alone are counted and matched first (with Spark's
+      Bloom filter on the known side), and whole rows then pass without
+      being sorted, but for those of keys met twice.
     """
     cols = key_columns(part, keys, scope)
-    deduped = dedup_on(with_packed_key(batch, cols), cols, order_by)
-    if known_keys is not None:
-        pruning = scope == "partition" and part is not None and prune
-        broadcasting = broadcast_budget > 0 and key_bytes_bound(batch.schema, cols) is not None
-        if profile is None and (pruning or broadcasting):
-            profile = profile_batch(batch, part if pruning else None, cols, max_prune_values)
-        if pruning:
-            known_keys = prune_to_profile(known_keys, part, profile, broadcast_budget)
-        known_packed = known_keys.select(*packed_key(known_keys.schema, cols))
-        if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):
-            batch_keys = batch.select(*packed_key(batch.schema, cols))
-            deduped = anti_on_broadcast_keys(deduped, known_packed, batch_keys)
-        else:
-            deduped = anti_on(deduped, known_packed)
+    table = known_keys if isinstance(known_keys, KeyTable) else None
+    if table is not None and (table.columns != cols or table.part != part):
+        raise ValueError(f"the key table is keyed by {table.columns}, not {cols}")
+    packed = table.packed(batch) if table is not None else with_packed_key(batch, cols)
+    if known_keys is None:
+        deduped = dedup_two_pass(packed, cols, order_by) if two_pass else dedup_on(packed, cols, order_by)
+        return deduped.select(*batch.columns)
+    known = table.rows() if table is not None else known_keys
+    pruning = scope == "partition" and part is not None and prune
+    broadcasting = broadcast_budget > 0 and key_bytes_bound(batch.schema, cols) is not None
+    if profile is None and (pruning or broadcasting):
+        profile = profile_batch(batch, part if pruning else None, cols, max_prune_values)
+    if pruning:
+        known = prune_to_profile(known, part, profile, broadcast_budget)
+    known = known.select(*KEY_COLS) if table is not None else known.select(*packed_key(known.schema, cols))
+    batch_keys = packed.select(*KEY_COLS)
+    if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):
+        deduped = anti_on_broadcast_keys(dedup_on(packed, cols, order_by), known, batch_keys)
+    elif two_pass:
+        width = key_bytes_bound(batch.schema, cols, profile.longest) if profile is not None else None
+        new = anti_on_matched(packed, known, batch_keys, width, broadcast_budget or DEFAULT_BROADCAST_BUDGET)
+        deduped = dedup_two_pass(new, cols, order_by)
+    else:
+        deduped = anti_on(dedup_on(packed, cols, order_by), known)
     return deduped.select(*batch.columns)
 
 
 def incremental_load(
     batch: DataFrame,
     existing: DataFrame | None = None,
-    index: DataFrame | None = None,
+    index: DataFrame | KeyTable | None = None,
     part: str | None = None,
     keys: str | Sequence[str] = (),
     order_by: Sequence[str] | None = None,
@@ -95,12 +114,15 @@ def incremental_load(
     max_prune_values: int = DEFAULT_MAX_PRUNE_VALUES,
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
     estimate: DataFrame | None = None,
+    two_pass: bool = False,
 ) -> LoadResult:
     """Which rows of ``batch`` must be appended to ``existing``?
 
     * ``existing`` is ``None`` or empty: first load.  The batch is only
       de-duplicated and any ``index`` is ignored.
-    * ``index`` given: the batch is filtered against it.
+    * ``index`` given: the batch is filtered against it.  A :class:`KeyTable`
+      is joined without being shuffled; append ``delta`` to it once that is
+      written.
     * ``index`` is ``None``: the keys are read from ``existing`` (column- and
       partition-pruned scan) instead.
 
@@ -110,6 +132,7 @@ def incremental_load(
 
     ``estimate`` (one row, from the partition estimators over the batch's
     location) guards against an empty location: an estimate of 0 raises.
+    ``two_pass``: see :func:`new_rows`.
 
     The plan reads ``batch`` more than once (profile, keys, rows), and the
     result is lazy: ``batch`` must give the same rows each time.  For a source
@@ -120,11 +143,14 @@ def incremental_load(
     if estimate is not None:
         require_partitions(estimate)
     if _is_empty(existing):
-        delta = new_rows(batch, None, part, keys, order_by, scope)
+        delta = new_rows(batch, None, part, keys, order_by, scope, two_pass=two_pass)
         return LoadResult(delta, select_keys(delta, part, keys))
+    if isinstance(index, KeyTable):
+        delta = new_rows(batch, index, part, keys, order_by, scope, prune, max_prune_values, broadcast_budget, two_pass=two_pass)
+        return LoadResult(delta, index.index().unionByName(select_keys(delta, part, keys)))
     known = index if index is not None else select_keys(existing, part, keys)
     known = known.select(*select_keys(known, part, keys).columns)
-    delta = new_rows(batch, known, part, keys, order_by, scope, prune, max_prune_values, broadcast_budget)
+    delta = new_rows(batch, known, part, keys, order_by, scope, prune, max_prune_values, broadcast_budget, two_pass=two_pass)
     # The delta's keys are disjoint from the known keys by construction, so
     # the merged index is a plain union (no distinct, no shuffle).  A rebuilt
     # index is de-duplicated once.

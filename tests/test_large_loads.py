@@ -1,0 +1,241 @@
+"""Loads of batches over the broadcast budget: what moves, and that rows stay the same."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from increload.functions.keys import with_packed_key
+from increload.operators.dedup import dedup_batch, dedup_on, dedup_two_pass, repeated_hashes
+from increload.plans.load import incremental_load, new_rows
+from increload.sources.key_table import KeyTable
+
+S = "part int, k string, n long, v string"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def as_rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+@pytest.fixture()
+def conf(spark):
+    """Session settings for one test."""
+    old = {}
+
+    def put(**settings):
+        for key, value in settings.items():
+            key = "spark.sql." + key.replace("__", ".")
+            old.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in old.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+@pytest.fixture()
+def tables(spark):
+    made = []
+
+    def make(path, schema, part, keys, buckets, scope="partition"):
+        name = f"keys_{random.randrange(1 << 60):x}"
+        made.append(name)
+        return KeyTable.open(spark, name, path, schema, part, keys, buckets, scope)
+
+    yield make
+    for name in made:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def odd_batches(seed):
+    rng = random.Random(seed)
+    row = lambda: (rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "", None, "ü", "c" * 40]), rng.choice([0, 1, None]), rng.choice(["x", "y", None]))
+    return [row() for _ in range(rng.randrange(1, 30))], [row() for _ in range(rng.randrange(1, 60))]
+
+
+# ------------------------------------------------------------ two passes
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("scope", ["partition", "global"])
+def test_two_passes_choose_the_same_rows(spark, seed, scope):
+    _, rows = odd_batches(seed)
+    df = spark.createDataFrame(rows, S).repartition(3)
+    for order in (None, ["v"]):
+        one = dedup_batch(df, "part", ["k", "n"], order, scope)
+        two = dedup_batch(df, "part", ["k", "n"], order, scope, two_pass=True)
+        assert as_rows(one) == as_rows(two) and two.schema == one.schema
+
+
+def test_rows_of_a_unique_batch_are_neither_sorted_nor_moved(spark):
+    df = spark.range(5000).select((F.col("id") % 7).cast("int").alias("part"), F.col("id").alias("k"), F.lit("payload").alias("v"))
+    plan = _plan(dedup_batch(df, "part", ["k"], two_pass=True))
+    assert "Sort" not in plan and "Exchange" not in plan
+    assert "Sort" in _plan(dedup_batch(df, "part", ["k"]))
+
+
+def test_only_rows_of_repeated_keys_are_sorted(spark):
+    df = spark.range(5000).select((F.col("id") % 4990).alias("k"), F.col("id").alias("v"))
+    out = dedup_batch(df, None, ["k"], two_pass=True)
+    plan = _plan(out)
+    once, again = plan.split("Union", 1)[1].split("LeftAnti", 1)
+    assert "Sort" not in once and "Sort" in again and "LeftSemi" in again
+    assert as_rows(out) == Counter((i, i) for i in range(4990))
+
+
+def test_hot_keys_are_still_collapsed_before_they_move(spark):
+    df = spark.range(40_000, numPartitions=4).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    out = dedup_batch(df, None, ["k"], two_pass=True)
+    assert "partial_min" in _plan(out)
+    assert as_rows(out) == Counter([(0, 0), (1, 1), (2, 2)])
+
+
+def test_too_many_repeated_keys_take_one_pass(spark):
+    df = with_packed_key(spark.range(200).select((F.col("id") % 100).alias("k"), F.col("id").alias("v")), ["k"])
+    assert repeated_hashes(df, 100 * 64 - 1) is None and repeated_hashes(df, 100 * 64)[1] == 100
+    out = dedup_two_pass(df, ["k"], budget=1000)
+    assert "LeftAnti" not in _plan(out)
+    assert as_rows(out) == as_rows(dedup_on(df, ["k"]))
+
+
+def test_maps_ride_along(spark):
+    df = spark.createDataFrame([(1, "a", {"x": 1}), (1, "b", {"y": 2}), (2, "c", None)], "k int, v string, m map<string,int>")
+    out = dedup_batch(df, None, ["k"], two_pass=True)
+    assert sorted((r["k"], r["v"], r["m"]) for r in out.collect()) == [(1, "a", {"x": 1}), (2, "c", None)]
+
+
+def test_collated_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("A", 2), ("b", 3)], "k string, v int").withColumn("k", F.expr("k collate UTF8_LCASE"))
+    assert sorted(r["v"] for r in dedup_batch(df, None, ["k"], two_pass=True).collect()) == [1, 3]
+
+
+# ------------------------------------------------------------ matches first
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("scope", ["partition", "global"])
+def test_large_loads_give_the_same_rows(spark, seed, scope):
+    old, new = odd_batches(seed)
+    existing, batch = spark.createDataFrame(old, S), spark.createDataFrame(new, S).repartition(3)
+    load = lambda **more: incremental_load(batch, existing, None, "part", ["k", "n"], scope=scope, **more)
+    want = load()
+    got = load(two_pass=True, broadcast_budget=0)
+    assert as_rows(got.delta) == as_rows(want.delta) and as_rows(got.index) == as_rows(want.index)
+    tight = new_rows(batch, existing, "part", ["k", "n"], scope=scope, two_pass=True, broadcast_budget=1)
+    assert as_rows(tight) == as_rows(want.delta)
+
+
+def test_first_load_in_two_passes(spark):
+    batch = spark.createDataFrame([(1, "a", 1, "y"), (1, "a", 1, "x"), (2, "b", 1, "z")], S)
+    got = incremental_load(batch, None, None, "part", ["k"], two_pass=True)
+    assert as_rows(got.delta) == Counter([(1, "a", 1, "x"), (2, "b", 1, "z")]) and got.index.count() == 2
+
+
+def test_matches_are_broadcast_and_rows_of_the_batch_stay_put(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    existing = spark.range(3000).select((F.col("id") % 5).cast("int").alias("part"), F.col("id").alias("k"), F.lit("old").alias("v"))
+    batch = spark.range(2900, 9000).select((F.col("id") % 5).cast("int").alias("part"), F.col("id").alias("k"), F.lit("new").alias("v"))
+    out = new_rows(batch, existing, "part", ["k"], two_pass=True, broadcast_budget=500_000)
+    plan = _plan(out)
+    assert "Sort" not in plan and "Exchange hashpartitioning" not in plan and "LeftAnti" in plan
+    assert out.count() == 6000
+
+
+def test_runtime_filter_reaches_the_index_scan(spark, conf, tmp_path):
+    from increload.functions.keys import packed_key
+    from increload.operators.antijoin import matched_keys
+
+    conf(
+        autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1",
+        optimizer__runtime__bloomFilter__enabled="true", optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0",
+        optimizer__runtime__bloomFilter__creationSideThreshold="1g",
+    )
+    spark.range(20_000).select((F.col("id") % 5).cast("int").alias("part"), F.col("id").alias("k")).write.parquet(f"{tmp_path}/index")
+    spark.range(19_990, 21_000).select((F.col("id") % 5).cast("int").alias("part"), F.col("id").alias("k")).write.parquet(f"{tmp_path}/batch")
+    index, batch = spark.read.parquet(f"{tmp_path}/index"), spark.read.parquet(f"{tmp_path}/batch")
+    cols = ["part", "k"]
+    found = matched_keys(index.select(*packed_key(index.schema, cols)), batch.select(*packed_key(batch.schema, cols)))
+    plan = _plan(found)
+    known_side = plan[plan.index("LeftSemi") :].split("FileScan", 1)[0]
+    assert "might_contain" in known_side and "bloom_filter_agg" in plan
+    assert known_side.index("Exchange") < known_side.index("might_contain")  # below the exchange: filtered before it moves
+    assert found.count() == 10
+    delta = new_rows(batch, index, "part", ["k"], two_pass=True, broadcast_budget=0)
+    assert sorted(r["k"] for r in delta.collect()) == list(range(20_000, 21_000))
+
+
+# ------------------------------------------------------------ bucketed key table
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("scope, part", [("partition", "part"), ("global", "part"), ("partition", None)])
+def test_key_table_gives_the_same_rows(spark, tmp_path, tables, seed, scope, part):
+    old, new = odd_batches(seed)
+    existing, batch = spark.createDataFrame(old, S), spark.createDataFrame(new, S).repartition(3)
+    index = tables(f"{tmp_path}/index", existing.schema, part, ["k", "n"], 4, scope)
+    index.append(existing)
+    want = incremental_load(batch, existing, None, part, ["k", "n"], scope=scope)
+    for more in ({}, {"broadcast_budget": 0}, {"broadcast_budget": 0, "two_pass": True}):
+        got = incremental_load(batch, existing, index, part, ["k", "n"], scope=scope, **more)
+        assert as_rows(got.delta) == as_rows(want.delta) and got.delta.schema == batch.schema
+    first = incremental_load(batch, existing, index, part, ["k", "n"], scope=scope).delta
+    delta = spark.createDataFrame(first.collect(), batch.schema)
+    index.append(delta)
+    assert incremental_load(batch, existing, index, part, ["k", "n"], scope=scope).delta.isEmpty()
+    flat = [part, "k", "n"] if part else ["k", "n"]
+    assert set(index.index().collect()) == {tuple(r) for r in existing.unionByName(delta).select(*flat).collect()}
+
+
+def big(spark, start, end):
+    return spark.range(start, end).select((F.col("id") % 9).cast("int").alias("part"), F.col("id").alias("k"), F.lit("v").alias("v"))
+
+
+@pytest.mark.parametrize("buckets", [8, 16])
+def test_only_the_batch_moves(spark, tmp_path, tables, conf, buckets):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", shuffle__partitions="8")
+    index = tables(f"{tmp_path}/index", big(spark, 0, 1).schema, "part", ["k"], buckets)
+    index.append(big(spark, 0, 4000))
+    batch = big(spark, 3000, 6000).where("part in (2, 3)")
+    out = new_rows(batch, index, "part", ["k"], broadcast_budget=0)
+    plan = _plan(out)
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
+    assert "Bucketed: true" in scan and re.search(r"PartitionFilters: \[part#\d+ IN \((2,3|3,2)\)\]", scan)
+    # every exchange lies on the batch's side: one for the dedup, one more only to meet another number of buckets
+    assert re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan) == (["8"] if buckets == 8 else [str(buckets), "8"])
+    index_side = plan[: plan.index("FileScan parquet")].rpartition("Range")[2]
+    assert "Exchange" not in index_side and "Sort" in index_side
+    assert out.count() == batch.where("k >= 4000").count()
+
+
+def test_a_new_session_finds_the_table_again(spark, tmp_path, tables):
+    schema = big(spark, 0, 1).schema
+    first = tables(f"{tmp_path}/in'dex", schema, "part", ["k"], 4)
+    first.append(big(spark, 0, 100))
+    again = tables(f"{tmp_path}/in'dex", schema, "part", ["k"], 4)  # another name: the catalog does not know it
+    assert again.index().count() == 100
+    again.append(big(spark, 100, 150))
+    assert again.index().count() == 150
+    delta = new_rows(big(spark, 90, 160), again, "part", ["k"], broadcast_budget=0)
+    assert sorted(r["k"] for r in delta.collect()) == list(range(150, 160))
+
+
+def test_wrong_use_of_a_key_table_raises(spark, tmp_path, tables):
+    df = spark.createDataFrame([("", "a")], "part string, k string")
+    table = tables(f"{tmp_path}/a", df.schema, "part", ["k"], 2)
+    with pytest.raises(ValueError, match="empty string"):
+        table.append(df)
+    with pytest.raises(ValueError, match="keyed by"):
+        new_rows(df, table, "part", ["k"], scope="global")
+    with pytest.raises(ValueError, match="buckets"):
+        tables(f"{tmp_path}/b", df.schema, "part", ["k"], 0)
