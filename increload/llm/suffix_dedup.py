@@ -20,8 +20,10 @@ would grow with the square of its size, so shards are formed by content:
    ``length``.  Shards that share an anchor are merged by binary search of the
    later one's windows in the earlier one's suffix array.
 4. An anchor with more than ``hot_kinds`` different pieces (a phrase in a large
-   share of all documents) would fill one task.  Its windows are spread by their
-   digest and counted instead, exact and linear in their number.
+   share of all documents) would fill one task.  Its pieces take the same way
+   again with longer ``GRAM`` strings, which part pieces that share the phrase
+   alone and fold those that share more.  Where hardly any longer string is
+   left, the few windows are spread by their digests and counted.
 
 Windows found go back to the documents through the pieces' digests.  Hashes
 only choose who meets whom; equality is decided by bytes, or by digests of 128
@@ -289,7 +291,8 @@ def _segments(offsets: np.ndarray, overlap: int):
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(rid, key, lo, hi)``: windows ``lo..hi`` of a text have the anchor ``key``."""
+    """``(rid, key, lo, hi)``: windows ``lo[i]..hi[i]`` of a text have an anchor
+    with the hash ``key``.  A text that repeats itself is one row per key."""
 
     def run(batches):
         find = Winnower(length, gram)
@@ -299,18 +302,25 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for first, start, cuts in _segments(offsets, length - 1):
                 key, _, lo, hi = find.runs(data[start : cuts[-1]], cuts - start)
                 row = first + np.searchsorted(cuts - start, lo, side="right") - 1
+                order = np.lexsort((key, row))
+                key, row, lo, hi = key[order], row[order], lo[order], hi[order]
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                at = np.flatnonzero(new)
                 base = offsets[row] - start
-                columns = [rid[row], key.view(np.int64), (lo - base).astype(np.int32), (hi - base).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "key", "lo", "hi"])
+                ends = pa.array(np.append(at, len(key)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array((x - base).astype(np.int32))) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[row[at]]), pa.array(key[at].view(np.int64)), *lists], ["rid", "key", "lo", "hi"])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, key long, lo int, hi int")
+    return texts.select("rid", "text").mapInArrow(run, "rid long, key long, lo array<int>, hi array<int>")
 
 
 def pieces(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """``(rid, key, lo, digest, windows, bytes)`` of the chosen anchors.  A task
-    sends the bytes of equal pieces once, or again after ``KNOWN`` others."""
-    names = ["rid", "key", "lo", "digest", "windows", "bytes"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    """``(rid, key, digest, lo, windows, bytes)`` of the chosen anchors, one row
+    for the equal pieces of a text.  A task sends the bytes of pieces it knows
+    already only after ``KNOWN`` others."""
+    names = ["rid", "key", "digest", "lo", "windows", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
     lists = chosen.groupBy("rid").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("runs"))
 
     def run(batches):
@@ -320,26 +330,54 @@ def pieces(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 rows = []
                 for rid, text, runs in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "runs")), strict=True):
+                    met: dict[tuple[int, bytes], list] = {}
                     for r in runs:
-                        piece = text[r["lo"] : r["hi"] + length]
-                        digest = hashlib.blake2b(piece, digest_size=16).digest()
+                        for lo, hi in zip(r["lo"], r["hi"], strict=True):
+                            piece = text[lo : hi + length]
+                            digest = hashlib.blake2b(piece, digest_size=16).digest()
+                            met.setdefault((r["key"], digest), [[], hi - lo + 1, piece])[0].append(lo)
+                    for (key, digest), (los, windows, piece) in met.items():
                         new = digest not in known
                         if new:
                             if len(known) >= KNOWN:
                                 known.clear()
                             known.add(digest)
-                        rows.append((rid, r["key"], r["lo"], digest, r["hi"] - r["lo"] + 1, piece if new else None))
+                        rows.append((rid, key, digest, los, windows, piece if new else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
-    return texts.select("rid", "text").join(lists, "rid").mapInArrow(
-        run, "rid long, key long, lo int, digest binary, windows int, bytes binary"
+    schema = "rid long, key long, digest binary, lo array<int>, windows int, bytes binary"
+    return texts.select("rid", "text").join(lists, "rid").mapInArrow(run, schema)
+
+
+def repeating_windows(texts: DataFrame, length: int, gram: int, shard_bytes: int, hot_kinds: int) -> DataFrame:
+    """``(rid, ranges)``: runs of windows of each text that start anywhere else
+    too.  ``texts`` ``(rid, text)`` is a written table of different texts."""
+    runs = stage(anchors(texts, length, gram), "anchors")
+    # Written tables on both sides of a join, so that Spark can split a hot key.
+    twice = runs.groupBy("key").agg(F.sum(F.size("lo")).alias("n")).where("n > 1").select("key")
+    found = stage(pieces(texts, runs.join(stage(twice, "keys"), "key"), length), "pieces")
+    kinds = found.groupBy("key", "digest").agg(
+        F.sum(F.size("lo")).alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("windows").alias("windows")
     )
+    kinds = stage(kinds, "kinds")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("windows").cast("long").alias("end")))
+    folded = kinds.where("n > 1").select("key", "digest", whole.alias("ranges"))
+    unfolded = kinds.where("n = 1").select("key", "digest")
+    partly = compared_kinds(kinds, length, gram, shard_bytes, hot_kinds).join(unfolded, ["key", "digest"], "left_semi")
+    repeating = stage(folded.unionByName(partly), "repeating")
+
+    def shifted(lo):
+        return F.transform("ranges", lambda r: F.struct((r["start"] + lo).alias("start"), (r["end"] + lo).alias("end")))
+
+    marks = found.select("rid", "key", "digest", "lo").join(repeating, ["key", "digest"])
+    marks = marks.select("rid", F.flatten(F.transform("lo", shifted)).alias("ranges"))
+    return marks.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def repeating_windows(kinds: DataFrame, length: int, shard_bytes: int, hot_kinds: int) -> DataFrame:
+def compared_kinds(kinds: DataFrame, length: int, gram: int, shard_bytes: int, hot_kinds: int) -> DataFrame:
     """``(key, digest, ranges)``: windows of a piece that are windows of another
     piece with its key.  ``kinds`` holds different pieces, and is written."""
-    per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    per_key = stage(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds_of_keys")
     together = kinds.select("key", "digest", "bytes").join(per_key, "key")
 
     def run(batches):
@@ -355,16 +393,25 @@ def repeating_windows(kinds: DataFrame, length: int, shard_bytes: int, hot_kinds
 
     schema = f"key long, digest binary, ranges {SPANS}"
     dealt = together.where(F.col("kinds") <= hot_kinds).drop("kinds").repartition("key").sortWithinPartitions("key", "digest")
-    small = dealt.mapInArrow(run, schema)
-
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length))
-    starts = together.where(F.col("kinds") > hot_kinds).select("key", "digest", "bytes", at.alias("at"))
-    string = F.unhex(F.sha2(F.substring("bytes", F.col("at") + 1, F.lit(length)), 256))
-    starts = stage(starts.select("key", "digest", "at", string.alias("string")), "hot_windows")
-    often = starts.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    compared = dealt.mapInArrow(run, schema)
+    if per_key.where(F.col("kinds") > hot_kinds).isEmpty():
+        return compared
+    hot = together.where(F.col("kinds") > hot_kinds).select(F.monotonically_increasing_id().alias("rid"), "key", "digest", F.col("bytes").alias("text"))
+    hot = stage(hot, "hot_pieces")
+    longer = length - (length - gram) // 4
+    marks = repeating_windows(hot, length, longer, shard_bytes, hot_kinds) if longer < length - 4 else _counted(hot, length)
+    return compared.unionByName(hot.select("rid", "key", "digest").join(marks, "rid").select("key", "digest", "ranges"))
+
+
+def _counted(texts: DataFrame, length: int) -> DataFrame:
+    """:func:`repeating_windows` by digests of all windows, for texts with few."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("text") - length))
+    starts = texts.select("rid", "text", at.alias("at"))
+    string = F.unhex(F.sha2(F.substring("text", F.col("at") + 1, F.lit(length)), 256))
+    starts = stage(starts.select("rid", "at", string.alias("string")), "windows")
+    often = stage(starts.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "often")
     one = F.struct(F.col("at").cast("long").alias("start"), (F.col("at") + 1).cast("long").alias("end"))
-    hot = starts.join(often, "string").groupBy("key", "digest").agg(F.collect_list(one).alias("ranges"))
-    return small.unionByName(hot)
+    return starts.join(often, "string").groupBy("rid").agg(F.collect_list(one).alias("ranges"))
 
 
 def _ranges_batch(rows: list) -> pa.RecordBatch:
@@ -423,22 +470,7 @@ def remove_repeats(
     met = rows.where(F.col("n_bytes") >= length).groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = stage(met.withColumn("rid", F.monotonically_increasing_id()), "texts")
 
-    runs = stage(anchors(texts, length, gram), "anchors")
-    twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    found = stage(pieces(texts, runs.join(twice, "key"), length), "pieces")
-    kinds = found.groupBy("key", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("windows").alias("windows")
-    )
-    kinds = stage(kinds, "kinds")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("windows").cast("long").alias("end")))
-    folded = kinds.where("n > 1").select("key", "digest", whole.alias("ranges"))
-    unfolded = kinds.where("n = 1").select("key", "digest")
-    partly = repeating_windows(kinds, length, shard_bytes, hot_kinds).join(unfolded, ["key", "digest"], "left_semi")
-    repeating = stage(folded.unionByName(partly), "repeating")
-
-    shifted = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("lo")).alias("start"), (r["end"] + F.col("lo")).alias("end")))
-    marks = found.select("rid", "key", "digest", "lo").join(repeating, ["key", "digest"]).select("rid", shifted.alias("ranges"))
-    marks = marks.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    marks = repeating_windows(texts, length, gram, shard_bytes, hot_kinds)
     single = texts.where("copies = 1").join(marks, "rid")
     cut = stage(_removed(single, length, with_kept), "removed")
 
