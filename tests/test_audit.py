@@ -1,0 +1,135 @@
+"""Reports on the data's assumptions and on an index that went wrong."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from increload.operators.audit import audit_assumptions
+from increload.operators.keyindex import build_key_index
+from increload.operators.reconcile import corrected_index, differing_groups, fingerprints, reconcile_index
+
+S = "part int, k string, n int, v string"
+
+
+def brute_audit(batch, loaded=None, whole=True):
+    """Rows are (part, k, n, v); the key is (k, n)."""
+    keys = {r[1:3] for r in batch}
+    payloads, parts, n_rows = defaultdict(set), defaultdict(set), Counter()
+    for p, k, n, v in batch:
+        payloads[p, k, n].add(v)
+        parts[k, n].add(p)
+        n_rows[k, n] += 1
+    mine = set(payloads)
+    for p, k, n, v in loaded or []:
+        if (k, n) in keys:
+            parts[k, n].add(p)
+            if whole and (p, k, n) in mine:
+                payloads[p, k, n].add(v)
+    out = set()
+    for key in keys:
+        conflicts = sum(len(v) > 1 for (p, *k), v in payloads.items() if tuple(k) == key)
+        known = [p for p in parts[key] if p is not None]
+        if conflicts or len(parts[key]) > 1:
+            out.add((*key, n_rows[key], conflicts, len(parts[key]), min(known, default=None), max(known, default=None)))
+    return out
+
+
+def random_rows(rng, n):
+    return [(rng.choice([1, 2, None]), rng.choice(["a", "b", None]), rng.choice([0, 1, 2, None]), rng.choice(["x", "y", None])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("budget", [1 << 20, 0])
+def test_audit_equals_brute_force(spark, seed, budget):
+    rng = random.Random(seed)
+    new, old = random_rows(rng, 12), random_rows(rng, 12)
+    batch, loaded = spark.createDataFrame(new, S).repartition(3), spark.createDataFrame(old, S)
+    got = lambda **more: {tuple(r) for r in audit_assumptions(batch, "part", ["k", "n"], broadcast_budget=budget, **more).collect()}
+    assert got() == brute_audit(new)
+    assert got(loaded=loaded) == brute_audit(new, old)
+    assert got(loaded=build_key_index(loaded, "part", ["k", "n"])) == brute_audit(new, old, whole=False)
+
+
+def test_audit_combines_hot_keys_in_each_task(spark):
+    df = spark.range(10_000, numPartitions=4).select(F.lit(1).alias("part"), F.lit("hot").alias("k"), (F.col("id") % 2).alias("v"))
+    out = audit_assumptions(df, "part", ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "SortAggregate" not in plan.split("partial_min")[-1]
+    assert [tuple(r) for r in out.collect()] == [("hot", 10_000, 1, 1, 1, 1)]
+
+
+def test_audit_of_maps_and_of_no_payload(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2)), (1, map('b', 2, 'a', 1)), (2, map('a', 1)), (2, map('a', 2)) AS t(k, m)")
+    assert [r["k"] for r in audit_assumptions(df, None, ["k"]).collect()] == [2]
+    assert audit_assumptions(df.select("k"), None, ["k"]).collect() == []
+    assert audit_assumptions(df.limit(0), None, ["k"]).collect() == []
+
+
+def told(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def brute_reconcile(index, master):
+    i, m = Counter(index), Counter(master)
+    out = set()
+    for key in {*i, *m}:
+        kind = "lost" if not i[key] else "foreign" if not m[key] else "doubled" if i[key] > m[key] else "repeated" if m[key] > i[key] else None
+        if kind:
+            out.add((*key, m[key], i[key], kind))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("part", ["part", None])
+def test_reconcile_equals_brute_force(spark, seed, part):
+    rng = random.Random(seed)
+    row = lambda: (rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None]), rng.choice([0, 1, 2, None]))
+    master = [row() for _ in range(25)]
+    index = [r for r in set(master) if rng.random() < 0.7] + [row() for _ in range(4)]
+    schema = "part int, k string, n int"
+    a, b = spark.createDataFrame(index, schema).repartition(3), spark.createDataFrame([(*r, "payload") for r in master], schema + ", v string")
+    if part is None:
+        got = told(reconcile_index(a, b, None, ["part", "k", "n"]))
+    else:
+        got = told(reconcile_index(a, b, "part", ["k", "n"]))
+    assert got == brute_reconcile(index, master)
+
+
+def big(spark):
+    return spark.range(4000).select((F.col("id") % 8).cast("int").alias("part"), F.col("id").alias("k"))
+
+
+def test_equal_tables_need_no_keys(spark):
+    found = reconcile_index(big(spark).repartition(5), big(spark), "part", ["k"])
+    assert found.collect() == []
+    assert differing_groups(big(spark).repartition(7), big(spark), "part", ["part", "k"]).isEmpty()
+
+
+def test_one_lost_one_doubled_and_one_altered_key(spark):
+    index = big(spark).where("k != 17").withColumn("k", F.when(F.col("k") == 20, F.lit(99_999)).otherwise(F.col("k")))
+    index = index.unionByName(big(spark).where("k = 33"))
+    places = {r["group"]["part"] for r in differing_groups(index, big(spark), "part", ["part", "k"]).collect()}
+    assert places == {1, 4}
+    found = reconcile_index(index, big(spark), "part", ["k"])
+    assert told(found) == {(1, 17, 1, 0, "lost"), (4, 20, 1, 0, "lost"), (4, 99_999, 0, 1, "foreign"), (1, 33, 1, 2, "doubled")}
+    mended = corrected_index(index, found)
+    assert reconcile_index(mended, big(spark), "part", ["k"]).isEmpty() and mended.count() == 4000
+
+
+def test_fingerprints_send_one_row_a_task_and_group(spark):
+    plan = fingerprints(big(spark), "part", ["part", "k"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_xor" in plan and "partial_sum" in plan and "SortAggregate" not in plan
+
+
+def test_only_differing_partitions_are_read_again(spark, tmp_path):
+    big(spark).write.partitionBy("part").parquet(f"{tmp_path}/master")
+    big(spark).where("k != 17").write.partitionBy("part").parquet(f"{tmp_path}/index")
+    index, master = (spark.read.schema("k long, part int").parquet(f"{tmp_path}/{t}") for t in ("index", "master"))
+    found = reconcile_index(index, master, "part", ["k"])
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and str(tmp_path) in line]
+    assert len(scans) == 2 and all("PartitionFilters: [isnotnull(part" in s and " = 1)" in s for s in scans)
+    assert told(found) == {(1, 17, 1, 0, "lost")}
