@@ -28,7 +28,7 @@ would grow with the square of its size, so shards are formed by content:
 Windows found go back to the documents through the pieces' digests.  Hashes
 only choose who meets whom; equality is decided by bytes, or by digests of 128
 bits and more where equal bytes are folded.  A task holds a batch, a segment of
-1 MB and a shard; a document's own list of pieces is bounded by its length.
+text and a shard; a document's own list of pieces is bounded by its length.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
 keep everything.  Repeated rows are occurrences of their own, so two equal rows
@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from increload.llm.common import stage
 
 GRAM = 128
-SEGMENT = 1 << 20
-SHARD_BYTES = 1 << 20
+SEGMENT = 1 << 18
+SHARD_BYTES = 1 << 19
 HOT_KINDS = 256
 KNOWN = 100_000  # digests a task remembers, so as to send equal pieces' bytes once
 
@@ -326,8 +326,8 @@ def pieces(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     def run(batches):
         known: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
                 rows = []
                 for rid, text, runs in zip(*(part.column(c).to_pylist() for c in ("rid", "text", "runs")), strict=True):
                     met: dict[tuple[int, bytes], list] = {}
@@ -442,8 +442,8 @@ def _removed(marked: DataFrame, length: int, with_kept: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
                 rows = []
                 for tid, text, ranges in zip(*(part.column(c).to_pylist() for c in ("tid", "text", "ranges")), strict=True):
                     spans = joined_spans(ranges, length)
