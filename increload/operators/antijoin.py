@@ -227,9 +227,9 @@ def matched_keys(known: DataFrame, batch_keys: DataFrame, key_cols: Sequence[str
 
 def anti_on_matched(
     batch: DataFrame, known: DataFrame, batch_keys: DataFrame, width: int | None, budget: int, key_cols: Sequence[str] = KEY_COLS
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """:func:`anti_on` by way of :func:`matched_keys`: ``batch - (known ∩ batch
-    keys)``.  The matches are written to the session's shared folder and
+    keys)``, and the number of matches.  The matches are written to the session's shared folder and
     counted; ``width`` bounds the bytes of one.  When they fit ``budget`` they
     are broadcast, and the batch's rows are filtered where they are.  Otherwise
     (most of the batch was known) both sides meet in a sort-merge join."""
@@ -239,9 +239,10 @@ def anti_on_matched(
     found = matched_keys(known, batch_keys, key_cols).distinct()
     found.write.parquet(path)
     matched = spark.read.schema(found.schema).parquet(path)
-    if width is not None and matched.count() * width <= budget:
+    n = matched.count()  # from the file footers
+    if width is not None and n * width <= budget:
         matched = F.broadcast(matched)
-    return batch.join(matched, on=key_cols, how="left_anti")
+    return batch.join(matched, on=key_cols, how="left_anti"), n
 
 
 def anti_join_keys(

@@ -1,5 +1,6 @@
 """Queries over large loads and the key index: bucketed index, two passes,
-audit of the data's assumptions, reconciliation of an index with its master."""
+audit of the data's assumptions, reconciliation of an index with its master,
+accounts of a load."""
 
 from __future__ import annotations
 
@@ -26,6 +27,7 @@ from increload.plans.catalog import (
     lineitem,
     lineitem_increment,
 )
+from increload.plans.job import run_load_job
 from increload.plans.load import incremental_load
 from increload.session import shared_scratch
 from increload.sources.key_table import KeyTable
@@ -131,6 +133,26 @@ FROM c WHERE n_index <> 1 OR n_master <> 1
 """
 
 
+def q_load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored loads, the second one once more as a batch of its own: what
+    each report says became of the rows."""
+    base = shared_scratch(spark, "load-accounts")
+    existing, batch = events_increment(spark, sf_dir)
+    reports = [run_load_job(spark, df, base, i, "day", ["event_id"]) for i, df in enumerate((existing, batch, batch))]
+    rows = [(r.batch_id, r.n_input, r.n_null_keys, r.n_copies, r.n_known, r.n_rows) for r in reports]
+    return spark.createDataFrame(rows, "batch_id long, n_input long, n_null_keys long, n_copies long, n_known long, n_rows long")
+
+
+_SQL_LOAD_ACCOUNTS = f"""
+WITH {_EV},
+b AS (SELECT 0 AS batch_id, day, event_id FROM ex UNION ALL SELECT 1, day, event_id FROM bt UNION ALL SELECT 2, day, event_id FROM bt),
+k AS (SELECT batch_id, day, event_id, count(*) AS n, row_number() OVER (PARTITION BY day, event_id ORDER BY batch_id) AS seen FROM b GROUP BY ALL)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(sum(n) AS BIGINT) AS n_input, CAST(sum(CASE WHEN event_id IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_null_keys,
+       CAST(sum(n - 1) AS BIGINT) AS n_copies, count_if(seen > 1) AS n_known, count_if(seen = 1) AS n_rows
+FROM k GROUP BY batch_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_bucketed_index": q_load_bucketed_index,
     "load_two_pass": q_load_two_pass,
@@ -138,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assumption_audit": q_assumption_audit,
     "event_audit": q_event_audit,
     "index_reconcile": q_index_reconcile,
+    "load_accounts": q_load_accounts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +170,5 @@ ORACLE_SQL: dict[str, str] = {
     "assumption_audit": _SQL_ASSUMPTION_AUDIT,
     "event_audit": _SQL_EVENT_AUDIT,
     "index_reconcile": _SQL_INDEX_RECONCILE,
+    "load_accounts": _SQL_LOAD_ACCOUNTS,
 }

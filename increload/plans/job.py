@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from increload.functions.keys import as_list, key_columns
-from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES, profile_batch
+from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES, fits, profile_batch
+from increload.operators.audit import payload_hash
 from increload.operators.layout import require_partitions
-from increload.plans.load import new_rows
+from increload.plans.load import Tally, new_rows
 from increload.session import shared_scratch
 from increload.sources import tables
 
@@ -25,13 +27,24 @@ class LoadReport:
     """What a stored load did: rows appended, whether nothing was loaded
     before, which earlier batches had their keys read from master because
     their index was missing, and whether the batch's rows were committed
-    already, so that nothing was appended now."""
+    already, so that nothing was appended now.
+
+    Where the batch's rows went: ``n_input = n_copies + n_known + n_rows``, of
+    which ``n_null_keys`` have a null among their key columns.  ``n_copies``
+    are rows given up to another one of their key within the batch, and
+    ``n_known`` keys that were loaded before.  (``None`` for a batch that was
+    committed already.)
+    """
 
     batch_id: int
     n_rows: int
     first_load: bool
     rebuilt_batches: tuple[int, ...]
     repeated: bool = False
+    n_input: int | None = None
+    n_null_keys: int | None = None
+    n_copies: int | None = None
+    n_known: int | None = None
 
 
 def run_load_job(
@@ -64,7 +77,7 @@ def run_load_job(
     A commit is final.  When ``data`` is committed for ``batch_id``, its rows
     are never written again: a retry only finishes the index, and a different
     batch under the same id raises ``ValueError`` (told apart by row count and
-    a checksum of the keys).
+    checksums of the keys and of whole rows).
 
     ``estimate`` (one row, from the partition estimators over the batch's
     location): an estimate of 0 raises.  An empty-string partition value
@@ -98,12 +111,18 @@ def load_batch(
         raise ValueError(f"batch columns {reserved} clash with the stored table's own columns; rename them")
     if estimate is not None:
         require_partitions(estimate)
+    cols = key_columns(part, keys, scope)
+    seen = Observation()
+    whole = _content(batch, keys)
     if land:
         path = shared_scratch(spark, "landed")
-        batch.write.parquet(path)
+        batch.observe(seen, *whole).write.parquet(path)
         batch = spark.read.schema(batch.schema).parquet(path)
-    cols = key_columns(part, keys, scope)
+        content = seen.get
+    else:
+        content = batch.agg(*whole).first().asDict()
     profile = profile_batch(batch, part, cols, max_prune_values)
+    tag = f"{profile.tag}-{(content['x'] or 0) & (1 << 64) - 1:016x}{int(content['s'] or 0) & (1 << 64) - 1:016x}"
     if part is not None and isinstance(batch.schema[part].dataType, T.StringType):
         values = batch if profile.values is None else spark.range(1).select(F.explode(F.array(*profile.values, F.lit(None).cast("string"))).alias(part))
         if not values.where(F.col(part) == "").isEmpty():
@@ -113,16 +132,25 @@ def load_batch(
 
     done = state.asked
     if done is not None:
-        if done.tag is not None and done.tag != profile.tag:
-            raise ValueError(f"batch {batch_id} is already committed with other input ({done.tag}, now {profile.tag})")
+        # tags of earlier versions tell the keys only
+        if done.tag is not None and done.tag != tag and not (done.tag.count("-") == 1 and done.tag == profile.tag):
+            raise ValueError(f"batch {batch_id} is already committed with other input ({done.tag}, now {tag})")
         attempt, n = done.data, done.n
+        went: dict = {}
     else:
         known = tables.existing_keys(spark, base, key_schema, state)
-        delta = new_rows(batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget, profile)
+        tally = Tally()
+        large = not (broadcast_budget > 0 and fits(batch.schema, cols, profile, broadcast_budget))
+        delta = new_rows(
+            batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget, profile, two_pass=large, tally=tally
+        )
         attempt = tables.new_attempt()
-        tables.append_delta(delta, base, batch_id, part, attempt)
-        n = tables.read_attempt(spark, base, batch_id, attempt, batch.schema).count()  # from the file footers
-        tables.write_commit(spark, base, "data", batch_id, n, attempt, profile.tag, state.gen)
+        tables.append_delta(delta, base, batch_id, part, attempt, tally.at_write)
+        n = tally.appended.get.get("n")
+        if n is None:  # nothing reached the write
+            n = tables.read_attempt(spark, base, batch_id, attempt, batch.schema).count()
+        tables.write_commit(spark, base, "data", batch_id, n, attempt, tag, state.gen)
+        went = _accounts(int(content["n"]), int(content["nulls"]), n, tally)
     if done is None or not done.has_index:
         if attempt is not None:
             rows = tables.read_attempt(spark, base, batch_id, attempt, batch.schema)
@@ -131,4 +159,22 @@ def load_batch(
         index_attempt = tables.new_attempt()
         tables.write_key_index(rows.select(*key_schema.fieldNames()), base, batch_id, part, index_attempt)
         tables.write_commit(spark, base, "index", batch_id, n, index_attempt, None, state.gen)
-    return LoadReport(int(batch_id), int(n), not state.loaded, state.missing, done is not None)
+    return LoadReport(int(batch_id), int(n), not state.loaded, state.missing, done is not None, **went)
+
+
+def _content(batch: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Rows, rows with a null key column, and a checksum of whole rows."""
+    row = payload_hash(batch.schema, batch.columns)
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(null).alias("nulls"),
+        F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).alias("s"),
+    ]
+
+
+def _accounts(n_input: int, n_nulls: int, n_rows: int, tally: Tally) -> dict:
+    if tally.known is not None:
+        n_known = tally.known
+    else:
+        n_known = tally.distinct.get.get("n", n_rows) - n_rows
+    return {"n_input": n_input, "n_null_keys": n_nulls, "n_copies": n_input - n_known - n_rows, "n_known": n_known}

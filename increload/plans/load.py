@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from increload.functions.keys import KEY_COLS, as_list, key_columns, packed_key, with_packed_key
 from increload.operators.antijoin import (
@@ -35,6 +36,26 @@ class LoadResult:
     index: DataFrame
 
 
+class Tally:
+    """Counts that a load takes while it runs, without a scan of their own:
+    rows that are left after the in-batch dedup, and those that are appended
+    (Spark's observations, filled in by the job that writes the delta), and
+    known keys that the batch delivered again, where they are counted first."""
+
+    def __init__(self) -> None:
+        self.distinct: Observation | None = None
+        self.appended: Observation | None = None
+        self.known: int | None = None
+
+    def after_dedup(self, df: DataFrame) -> DataFrame:
+        self.distinct = Observation()
+        return df.observe(self.distinct, F.count(F.lit(1)).alias("n"))
+
+    def at_write(self, df: DataFrame) -> DataFrame:
+        self.appended = Observation()
+        return df.observe(self.appended, F.count(F.lit(1)).alias("n"))
+
+
 def _is_empty(df: DataFrame | None) -> bool:
     return df is None or df.isEmpty()
 
@@ -51,6 +72,7 @@ def new_rows(
     broadcast_budget: int = DEFAULT_BROADCAST_BUDGET,
     profile: BatchProfile | None = None,
     two_pass: bool = False,
+    tally: Tally | None = None,
 ) -> DataFrame:
     """De-duplicate ``batch`` and drop the keys in ``known_keys`` (``None``: nothing known).
 
@@ -73,15 +95,18 @@ def new_rows(
       time it is read: keys alone are counted and matched first (with Spark's
       Bloom filter on the known side), and whole rows then pass without
       being sorted, but for those of keys met twice.
+
+    ``tally`` gets the counts of the load once its result is written.
     """
     cols = key_columns(part, keys, scope)
+    counted = tally.after_dedup if tally is not None else lambda df: df
     table = known_keys if isinstance(known_keys, KeyTable) else None
     if table is not None and (table.columns != cols or table.part != part):
         raise ValueError(f"the key table is keyed by {table.columns}, not {cols}")
     packed = table.packed(batch) if table is not None else with_packed_key(batch, cols)
     if known_keys is None:
         deduped = dedup_two_pass(packed, cols, order_by) if two_pass else dedup_on(packed, cols, order_by)
-        return deduped.select(*batch.columns)
+        return counted(deduped).select(*batch.columns)
     known = table.rows() if table is not None else known_keys
     pruning = scope == "partition" and part is not None and prune
     broadcasting = broadcast_budget > 0 and key_bytes_bound(batch.schema, cols) is not None
@@ -92,13 +117,15 @@ def new_rows(
     known = known.select(*KEY_COLS) if table is not None else known.select(*packed_key(known.schema, cols))
     batch_keys = packed.select(*KEY_COLS)
     if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):
-        deduped = anti_on_broadcast_keys(dedup_on(packed, cols, order_by), known, batch_keys)
+        deduped = anti_on_broadcast_keys(counted(dedup_on(packed, cols, order_by)), known, batch_keys)
     elif two_pass:
         width = key_bytes_bound(batch.schema, cols, profile.longest) if profile is not None else None
-        new = anti_on_matched(packed, known, batch_keys, width, broadcast_budget or DEFAULT_BROADCAST_BUDGET)
+        new, matched = anti_on_matched(packed, known, batch_keys, width, broadcast_budget or DEFAULT_BROADCAST_BUDGET)
+        if tally is not None:
+            tally.known = matched
         deduped = dedup_two_pass(new, cols, order_by)
     else:
-        deduped = anti_on(dedup_on(packed, cols, order_by), known)
+        deduped = anti_on(counted(dedup_on(packed, cols, order_by)), known)
     return deduped.select(*batch.columns)
 
 

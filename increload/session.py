@@ -5,7 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def one_row(spark: SparkSession, schema: T.StructType, values: tuple) -> DataFrame:
+    """A frame of one row and one partition, made without a Python worker."""
+    return spark.range(0, 1, 1, 1).select(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, values, strict=True)])
+
+
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A frame without rows that the optimizer knows to be empty."""
+    return one_row(spark, schema, (None,) * len(schema.fields)).where(F.lit(False))
 
 
 def shared_scratch(spark: SparkSession, name: str = "scratch") -> str:

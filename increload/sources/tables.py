@@ -26,7 +26,7 @@ per ``base`` at a time (plain Parquet has no cross-job lock).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from increload.functions.keys import as_list
+from increload.session import no_rows, one_row
 
 MASTER = "master"
 INDEX = "index"
@@ -87,7 +88,7 @@ def read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataF
     except AnalysisException as e:
         if not _missing_path(e):
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def generation(spark: SparkSession, base: str) -> int:
@@ -112,9 +113,9 @@ def write_commit(
 ) -> None:
     """Record that ``attempt`` is stage ``stage`` of batch ``batch_id``."""
     gen = generation(spark, base) if gen is None else gen
-    row = spark.createDataFrame([(int(n), attempt, tag, None)], T.StructType(COMMIT_SCHEMA.fields[:4]))
+    row = one_row(spark, T.StructType(COMMIT_SCHEMA.fields[:4]), (int(n), attempt, tag, None))
     path = _join(base, COMMITS, f"gen={gen}", f"stage={stage}", f"{BATCH_COL}={int(batch_id)}")
-    row.coalesce(1).write.mode("overwrite").parquet(path)
+    row.write.mode("overwrite").parquet(path)
 
 
 def coverage_of(commits: DataFrame) -> DataFrame:
@@ -242,21 +243,24 @@ def _sources(spark: SparkSession, base: str, area: str, state: State, schema: T.
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _with_batch(schema))
+    return reduce(DataFrame.unionByName, parts) if parts else no_rows(spark, _with_batch(schema))
 
 
-def _rebalanced_writer(df: DataFrame, part: str | None):
+def _rebalanced_writer(df: DataFrame, part: str | None, last: Callable[[DataFrame], DataFrame] = lambda df: df):
     """Writer partitioned by ``part``; AQE rebalances rows first so that each
     partition value lands in few files (a hot value is split, small ones are
-    merged)."""
+    merged).  ``last`` is applied to the rows as they are written."""
     if part is None:
-        return df.hint("rebalance").write
-    return df.hint("rebalance", part).write.partitionBy(part)
+        return last(df.hint("rebalance")).write
+    return last(df.hint("rebalance", part)).write.partitionBy(part)
 
 
-def append_delta(df: DataFrame, base: str, batch_id: int, part: str | None, attempt: str) -> None:
-    """Write one batch's delta to the attempt's own directory."""
-    _rebalanced_writer(df.drop(BATCH_COL), part).parquet(batch_dir(base, MASTER, batch_id, attempt))
+def append_delta(
+    df: DataFrame, base: str, batch_id: int, part: str | None, attempt: str, last: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> None:
+    """Write one batch's delta to the attempt's own directory.  ``last``, say
+    an observation, is applied to the rows as they are written."""
+    _rebalanced_writer(df.drop(BATCH_COL), part, last).parquet(batch_dir(base, MASTER, batch_id, attempt))
 
 
 def write_key_index(keys: DataFrame, base: str, batch_id: int, part: str | None, attempt: str) -> None:
@@ -321,8 +325,8 @@ def _roll(spark: SparkSession, base: str, gen: int, stage: str, moved: DataFrame
     there = data.withColumn("stage", F.lit(stage)).withColumn("segment", F.lit(new).cast("long"))
     out = rest.unionByName(there).select(*COMMIT_SCHEMA.fieldNames())
     out.write.mode("overwrite").parquet(_join(base, COMMITS_COMPACT, f"gen={new}"))
-    marker = spark.createDataFrame([(1,)], "n long")
-    marker.coalesce(1).write.mode("overwrite").parquet(_join(base, GENERATIONS, f"gen={new}"))
+    marker = one_row(spark, T.StructType(MARKER_SCHEMA.fields[:1]), (1,))
+    marker.write.mode("overwrite").parquet(_join(base, GENERATIONS, f"gen={new}"))
     return new
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from increload.plans.job import STREAM_IDS, load_batch
+from increload.session import one_row
 from increload.sources import tables
 
 STREAMS = "streams"
@@ -33,7 +34,8 @@ def stream_number(spark: SparkSession, base: str, checkpoint_location: str) -> i
     known = {r["checkpoint"]: int(r["number"]) for r in tables.read_or_empty(spark, STREAM_SCHEMA, root).collect()}  # one row per stream
     if tag not in known:
         known[tag] = max(known.values(), default=0) + 1
-        spark.createDataFrame([(known[tag],)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{root}/checkpoint={tag}")
+        row = one_row(spark, T.StructType(STREAM_SCHEMA.fields[:1]), (known[tag],))
+        row.write.mode("overwrite").parquet(f"{root}/checkpoint={tag}")
     return known[tag]
 
 
