@@ -58,7 +58,8 @@ class BatchProfile:
 
     ``values``: its partition values as literal columns, nulls left out
     (``None``: too many, or not comparable as literals; then ``table`` holds
-    them).  ``has_null``: is a partition value null?  ``longest``: most bytes
+    them), ``counts``: rows of each, and of null, in the same form.
+    ``has_null``: is a partition value null?  ``longest``: most bytes
     that the string and binary key columns of one row take.  ``tag``: a
     checksum of the keys, the same however the batch is partitioned.
     """
@@ -69,6 +70,7 @@ class BatchProfile:
     values: list[Column] | None = None
     has_null: bool = False
     table: DataFrame | None = None
+    counts: list[tuple[Column | None, int]] | None = None
 
 
 def _collected(value: Column, dtype: T.DataType) -> Column:
@@ -123,10 +125,11 @@ def profile_batch(
             x = 0
             for r in rows:
                 x ^= r["x"]
-            values = [_literal(r["value"], dtype) for r in rows if r["value"] is not None]
+            counts = [(None if r["value"] is None else _literal(r["value"], dtype), int(r["n"])) for r in rows]
+            values = [v for v, _ in counts if v is not None]
             return made(
                 sum(r["n"] for r in rows), max([r["w"] for r in rows], default=0), x,
-                values=values, has_null=len(values) < len(rows),
+                values=values, has_null=len(values) < len(rows), counts=counts,
             )
     spark = batch.sparkSession
     path = shared_scratch(spark, "batch-values")

@@ -146,7 +146,8 @@ def q_load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_LOAD_ACCOUNTS = f"""
 WITH {_EV},
 b AS (SELECT 0 AS batch_id, day, event_id FROM ex UNION ALL SELECT 1, day, event_id FROM bt UNION ALL SELECT 2, day, event_id FROM bt),
-k AS (SELECT batch_id, day, event_id, count(*) AS n, row_number() OVER (PARTITION BY day, event_id ORDER BY batch_id) AS seen FROM b GROUP BY ALL)
+g AS (SELECT batch_id, day, event_id, count(*) AS n FROM b GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY day, event_id ORDER BY batch_id) AS seen FROM g)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(sum(n) AS BIGINT) AS n_input, CAST(sum(CASE WHEN event_id IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_null_keys,
        CAST(sum(n - 1) AS BIGINT) AS n_copies, count_if(seen > 1) AS n_known, count_if(seen = 1) AS n_rows
 FROM k GROUP BY batch_id

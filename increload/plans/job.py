@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from increload.functions.keys import as_list, key_columns
 from increload.operators.antijoin import DEFAULT_BROADCAST_BUDGET, DEFAULT_MAX_PRUNE_VALUES, fits, profile_batch
 from increload.operators.audit import payload_hash
-from increload.operators.layout import require_partitions
+from increload.operators.layout import require_partitions, spread_for_write
 from increload.plans.load import Tally, new_rows
 from increload.session import shared_scratch
 from increload.sources import tables
@@ -80,7 +80,9 @@ def run_load_job(
     checksums of the keys and of whole rows).
 
     ``estimate`` (one row, from the partition estimators over the batch's
-    location): an estimate of 0 raises.  An empty-string partition value
+    location) is the number of partitions in which the delta is written, each
+    partition value taking its share of them; an estimate of 0 raises.  Without
+    one, Spark sizes the write at run time.  An empty-string partition value
     raises: partition directories cannot tell it from null.
     """
     if not 0 <= batch_id < STREAM_IDS:
@@ -109,8 +111,7 @@ def load_batch(
     reserved = [c for c in batch.columns if c in (tables.BATCH_COL, tables.ATTEMPT_COL) or c.startswith("__increload")]
     if reserved:
         raise ValueError(f"batch columns {reserved} clash with the stored table's own columns; rename them")
-    if estimate is not None:
-        require_partitions(estimate)
+    partitions = require_partitions(estimate) if estimate is not None else None
     cols = key_columns(part, keys, scope)
     seen = Observation()
     whole = _content(batch, keys)
@@ -144,8 +145,11 @@ def load_batch(
         delta = new_rows(
             batch, known, part, keys, order_by, scope, True, max_prune_values, broadcast_budget, profile, two_pass=large, tally=tally
         )
+        placed = partitions is not None and (part is None or profile.counts is not None)
+        if placed:
+            delta = spread_for_write(delta, part, cols, partitions, profile.counts) if part is not None else delta.repartition(partitions, *cols)
         attempt = tables.new_attempt()
-        tables.append_delta(delta, base, batch_id, part, attempt, tally.at_write)
+        tables.append_delta(delta, base, batch_id, part, attempt, tally.at_write, placed)
         n = tally.appended.get.get("n")
         if n is None:  # nothing reached the write
             n = tables.read_attempt(spark, base, batch_id, attempt, batch.schema).count()

@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from increload.plans.catalog import _EV, events
+from increload.functions.keys import date_token
+from increload.operators.layout import estimate_partitions
+from increload.plans.catalog import _EV, _SQL_STREAM_LOAD, events
+from increload.plans.job import run_load_job
 from increload.session import shared_scratch
-from increload.sources.files import read_csv_files
+from increload.sources.files import list_input_files, read_csv_files
+from increload.sources.tables import read_master
 
 def _text_columns(df: DataFrame) -> DataFrame:
     """Every column as text that reads the same everywhere."""
@@ -96,12 +100,28 @@ FROM l
 """
 
 
+def q_load_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events landed as one folder per day, listed, and loaded in as many
+    write partitions as a rule over the listing says (two per dated folder)."""
+    root = shared_scratch(spark, "load-sized")
+    ev = events(spark, sf_dir)
+    folder = F.concat(F.coalesce(F.col("day").cast("string"), F.lit("undated")), F.lit("-export"))
+    ev.withColumn("folder", folder).write.partitionBy("folder").parquet(f"{root}/landing")
+    listed = list_input_files(spark, f"{root}/landing")
+    rule = 2 * F.count_distinct(F.nullif(date_token(F.col("segment")), F.lit("")))
+    batch = spark.read.schema(ev.schema).option("recursiveFileLookup", True).parquet(f"{root}/landing")
+    run_load_job(spark, batch, f"{root}/tables", 1, "day", ["event_id"], estimate=estimate_partitions(listed, rule))
+    return read_master(spark, f"{root}/tables", ev.schema).drop("batch_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_headers": q_csv_headers,
     "csv_rejects": q_csv_rejects,
+    "load_sized": q_load_sized,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "csv_headers": _SQL_CSV_HEADERS,
     "csv_rejects": _SQL_CSV_REJECTS,
+    "load_sized": _SQL_STREAM_LOAD,
 }

@@ -205,14 +205,14 @@ def below(path: Column, pattern: str) -> Column:
 
 
 def list_input_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path`` as rows ``(path, segment)``, contents not read.
+    """Files under ``path`` as rows ``(path, segment, length)``, contents not read.
 
     ``segment`` is the name directly below ``path``: the file name, or the
     directory it sits in (e.g. ``date=20170101``).  ``path`` may be relative
     (to the default file system's working directory) and may hold a pattern;
     the segment is then the name below the directories it matches.  Spark's
-    listing skips names starting with ``_`` or ``.`` (``_SUCCESS``, ``.crc``)
+    listing skips empty files and names starting with ``_`` or ``.``
     and is distributed on large trees.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return files.select("path", below(F.col("path"), _pattern(_qualified(spark, path))).alias("segment"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.select("path", below(F.col("path"), _pattern(_qualified(spark, path))).alias("segment"), "length")

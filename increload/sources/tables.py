@@ -256,11 +256,19 @@ def _rebalanced_writer(df: DataFrame, part: str | None, last: Callable[[DataFram
 
 
 def append_delta(
-    df: DataFrame, base: str, batch_id: int, part: str | None, attempt: str, last: Callable[[DataFrame], DataFrame] = lambda df: df
-) -> None:
+    df: DataFrame, base: str, batch_id: int, part: str | None, attempt: str,
+    last: Callable[[DataFrame], DataFrame] = lambda df: df, placed: bool = False,
+) -> None:
     """Write one batch's delta to the attempt's own directory.  ``last``, say
-    an observation, is applied to the rows as they are written."""
-    _rebalanced_writer(df.drop(BATCH_COL), part, last).parquet(batch_dir(base, MASTER, batch_id, attempt))
+    an observation, is applied to the rows as they are written; ``placed``
+    rows are written in the partitions they come in."""
+    df, path = df.drop(BATCH_COL), batch_dir(base, MASTER, batch_id, attempt)
+    if not placed:
+        _rebalanced_writer(df, part, last).parquet(path)
+    elif part is None:
+        last(df).write.parquet(path)
+    else:
+        last(df).write.partitionBy(part).parquet(path)
 
 
 def write_key_index(keys: DataFrame, base: str, batch_id: int, part: str | None, attempt: str) -> None:

@@ -149,3 +149,49 @@ def test_spread_follows_the_largest_bucket(spark):
 def test_values_that_no_long_holds_go_to_bucket_zero(spark):
     d = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (4.5,)], "x double")
     assert [r["bucket"] for r in with_bucket(d, "x", 3).collect()] == [0, 0, 0, 1]
+
+
+def test_estimates_from_bytes_and_by_a_rule_of_ones_own(spark, tmp_path):
+    from increload.functions.keys import date_token
+    from increload.operators.layout import estimate_partitions, estimate_partitions_by_bytes
+    from increload.sources.files import list_input_files
+
+    for name, size in (("20170101-a.csv", 900), ("20170101-b.csv", 200), ("20170102.csv", 50), ("other.csv", 1)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    listed = list_input_files(spark, str(tmp_path))
+    assert {r["segment"]: r["length"] for r in listed.collect()} == {"20170101-a.csv": 900, "20170101-b.csv": 200, "20170102.csv": 50, "other.csv": 1}
+    of = lambda df: df.first()["estimate"]
+    assert of(estimate_partitions_by_bytes(listed, 400)) == 3 and of(estimate_partitions_by_bytes(listed, 400, growth=2)) == 6
+    assert of(estimate_partitions_by_bytes(listed, 1 << 30)) == 1 and of(estimate_partitions_by_bytes(listed.limit(0))) == 0
+    assert of(estimate_partitions(listed, F.count_distinct(date_token(F.col("segment"))))) == 3
+    assert of(estimate_partitions(listed, F.max("length") / 300)) == 3
+    assert of(estimate_partitions(listed.limit(0), F.max("length"))) == 0
+
+
+def test_write_takes_the_estimated_partitions_by_shares(spark, tmp_path):
+    import glob
+
+    from increload import run_load_job
+    from increload.operators.antijoin import profile_batch
+    from increload.operators.layout import spread_for_write
+    from increload.sources import tables
+
+    # a hot value with 80 % of the rows, eight small ones, and null
+    part = F.when(F.col("id") % 10 < 8, F.lit(0)).when(F.col("id") % 10 == 9, F.lit(None)).otherwise((F.col("id") / 10 % 8).cast("int") + 1)
+    batch = spark.range(20_000).select(part.cast("int").alias("part"), F.col("id").alias("k"))
+    counts = profile_batch(batch, "part", ["part", "k"]).counts
+    assert sorted(c for _, c in counts)[-1] == 16_000 and sum(c for _, c in counts) == 20_000
+    laid = spread_for_write(batch, "part", ["part", "k"], 20, counts)
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert ", 20), REPARTITION_BY_NUM" in plan and laid.schema == batch.schema
+    per = {r["p"]: r["n"] for r in laid.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(per.values()) == 20_000 and max(per.values()) <= 2_200 and len(per) >= 18
+    estimate = spark.range(1).select(F.lit(20).alias("estimate"))
+    report = run_load_job(spark, batch, str(tmp_path), 1, "part", ["k"], estimate=estimate)
+    assert report.n_rows == 20_000
+    files = glob.glob(f"{tmp_path}/master/*/*/part=0/*.parquet")
+    assert 15 <= len(files) <= 17
+    assert len(glob.glob(f"{tmp_path}/master/*/*/*/*.parquet")) <= 20 + 10
+    assert tables.read_master(spark, str(tmp_path), batch.schema).exceptAll(batch.withColumn("batch_id", F.lit(1).cast("long"))).isEmpty()
+    flat = run_load_job(spark, batch, f"{tmp_path}/flat", 1, None, ["k"], estimate=estimate)
+    assert flat.n_rows == 20_000 and len(glob.glob(f"{tmp_path}/flat/master/*/*/*.parquet")) == 20
