@@ -3,43 +3,50 @@
 Two logistic classifiers see different sides of a document: its text content
 (shares of character classes, repetition, word shapes) and its page metadata
 (language, source, length, line layout).  Both start from the labelled
-documents.  In each round each view scores a pool of unlabelled documents and
-hands the ones it is most sure of, with their pseudo-labels, to the other
-view.  Scores are calibrated on labelled documents that neither view was
-trained on (Platt scaling); a round that worsens a view's calibrated loss is
-undone.  The calibrated views are combined by a logistic regression on the
-same held-out documents and score every document whole.
-
-Fitted on bounded samples, chosen by a hash of ``doc_id``: at most
-``max_labelled`` labelled documents and ``max_pool`` unlabelled ones, which
-the driver holds as ``N_FEATURES`` numbers each.  Scoring reads every
-document once and shuffles nothing.
+documents.  In each round each view scores every unlabelled document and hands
+the ones it is sure of, with their pseudo-labels, to the other view.  The
+pseudo-labels of a class weigh together no more than its labelled documents, so
+a round means the same for ten thousand documents and for ten billion.  Scores
+are calibrated on labelled documents that neither view was trained on (Platt
+scaling); a round that worsens a view's calibrated loss is undone.  The
+calibrated views are combined by a logistic regression on the same held-out
+documents and score every document whole.
+
+Labelled documents are a bounded sample, chosen by a hash of ``doc_id``: at most
+``max_labelled``, held by the driver as ``N_FEATURES`` numbers each.  Unlabelled
+ones are not bounded: their features are written once to the session's shared
+folder, and each Newton step of a round is one pass over them, in which every
+task sums its gradients and Hessians.  What reaches the driver is a fixed number
+of such sums.  Scoring reads every document once and shuffles nothing.
 
 Defined results: a null text counts as empty; null metadata is a value of its
 own.  Labels that are null or neither 0 nor 1 are ignored, several labels of
-one document are averaged and rounded.  Without labels of both classes every
-document gets probability 1 and is kept.  Each input row gives one row.
+one document are averaged and rounded; of rows with one labelled id the
+smallest features count.  Every other row takes part as an unlabelled document,
+repeated ones repeatedly.  Without labels of both classes every document gets
+probability 1 and is kept.  Each input row gives one row.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from increload.llm.common import matrix
+from increload.llm.common import matrix, stage
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
 ROUNDS = 4
-PER_ROUND = 500  # pseudo-labels a view hands over per round and class
+STEPS = 6  # Newton steps of a round, from where the last one ended
 SURE = 0.95
+SLOTS = 32  # rows in which the sums of all tasks reach the driver
 HASHED = 16
 
 # Byte classes whose shares describe a text.
@@ -158,64 +165,170 @@ class CoTrained:
         return sigmoid(logits[:, 0]), sigmoid(logits[:, 1]), sigmoid(self.combine.logit(logits))
 
 
-def co_train(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
+OTHER = {"content": "meta", "meta": "content"}
+
+
+def pool_sums(x: np.ndarray, teachers: dict[str, View], students: dict[str, Logistic]) -> np.ndarray:
+    """What the unlabelled rows ``x`` add to a Newton step of each student: for
+    each view and pseudo-class the number of rows, the gradient and the Hessian
+    of the log-likelihood, in one vector."""
+    out = []
+    for name, student in students.items():
+        p = sigmoid(teachers[OTHER[name]].logit(x[:, VIEWS[OTHER[name]]]))
+        z = np.hstack([np.ones((len(x), 1)), (x[:, VIEWS[name]] - student.mean) / student.scale])
+        for y, sure in ((0, p <= 1 - SURE), (1, p >= SURE)):
+            rows = z[sure]
+            q = sigmoid(rows @ student.weights)
+            hessian = (rows * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ rows
+            out += [np.array([float(len(rows))]), rows.T @ (y - q), hessian.ravel()]
+    return np.concatenate(out)
+
+
+def _split_sums(sums: np.ndarray, students: dict[str, Logistic]) -> dict[str, list[tuple[float, np.ndarray, np.ndarray]]]:
+    """:func:`pool_sums` taken apart: per view, for classes 0 and 1."""
+    out, at = {}, 0
+    for name, student in students.items():
+        d = len(student.weights)
+        out[name] = []
+        for _ in range(2):
+            out[name].append((sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+            at += 1 + d + d * d
+    return out
+
+
+class ArrayPool:
+    """Unlabelled documents as a matrix."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        return len(self.x), self.x.sum(axis=0), (self.x**2).sum(axis=0)
+
+    def sums(self, teachers: dict, students: dict) -> np.ndarray:
+        return pool_sums(self.x, teachers, students)
+
+
+class TablePool:
+    """Unlabelled documents as a written table with their features ``x``."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _summed(self, of, width: int) -> np.ndarray:
+        """The sum over all rows of ``of(matrix) -> vector``: each task adds up
+        its batches, and the tasks' sums are added up in ``SLOTS`` groups."""
+
+        def run(batches):
+            total = np.zeros(width)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096).column("x")
+                    total += of(part.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64))
+            slot = TaskContext.get().partitionId() % SLOTS
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["slot", "v"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
+
+        parts = self.table.select("x").mapInArrow(run, "slot int, v array<double>")
+        rows = parts.groupBy("slot").applyInPandas(add, "v array<double>").toArrow()
+        return matrix(rows, "v").reshape(-1, width).sum(axis=0)
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        def of(x: np.ndarray) -> np.ndarray:
+            return np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
+
+        total = self._summed(of, 1 + 2 * N_FEATURES)
+        return int(total[0]), total[1 : 1 + N_FEATURES], total[1 + N_FEATURES :]
+
+    def sums(self, teachers: dict, students: dict) -> np.ndarray:
+        width = sum(2 * (1 + len(s.weights) + len(s.weights) ** 2) for s in students.values())
+        return self._summed(lambda x: pool_sums(x, teachers, students), width)
+
+
+def co_train(x: np.ndarray, y: np.ndarray, held: np.ndarray, pool: np.ndarray | ArrayPool | TablePool, rounds: int = ROUNDS) -> CoTrained | None:
     """``held`` marks the labelled rows kept for calibration."""
     if any(len(set(part)) < 2 for part in (y[held], y[~held])):
         return None
+    pool = ArrayPool(pool) if isinstance(pool, np.ndarray) else pool
     base_x, base_y, cal_x, cal_y = x[~held], y[~held], x[held], y[held]
+    n_pool, total, squares = pool.moments()
+    n = n_pool + len(base_x)
+    mean = (total + base_x.sum(axis=0)) / n
+    scale = np.sqrt(np.maximum((squares + (base_x**2).sum(axis=0)) / n - mean**2, 0.0))
+    scale = np.where(scale > 1e-6, scale, 1.0)
 
-    def view(name: str, own: Sequence[int], labels: Sequence[int]) -> View:
+    def start(name: str) -> Logistic:
         cols = VIEWS[name]
-        model = fit_logistic(np.vstack([base_x[:, cols], pool[list(own)][:, cols]]), np.concatenate([base_y, labels]))
-        return View(model, fit_logistic(model.logit(cal_x[:, cols])[:, None], cal_y, ridge=0.01))
+        return Logistic(mean[cols], scale[cols], np.zeros(cols.stop - cols.start + 1))
+
+    def step(name: str, student: Logistic, given: list) -> tuple[Logistic, float]:
+        """One Newton step on the labelled rows and the pseudo-labels' sums."""
+        z = np.hstack([np.ones((len(base_x), 1)), (base_x[:, VIEWS[name]] - student.mean) / student.scale])
+        p, w = sigmoid(z @ student.weights), student.weights
+        penalty = np.ones(len(w))
+        penalty[0] = 1e-6
+        gradient = z.T @ (base_y - p) - penalty * w
+        hessian = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty)
+        for label, (count, g, h) in enumerate(given):
+            if count:
+                share = min(1.0, float((base_y == label).sum()) / count)
+                gradient, hessian = gradient + share * g, hessian + share * h
+        change = np.clip(np.linalg.solve(hessian, gradient), -5, 5)
+        return Logistic(student.mean, student.scale, w + change), float(np.abs(change).max())
+
+    def calibrated(name: str, model: Logistic) -> View:
+        return View(model, fit_logistic(model.logit(cal_x[:, VIEWS[name]])[:, None], cal_y, ridge=0.01))
 
     def loss(name: str, v: View) -> float:
         return log_loss(cal_y, sigmoid(v.logit(cal_x[:, VIEWS[name]])))
 
-    given: dict[str, dict[int, int]] = {"content": {}, "meta": {}}  # view -> pool row -> pseudo-label
-    views = {name: view(name, [], []) for name in VIEWS}
-    for _ in range(rounds if len(pool) else 0):
-        offers = {}
-        for name, other in (("content", "meta"), ("meta", "content")):
-            p = sigmoid(views[name].logit(pool[:, VIEWS[name]]))
-            order = np.argsort(p, kind="stable")
-            bad = [int(i) for i in order if p[i] <= 1 - SURE and i not in given[other]][:PER_ROUND]
-            good = [int(i) for i in order[::-1] if p[i] >= SURE and i not in given[other]][:PER_ROUND]
-            offers[other] = given[other] | {i: 0 for i in bad} | {i: 1 for i in good}
+    views = {}
+    for name in VIEWS:
+        model, change = start(name), 1.0
+        for _ in range(25):
+            model, change = step(name, model, [])
+            if change < 1e-6:
+                break
+        views[name] = calibrated(name, model)
+    for _ in range(rounds if n_pool else 0):
+        students = {name: v.model for name, v in views.items()}
+        for _ in range(STEPS):
+            given = _split_sums(pool.sums(views, students), students)
+            moved = {name: step(name, s, given[name]) for name, s in students.items()}
+            students = {name: m for name, (m, _) in moved.items()}
+            if max(change for _, change in moved.values()) < 1e-4:
+                break
         changed = False
-        for name, labels in offers.items():
-            if len(labels) > len(given[name]):
-                new = view(name, list(labels), list(labels.values()))
-                if loss(name, new) <= loss(name, views[name]):
-                    views[name], given[name], changed = new, labels, True
+        for name, model in students.items():
+            new = calibrated(name, model)
+            if loss(name, new) < loss(name, views[name]) - 1e-6:
+                views[name], changed = new, True
         if not changed:
             break
     logits = np.stack([views[k].logit(cal_x[:, VIEWS[k]]) for k in VIEWS], axis=1)
     return CoTrained(views, fit_logistic(logits, cal_y, ridge=0.1))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounded labelled and unlabelled documents: ids in order, labels (-1:
-    none), features."""
+def _with_features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """``(doc_id, y, x)`` of every row of ``docs``, written; ``y`` is the label
+    of the documents in the bounded labelled sample and null for all others."""
     order = F.xxhash64("doc_id", F.lit("sample"))
     rated = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     rated = rated.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    with_label = ids.join(rated, "doc_id").orderBy(order, "doc_id").limit(max_labelled)
-    without = ids.join(rated, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool)
-    chosen = with_label.unionByName(without.withColumn("y", F.lit(-1)))
-    # At most max_labelled + max_pool ids.
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id")
+    chosen = ids.join(rated, "doc_id").orderBy(order, "doc_id").limit(max_labelled)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    rows = rows.join(F.broadcast(chosen), "doc_id", "left")
 
     def run(batches):
         for pdf in batches:
             x = [features(*r) for r in pdf[["text", "lang", "source", "n_chars"]].itertuples(index=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": x})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "y": pdf["y"].astype("Int32"), "x": x})
 
     rows = rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
-    out = _plain(rows).mapInPandas(run, "doc_id long, y int, x array<float>").toArrow()
-    ids, first = np.unique(out.column("doc_id").to_numpy(), return_index=True)  # repeated rows count once
-    return ids, out.column("y").to_numpy()[first], matrix(out, "x").reshape(-1, N_FEATURES)[first]
+    return stage(_plain(rows).mapInPandas(run, "doc_id long, y int, x array<float>"), "features")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -224,11 +337,13 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "n_chars": F.col("n_chars").cast("string")})
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    ids, y, x = _sample(docs, labels, max_labelled, max_pool)
-    known = y >= 0
-    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], dtype=bool)
-    return co_train(x[known], y[known].astype(float), held[known], x[~known])
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained | None:
+    table = _with_features(docs, labels, max_labelled)
+    # At most max_labelled rows: repeated rows of an id count once.
+    known = table.where("y is not null").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
+    y, x = known.column("y").to_numpy().astype(float), matrix(known, "x").reshape(-1, N_FEATURES)
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in known.column("doc_id").to_pylist()], dtype=bool)
+    return co_train(x, y, held, TablePool(table.where("y is null")))
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None) -> DataFrame:
