@@ -1,6 +1,6 @@
 """Queries over large loads and the key index: bucketed index, two passes,
 audit of the data's assumptions, reconciliation of an index with its master,
-accounts of a load."""
+accounts and forecast of a load."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from increload.operators.audit import audit_assumptions
 from increload.operators.dedup import dedup_batch
 from increload.operators.keyindex import build_key_index
 from increload.operators.reconcile import reconcile_index
+from increload.operators.sketches import forecast_load, merge_sketches, relative_error, sketch_keys
 from increload.plans.catalog import (
     _EV,
     _LI,
@@ -154,6 +155,33 @@ FROM k GROUP BY batch_id
 """
 
 
+def q_load_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the events' batch will do to each day, from key sketches kept per
+    half of the loaded days, next to the counts of the load itself."""
+    existing, batch = events_increment(spark, sf_dir)
+    halves = [sketch_keys(existing.where(F.pmod("user_id", F.lit(2)) == i), "day", ["event_id"]) for i in (0, 1)]
+    loaded = merge_sketches(halves[0].unionByName(halves[1]), "day")
+    told = forecast_load(sketch_keys(batch, "day", ["event_id"]), loaded, "day")
+    keys = build_key_index(batch, "day", ["event_id"])
+    delta = incremental_load(batch, existing, None, "day", ["event_id"]).delta.groupBy(F.col("day").alias("d")).agg(F.count(F.lit(1)).alias("appended"))
+    counted = keys.groupBy("day").agg(F.count(F.lit(1)).alias("keys"))
+    both = told.join(counted.withColumnRenamed("day", "c"), F.col("day").eqNullSafe(F.col("c"))).join(delta, F.col("day").eqNullSafe(F.col("d")), "left")
+    appended = F.coalesce("appended", F.lit(0).cast("long"))
+    room = 4 * relative_error() * F.col("keys") + 0.5
+    near = (F.abs(F.col("n_keys") - F.col("keys")) <= room) & (F.abs(F.col("n_new") - appended) <= room)
+    near = near & (F.abs(F.col("n_known") - (F.col("keys") - appended)) <= room)
+    return both.select("day", "n_rows", F.col("keys").alias("n_keys"), appended.alias("n_new"), near.alias("near"))
+
+
+_SQL_LOAD_FORECAST = f"""
+WITH {_EV},
+k AS (SELECT day, event_id, count(*) AS n,
+             EXISTS (SELECT 1 FROM ex WHERE ex.day IS NOT DISTINCT FROM bt.day AND ex.event_id IS NOT DISTINCT FROM bt.event_id) AS known
+      FROM bt GROUP BY ALL)
+SELECT day, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, count_if(NOT known) AS n_new, true AS near FROM k GROUP BY day
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_bucketed_index": q_load_bucketed_index,
     "load_two_pass": q_load_two_pass,
@@ -162,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_audit": q_event_audit,
     "index_reconcile": q_index_reconcile,
     "load_accounts": q_load_accounts,
+    "load_forecast": q_load_forecast,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "event_audit": _SQL_EVENT_AUDIT,
     "index_reconcile": _SQL_INDEX_RECONCILE,
     "load_accounts": _SQL_LOAD_ACCOUNTS,
+    "load_forecast": _SQL_LOAD_FORECAST,
 }

@@ -24,7 +24,7 @@ from increload.operators.antijoin import (
 from increload.operators.dedup import dedup_on, dedup_two_pass
 from increload.operators.keyindex import select_keys
 from increload.operators.layout import require_partitions
-from increload.sources.key_table import KeyTable
+from increload.sources.key_table import ZONE_KEYS, KeyTable
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,8 @@ def new_rows(
         profile = profile_batch(batch, part if pruning else None, cols, max_prune_values)
     if pruning:
         known = prune_to_profile(known, part, profile, broadcast_budget)
+    if table is not None and profile is not None and profile.n_rows <= ZONE_KEYS:
+        known = table.near(known, packed)
     known = known.select(*KEY_COLS) if table is not None else known.select(*packed_key(known.schema, cols))
     batch_keys = packed.select(*KEY_COLS)
     if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):

@@ -4,7 +4,8 @@ A key tuple is stored with its packed form ``(hash, struct)`` in Parquet files
 bucketed by that pair, below a directory for its partition value.  Spark then
 knows how the table is distributed: joining a batch on the same pair shuffles
 the batch alone, to the bucket count, and each task reads one bucket of the
-partitions that the batch touches.
+partitions that the batch touches.  Files are sorted by the hash, so a batch of
+few keys reads only the pages that may hold them.
 
 It is an ordinary external table of the session's catalog.  A catalog that
 forgets tables between sessions gets it back from ``open``, which declares the
@@ -29,6 +30,10 @@ from pyspark.sql import types as T
 from increload.functions.keys import HASH_COL, KEY_COL, KEY_COLS, as_list, key_columns, with_packed_key
 from increload.sources.tables import read_or_empty
 
+# A batch of up to so many keys is looked up in so many ranges of the hash.
+ZONE_KEYS = 1000
+ZONES = 64
+
 
 def _nullable(dtype: T.DataType) -> T.DataType:
     """The type as Parquet gives it back: everything may be null."""
@@ -89,7 +94,7 @@ class KeyTable:
         location = self.path.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE {self.name} ({columns}) USING parquet {part} "
-            f"CLUSTERED BY ({HASH_COL}, {KEY_COL}) INTO {self.buckets} BUCKETS LOCATION '{location}'"
+            f"CLUSTERED BY ({HASH_COL}, {KEY_COL}) SORTED BY ({HASH_COL}) INTO {self.buckets} BUCKETS LOCATION '{location}'"
         )
         if self.part is not None and self._stored():
             self.spark.catalog.recoverPartitions(self.name)
@@ -106,6 +111,21 @@ class KeyTable:
         """``(hash, struct, part, *keys)`` of every key in the table."""
         return self.spark.table(self.name)
 
+    def near(self, known: DataFrame, batch: DataFrame) -> DataFrame:
+        """``known`` (rows of this table) without most of those that ``batch``
+        cannot match, for a batch of few keys: its hashes, in at most
+        ``ZONES`` ranges, become a filter on the scan.  Files are sorted by the
+        hash, so Parquet skips row groups and pages outside all ranges."""
+        hashes = sorted(r[0] for r in batch.select(HASH_COL).distinct().limit(ZONE_KEYS + 1).collect())
+        if not hashes or len(hashes) > ZONE_KEYS:
+            return known
+        gaps = sorted(range(1, len(hashes)), key=lambda i: hashes[i - 1] - hashes[i])[: ZONES - 1]  # the widest
+        edges = [0, *sorted(gaps), len(hashes)]
+        tests = [F.col(HASH_COL).between(hashes[a], hashes[b - 1]) for a, b in zip(edges, edges[1:])]
+        while len(tests) > 1:  # a shallow tree
+            tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2 :]
+        return known.where(tests[0])
+
     def index(self) -> DataFrame:
         """The keys as a flat index ``(part, *keys)``."""
         return self.rows().select(*self.schema.fieldNames())
@@ -118,7 +138,7 @@ class KeyTable:
         keys = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).distinct()
         dealt = self.packed(keys).repartition(self.buckets, *KEY_COLS)
         columns = [HASH_COL, KEY_COL, *[c for c in self.schema.fieldNames() if c != self.part], *([self.part] if self.part is not None else [])]
-        writer = dealt.select(*columns).write.mode("append").format("parquet").bucketBy(self.buckets, *KEY_COLS)
+        writer = dealt.select(*columns).write.mode("append").format("parquet").bucketBy(self.buckets, *KEY_COLS).sortBy(HASH_COL)
         if self.part is not None:
             writer = writer.partitionBy(self.part)
         writer.saveAsTable(self.name)

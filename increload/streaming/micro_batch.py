@@ -16,9 +16,11 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from increload.functions.keys import key_columns
 from increload.plans.job import STREAM_IDS, load_batch
 from increload.session import one_row
 from increload.sources import tables
@@ -39,6 +41,21 @@ def stream_number(spark: SparkSession, base: str, checkpoint_location: str) -> i
     return known[tag]
 
 
+def drop_recent_copies(stream: DataFrame, part: str | None, keys: str | Sequence[str], recent: str, scope: str = "partition") -> DataFrame:
+    """``stream`` without rows whose key came within ``recent`` before.
+
+    Spark's state store remembers each key for that long, spread over the
+    shuffle partitions; what it holds is bounded by the keys that arrive in the
+    time, not by all loaded ones.  The time is that of arrival (of the
+    micro-batch, as recorded for its replay), not one of the rows' own columns:
+    by event time Spark would drop rows that come late, whether copies or not.
+    Of copies that arrive together any one may stay.  Null keys are a value.
+    """
+    named = {f"__key{i}": F.col(c) for i, c in enumerate(key_columns(part, keys, scope))}
+    arriving = stream.withColumns(named | {"__arrival": F.current_timestamp()}).withWatermark("__arrival", recent)
+    return arriving.dropDuplicatesWithinWatermark(list(named)).select(*stream.columns)
+
+
 def load_stream(
     stream: DataFrame,
     base: str,
@@ -49,9 +66,14 @@ def load_stream(
     scope: str = "partition",
     trigger: dict | None = None,
     compact_every: int = 50,
+    recent: str | None = None,
 ) -> StreamingQuery:
     """Start a streaming query that loads every micro-batch into ``base``.
 
+    ``recent`` (``"2 hours"``) puts :func:`drop_recent_copies` in front: copies
+    that arrive within that time of the first never reach a load.  Later ones
+    do, and are dropped there, so the master has the same keys either way.
+
     Every ``compact_every`` epochs the batches since the last time are merged
     into a segment (index and master), and every ``compact_every`` segments
     into one, so the directories that a load opens stay bounded however long
@@ -70,6 +92,8 @@ def load_stream(
             tables.compact_key_index(session, base, key_schema, part, full=len(state.index_segments) >= compact_every)
             tables.compact_master(session, base, schema, part, full=len(state.data_segments) >= compact_every)
 
+    if recent is not None:
+        stream = drop_recent_copies(stream, part, keys, recent, scope)
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
     if trigger:
         writer = writer.trigger(**trigger)
