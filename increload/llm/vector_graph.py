@@ -14,7 +14,14 @@ asked for too.  It is the least of the recall per link, per neighbour without
 its copies, per query, and per query within each stratum of true neighbours.
 While it misses the target, overlap, beam and degree are doubled and the graph
 built again; after ``RAISES`` times all vectors are compared block by block,
-exactly.  While no asked vector has a link at all, more are asked.
+exactly.  While no asked vector has a link at all, more are asked, up to
+``MOST_ASKED``; if none of so many has one, the table counts as free of links
+but for those found (a share of linked vectors above 3 / ``MOST_ASKED`` would
+have shown with 95 % certainty).
+
+A link may be found from one end only.  It counts at both: a vector's links
+are the more of those it finds and of those that find it, so links and
+components tell of the same pairs.
 
 Groups of copies do not become pairs: equal vectors are one node with a
 weight, searches return counts, and of the links themselves each task returns
@@ -44,7 +51,7 @@ MAX_SAMPLE = 65536
 BATCH = 512
 RAISES = 3
 EXACT_ROWS = 4096  # of a block in the exact comparison
-AUDIT_ROWS = 4096  # queries that are compared by brute force at a time
+MOST_ASKED = 4096  # queries of an audit, held by the driver and compared by brute force
 
 
 def unit_rows(values: list | np.ndarray) -> np.ndarray:
@@ -237,31 +244,38 @@ def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     return nodes.mapInPandas(assign, "shard int, home boolean, id long, v array<double>, w long")
 
 
-def _found_links(ask_ids: np.ndarray, found, ids: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+LINKS = "id long, n long, m long, other long, by long"
+
+
+def _found_links(ask_ids: np.ndarray, ask_w: np.ndarray, found, ids: np.ndarray, w: np.ndarray) -> pd.DataFrame:
     """What a task of ``_links`` or ``_exact_links`` returns, from matrices of
     the nodes that ``BATCH`` queries each have found."""
     if not len(ask_ids):
-        return pd.DataFrame({"id": [], "n": [], "m": [], "other": []}).astype("Int64")
+        return pd.DataFrame({"id": [], "n": [], "m": [], "other": [], "by": []}).astype("Int64")
     weights, numbers, left, right = [], [], [], []
+    by = np.zeros(len(ids), dtype=np.int64)  # weight of those that find each node
     for s, hit in zip(range(0, len(ask_ids), BATCH), found, strict=True):
         r, c = np.nonzero(hit)
         other = ids[c] != ask_ids[s + r]
         r, c = r[other], c[other]
         weights.append(np.bincount(r, weights=w[c], minlength=len(hit)).astype(np.int64))
         numbers.append(np.bincount(r, minlength=len(hit)))
+        by += np.bincount(c, weights=ask_w[s + r], minlength=len(ids)).astype(np.int64)
         left.append(ask_ids[s + r])
         right.append(ids[c])
     node, low = forest(np.concatenate(left), np.concatenate(right))
     tree = node != low
     return pd.concat([
-        pd.DataFrame({"id": ask_ids, "n": np.concatenate(weights), "m": np.concatenate(numbers), "other": None}).astype("Int64"),
-        pd.DataFrame({"id": node[tree], "n": None, "m": None, "other": low[tree]}).astype("Int64"),
+        pd.DataFrame({"id": ask_ids, "n": np.concatenate(weights), "m": np.concatenate(numbers), "other": None, "by": None}).astype("Int64"),
+        pd.DataFrame({"id": node[tree], "n": None, "m": None, "other": low[tree], "by": None}).astype("Int64"),
+        pd.DataFrame({"id": ids[by > 0], "n": None, "m": None, "other": None, "by": by[by > 0]}).astype("Int64"),
     ])
 
 
 def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, shard_rows: int, degree: int, beam: int) -> DataFrame:
-    """``(id, n, m, other)``: per node the weight and number of the neighbours it finds in a
-    part (``other`` null), and the links of the parts' spanning forests (``n`` null)."""
+    """``(id, n, m, other, by)``: per node the weight and number of the neighbours it finds
+    in a part, the links of the parts' spanning forests (``other``), and the weight of the
+    nodes that find it in a part (``by``); the rest of a row is null."""
     members = stage(_shards(nodes, centres, overlap), "shards")
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
     # One row per centroid, at most MAX_CENTROIDS.
@@ -280,11 +294,11 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     inside = joined.select("shard", part, F.explode(every).alias("asked"), "id", "v", "w", "near")
     asked = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("asked")
-    asking = joined.where("home").select("shard", F.explode(every).alias("part"), asked, "id", "v")
+    asking = joined.where("home").select("shard", F.explode(every).alias("part"), asked, "id", "v", "w")
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asks.empty:
-            return _found_links(asks["id"].to_numpy()[:0], [], [], [])
+            return _found_links(np.empty(0, dtype=np.int64), [], [], [], [])  # an empty side may come without columns
         rows = rows.sort_values("id", kind="stable")
         ids, w, x = rows["id"].to_numpy(), rows["w"].to_numpy(), unit_rows(rows["v"].tolist())
         place = pd.Series(np.arange(len(ids)), index=ids)
@@ -296,10 +310,10 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float
         adj = _padded(at[here], local[here].astype(np.int64), len(ids), int(lengths.max(initial=1)))
         ask_ids, q = asks["id"].to_numpy(), unit_rows(asks["v"].tolist())
         found = (range_search(x, adj, q[s : s + BATCH], threshold, beam) for s in range(0, len(q), BATCH))
-        return _found_links(ask_ids, found, ids, w)
+        return _found_links(ask_ids, asks["w"].to_numpy(), found, ids, w)
 
     keys = ("shard", "part", "asked")
-    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, "id long, n long, m long, other long")
+    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, LINKS)
 
 
 def _exact_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -308,38 +322,33 @@ def _exact_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     inside = nodes.select(block.alias("part"), F.explode(every).alias("asked"), "id", "v", "w")
-    asking = nodes.select(F.explode(every).alias("part"), block.alias("asked"), "id", "v")
+    asking = nodes.select(F.explode(every).alias("part"), block.alias("asked"), "id", "v", "w")
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asks.empty:
-            return _found_links(asks["id"].to_numpy()[:0], [], [], [])
+            return _found_links(np.empty(0, dtype=np.int64), [], [], [], [])  # an empty side may come without columns
         x, q = unit_rows(rows["v"].tolist()), unit_rows(asks["v"].tolist())
         found = (q[s : s + BATCH] @ x.T >= threshold for s in range(0, len(q), BATCH))
-        return _found_links(asks["id"].to_numpy(), found, rows["id"].to_numpy(), rows["w"].to_numpy())
+        return _found_links(asks["id"].to_numpy(), asks["w"].to_numpy(), found, rows["id"].to_numpy(), rows["w"].to_numpy())
 
     keys = ("part", "asked")
-    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, "id long, n long, m long, other long")
+    return inside.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(search, LINKS)
 
 
 def _brute_counts(nodes: DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """``(id, n, m)``: links and neighbours of the asked nodes that have any, by
     comparison with every node."""
-    parts = []
-    for at in range(0, len(asked), AUDIT_ROWS):
-        block = asked[at : at + AUDIT_ROWS]
-        q, ids = unit_rows(block["v"].tolist()), block["id"].to_numpy()
+    q, ids = unit_rows(asked["v"].tolist()), asked["id"].to_numpy()
 
-        def compare(batches, q=q, ids=ids):
-            for rows in batches:
-                if len(rows):
-                    hit = unit_rows(rows["v"].tolist()) @ q.T >= threshold
-                    hit &= rows["id"].to_numpy()[:, None] != ids[None, :]
-                    m, n = hit.sum(axis=0), rows["w"].to_numpy() @ hit
-                    yield pd.DataFrame({"id": ids[m > 0], "n": n[m > 0], "m": m[m > 0]})
+    def compare(batches):
+        for rows in batches:
+            if len(rows):
+                hit = unit_rows(rows["v"].tolist()) @ q.T >= threshold
+                hit &= rows["id"].to_numpy()[:, None] != ids[None, :]
+                m, n = hit.sum(axis=0), rows["w"].to_numpy() @ hit
+                yield pd.DataFrame({"id": ids[m > 0], "n": n[m > 0], "m": m[m > 0]})
 
-        counts = nodes.mapInPandas(compare, "id long, n long, m long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        parts.append(counts.toPandas())
-    return pd.concat(parts)
+    return nodes.mapInPandas(compare, "id long, n long, m long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toPandas()
 
 
 def _asked(nodes: DataFrame, counts: DataFrame, queries: int) -> pd.DataFrame:
@@ -400,19 +409,20 @@ def near_duplicate_vectors(
     for _ in range(RAISES + 1):
         links = stage(_links(nodes, centres, min(overlap, k), threshold, shard_rows, degree, beam), "links")
         counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        queries = max(audit, math.ceil(4 * math.sqrt(n)))
+        queries = min(MOST_ASKED, max(audit, math.ceil(4 * math.sqrt(n))))
         while True:
             asked = _asked(nodes, counts, queries)
             recall = audited_recall(asked, _brute_counts(nodes, asked, threshold)) if len(asked) else None
-            if recall is not None or len(asked) == n:
+            if recall is not None or queries >= min(n, MOST_ASKED):
                 break
-            queries *= 4
+            queries = min(MOST_ASKED, 4 * queries)
         if recall is None or recall >= target_recall:
             break
         overlap, degree, beam = 2 * overlap, 2 * degree, 2 * beam
     else:
         links = stage(_exact_links(nodes, n, threshold), "links")
-        counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    ends = links.groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("by"), F.lit(0)).alias("by"))
+    counts = ends.select("id", F.greatest("n", "by").alias("n"))
     roots = stage(components(links.where("other is not null"), "id", "other"), "roots")
     described = (
         nodes.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from increload.llm import vector_graph
+from increload.llm.common import stage
 from increload.llm.vector_graph import build_graph, forest, near_duplicate_vectors, range_search
 
 SF = "/root/testdata/sf0.01"
@@ -122,3 +123,36 @@ def test_audit_sees_lost_small_groups(spark, monkeypatch, large):
     monkeypatch.setattr(vector_graph, "RAISES", 1)
     monkeypatch.setattr(vector_graph, "EXACT_ROWS", 300)
     assert result(frame(spark, ids, x), audit=64) == want
+
+
+def test_links_found_from_one_end_count_at_both(spark, monkeypatch):
+    """Even a search that loses all that some vectors find themselves leaves no
+    vector without links in the component of another."""
+    x = clusters(6, [1] * 100 + [3] * 20 + [60])
+    ids = np.arange(len(x)) + 1
+    want = brute(ids, x)
+    search = vector_graph._links
+
+    def one_sided(*args):
+        links = stage(search(*args), "links")  # the search, its columns as they are
+        deaf = F.col("id") % 3 == 0
+        return links.withColumns({c: F.when(deaf & F.col(c).isNotNull(), 0).otherwise(F.col(c)) for c in "nm"})
+
+    monkeypatch.setattr(vector_graph, "_links", one_sided)
+    got = result(frame(spark, ids, x), audit=1, target_recall=0.0)
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert all(n <= want[i][0] for i, (n, _) in got.items())
+    members = {i for i, (_, c) in got.items() if sum(d == c for _, d in got.values()) > 1}
+    assert members == {i for i, (n, _) in got.items() if n}
+
+
+def test_a_table_without_links_asks_a_bounded_number(spark, monkeypatch):
+    """The driver never holds more than the stated number of vectors."""
+    x = np.random.default_rng(8).normal(size=(1500, 32))
+    asked = []
+    brute_counts = vector_graph._brute_counts
+    monkeypatch.setattr(vector_graph, "_brute_counts", lambda nodes, rows, t: asked.append(len(rows)) or brute_counts(nodes, rows, t))
+    monkeypatch.setattr(vector_graph, "MOST_ASKED", 400)
+    got = result(frame(spark, np.arange(1500), x), audit=64)
+    assert got == {i: (0, i) for i in range(1500)}
+    assert len(asked) <= 3 and max(asked) <= 480
