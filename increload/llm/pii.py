@@ -60,6 +60,7 @@ NEEDS = {
 }
 CUES = r"(?i)(?:e-?mail|mail|contact|call|phone|tel|fax|mobile|card|visa|pay|ip|address|host|server|from|to)[\x20:.#]{0,3}$"
 CONTEXT = 16
+BLOCK = 256
 
 
 def _matches(text: Column, pattern: str, needs: Column) -> Column:
@@ -68,7 +69,9 @@ def _matches(text: Column, pattern: str, needs: Column) -> Column:
 
 def _placed(found: Column, gaps: Column) -> Column:
     """``array<struct<s, e, m>>``: code-point positions of the matches, from
-    the lengths of the gaps and matches before them."""
+    the lengths of the gaps and matches before them.  Appending to an array
+    copies it, so matches are placed in blocks of ``BLOCK``, each from the
+    summed lengths of the blocks before."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
 
     def add(acc: Column, x: Column) -> Column:
@@ -76,9 +79,20 @@ def _placed(found: Column, gaps: Column) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def sums(lengths: Column) -> Column:
+        """Running sums, the first 0; of one number per block."""
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
     zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(zipped, start, add, lambda acc: acc["out"]))
+    last = F.floor((F.size(found) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(zipped, i * BLOCK + 1, BLOCK))
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["m"])))
+    whole = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.slice(sums(lengths), F.lit(1), last + 1).alias("at")), lambda z: within(z["b"], z["at"])))
+    few = within(zipped, F.lit(0))
+    return F.when(F.size(found) == 0, none).when(F.size(found) <= BLOCK, few).otherwise(whole)
 
 
 def digits(m: Column) -> Column:

@@ -180,3 +180,20 @@ def test_frequent_obfuscated_forms_are_added(spark):
         assert got[i]["base"] == ""
         start = at - (kind == "phone")  # the loose phone pattern takes the blank before a number along
         assert got[i]["spans"] == (f"{kind}:{start}:{at + len(span)}" if kind else ""), text
+
+
+def test_base_spans_of_long_texts_take_time_in_proportion(spark):
+    """A log of numbers, a million characters long: every number is a match of
+    the card pattern, each line holds an address and a phone number."""
+    import time
+
+    lines = [f"{i} took {i * 37 % 1000} of {i * 91 % 100000} ms, host 10.{i % 256}.{i * 7 % 256}.{i % 300}, call +49 30 {1000000 + i}" for i in range(16_000)]
+    text = "\n".join(lines)
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    row = with_base_spans(df, ("doc_id",)).select(*[f"base_{k}" for k in KINDS]).first()
+    took = time.time() - began
+    got = ",".join(f"{k}:{x['s']}:{x['e']}" for k in KINDS for x in row[f"base_{k}"])
+    assert got == base_spans(text) and got.count(",") > 25_000
+    assert took < 60
