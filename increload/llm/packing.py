@@ -37,7 +37,7 @@ from increload.llm.common import gapless, stage, text_or_empty
 
 END_ID = 1
 CACHE_WORDS = 150_000  # about 30 MB a generation
-SUBS = 64
+CACHE_CHARS = 64  # longer stretches (paragraphs without spaces) are encoded each time
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sub int"
 
 
@@ -65,8 +65,8 @@ class WordIds(dict):
 
     A tokenizer that drops white space never joins text across it, so a
     text's ids are those of its stretches one after another.  Frequent
-    stretches are looked up; two generations of at most ``CACHE_WORDS`` are
-    kept.  Other tokenizers encode whole texts.
+    stretches of up to ``CACHE_CHARS`` are looked up; two generations of at
+    most ``CACHE_WORDS`` are kept.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer):
@@ -90,6 +90,8 @@ class WordIds(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self._encode(word)
+        if len(word) > CACHE_CHARS:
+            return ids
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -112,6 +114,8 @@ class WordIds(dict):
         if ids is None:
             spelled = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
             ids = _as_bytes([t.id for t in self.model.tokenize(spelled)])
+            if len(piece) > CACHE_CHARS:
+                return ids
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[piece] = ids
@@ -151,7 +155,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id:
 
     def run(batches):
         ids_of = load_tokenizer(tokenizer_path)
-        count = TaskContext.get().partitionId()
+        sub = TaskContext.get().partitionId()  # what is numbered together is never more than a task has made
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # few texts at a time become Python strings
                 part = batch.slice(at, 256)
@@ -160,9 +164,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id:
                     ids += end
                     for s in range(0, len(ids), step):
                         piece = ids[s : s + step]
-                        row = (doc_id, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, count % SUBS)
+                        row = (doc_id, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, sub)
                         rows.append((*row, piece) if with_ids else row)
-                        count += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
