@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from increload.llm.common import gapless, stage, text_or_empty
 
 END_ID = 1
-CACHE_WORDS = 150_000  # about 30 MB a generation
+CACHE_WORDS = 500_000  # about 100 MB a generation
 CACHE_CHARS = 64  # longer stretches (paragraphs without spaces) are encoded each time
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sub int"
 
