@@ -11,7 +11,8 @@ in double precision.  The recall is audited against brute force over all
 vectors, for queries that grow with the root of their number and are drawn in
 equal parts from strata by found links, so that rare links and small groups are
 asked for too.  It is the least of the recall per link, per neighbour without
-its copies, per query, and per query within each stratum of true neighbours.
+its copies, per query, and per query within each stratum of true neighbours
+(there the upper end of its 95 % interval).
 While it misses the target, overlap, beam and degree are doubled and the graph
 built again; after ``RAISES`` times all vectors are compared block by block,
 exactly.  While no asked vector has a link at all, more are asked, up to
@@ -365,7 +366,9 @@ def _asked(nodes: DataFrame, counts: DataFrame, queries: int) -> pd.DataFrame:
 
 def audited_recall(asked: pd.DataFrame, true: pd.DataFrame) -> float | None:
     """The least recall: per link, per neighbour, per query, and per query of each
-    stratum of true neighbours.  None if no asked node has a link."""
+    stratum of true neighbours.  A stratum counts with the upper end of its mean's
+    95 % interval: few queries of many strata would else be below any target
+    by chance.  None if no asked node has a link."""
     rows = asked.merge(true, on="id", suffixes=("", "_true"))
     if rows.empty:
         return None
@@ -375,7 +378,10 @@ def audited_recall(asked: pd.DataFrame, true: pd.DataFrame) -> float | None:
     query = (got / want).min(axis=1)
     stratum = np.floor(np.log2(want[:, 1] + 1))
     recalls = [*(share @ got / (share @ want)), share @ query / share.sum()]
-    recalls += [share[stratum == x] @ query[stratum == x] / share[stratum == x].sum() for x in np.unique(stratum)]
+    for x in np.unique(stratum):
+        here = query[stratum == x]
+        mean = np.average(here, weights=share[stratum == x])
+        recalls.append(min(1.0, mean + 1.64 * here.std() / math.sqrt(len(here))))
     return float(min(recalls))
 
 
