@@ -228,24 +228,36 @@ def matched_keys(known: DataFrame, batch_keys: DataFrame, key_cols: Sequence[str
     return known.select(*key_cols).join(asked, on=key_cols, how="left_semi")
 
 
-def anti_on_matched(
-    batch: DataFrame, known: DataFrame, batch_keys: DataFrame, width: int | None, budget: int, key_cols: Sequence[str] = KEY_COLS
-) -> tuple[DataFrame, int]:
-    """:func:`anti_on` by way of :func:`matched_keys`: ``batch - (known ∩ batch
-    keys)``, and the number of matches.  The matches are written to the session's shared folder and
-    counted; ``width`` bounds the bytes of one.  When they fit ``budget`` they
-    are broadcast, and the batch's rows are filtered where they are.  Otherwise
-    (most of the batch was known) both sides meet in a sort-merge join."""
+def written_matches(
+    known: DataFrame, batch_keys: DataFrame, width: int | None, budget: int, key_cols: Sequence[str] = KEY_COLS
+) -> tuple[DataFrame, int, bool]:
+    """:func:`matched_keys`, each once, written to the session's shared folder
+    and counted, and whether they fit ``budget`` as a broadcast table
+    (``width`` bounds the bytes of one)."""
     key_cols = list(key_cols)
-    spark = batch.sparkSession
+    spark = known.sparkSession
     path = shared_scratch(spark, "matched-keys")
     found = matched_keys(known, batch_keys, key_cols).distinct()
     found.write.parquet(path)
     matched = spark.read.schema(found.schema).parquet(path)
     n = matched.count()  # from the file footers
-    if width is not None and n * width <= budget:
-        matched = F.broadcast(matched)
-    return batch.join(matched, on=key_cols, how="left_anti"), n
+    return matched, n, width is not None and n * width <= budget
+
+
+def in_known_partitions(known: DataFrame, part: str, profile: BatchProfile) -> Column | None:
+    """Which rows of a profiled batch lie in a partition value that ``known``
+    (pruned to the batch's values) has; all others are new.  ``None``: not
+    told apart, as they all may, or there are too many values."""
+    dtype = known.schema[part].dataType
+    if profile.values is None or not _collectable(dtype):
+        return None
+    n_values = len(profile.values) + profile.has_null
+    met = known.select(_collected(F.col(part), dtype)).distinct().limit(n_values + 1).collect()
+    if len(met) >= n_values:
+        return None
+    values = [_literal(v, dtype) for (v,) in met if v is not None]
+    there = F.coalesce(F.col(part).isin(*values), F.lit(False)) if values else F.lit(False)
+    return there | F.col(part).isNull() if len(values) < len(met) else there
 
 
 def anti_join_keys(

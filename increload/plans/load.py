@@ -15,11 +15,12 @@ from increload.operators.antijoin import (
     BatchProfile,
     anti_on,
     anti_on_broadcast_keys,
-    anti_on_matched,
     fits,
+    in_known_partitions,
     key_bytes_bound,
     profile_batch,
     prune_to_profile,
+    written_matches,
 )
 from increload.operators.dedup import dedup_on, dedup_two_pass
 from increload.operators.keyindex import select_keys
@@ -94,7 +95,10 @@ def new_rows(
     * ``two_pass``, for a batch over the budget that gives the same rows each
       time it is read: keys alone are counted and matched first (with Spark's
       Bloom filter on the known side), and whole rows then pass without
-      being sorted, but for those of keys met twice.
+      being sorted, but for those of keys met twice.  Rows in partition
+      values without known keys are new and take no part in the match.  When
+      the matches exceed the budget, rows of the other partition values are
+      shuffled, once.
 
     ``tally`` gets the counts of the load once its result is written.
     """
@@ -116,16 +120,24 @@ def new_rows(
         known = prune_to_profile(known, part, profile, broadcast_budget)
     if table is not None and profile is not None and profile.n_rows <= ZONE_KEYS:
         known = table.near(known, packed)
+    pruned = known
     known = known.select(*KEY_COLS) if table is not None else known.select(*packed_key(known.schema, cols))
-    batch_keys = packed.select(*KEY_COLS)
     if broadcasting and fits(batch.schema, cols, profile, broadcast_budget):
-        deduped = anti_on_broadcast_keys(counted(dedup_on(packed, cols, order_by)), known, batch_keys)
+        deduped = anti_on_broadcast_keys(counted(dedup_on(packed, cols, order_by)), known, packed.select(*KEY_COLS))
     elif two_pass:
+        met = in_known_partitions(pruned, part, profile) if pruning else None
+        asked = packed if met is None else packed.where(met)
         width = key_bytes_bound(batch.schema, cols, profile.longest) if profile is not None else None
-        new, matched = anti_on_matched(packed, known, batch_keys, width, broadcast_budget or DEFAULT_BROADCAST_BUDGET)
+        matched, n, small = written_matches(known, asked.select(*KEY_COLS), width, broadcast_budget or DEFAULT_BROADCAST_BUDGET)
         if tally is not None:
-            tally.known = matched
-        deduped = dedup_two_pass(new, cols, order_by)
+            tally.known = n
+        if small:
+            new = packed.join(F.broadcast(matched), on=KEY_COLS, how="left_anti")
+            deduped = dedup_two_pass(new, cols, order_by)
+        else:  # rows that may be known move once; equal keys lie in one partition value
+            deduped = anti_on(dedup_on(asked, cols, order_by), matched)
+            if met is not None:
+                deduped = deduped.unionByName(dedup_two_pass(packed.where(~met), cols, order_by))
     else:
         deduped = anti_on(counted(dedup_on(packed, cols, order_by)), known)
     return deduped.select(*batch.columns)

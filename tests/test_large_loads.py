@@ -175,6 +175,31 @@ def test_runtime_filter_reaches_the_index_scan(spark, conf, tmp_path):
     assert sorted(r["k"] for r in delta.collect()) == list(range(20_000, 21_000))
 
 
+def test_matches_over_the_budget_move_only_rows_that_may_be_known(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    made = lambda a, b, n, v: spark.range(a, b).select((F.nullif("id", F.lit(-1)) % n).cast("int").alias("part"), F.nullif("id", F.lit(-1)).alias("k"), F.lit(v).alias("v"))
+    existing, batch = made(0, 3000, 2, "old"), made(2000, 9000, 5, "new")  # nullable, as tables are
+    one_pass = incremental_load(batch, existing, None, "part", ["k"], broadcast_budget=0).delta
+    out = new_rows(batch, existing, "part", ["k"], two_pass=True, broadcast_budget=1)
+    plan = _plan(out)
+    exchanges = re.findall(r"Exchange hashpartitioning", plan)
+    assert len(exchanges) == 2  # the rows of parts 0 and 1, and the matches; neither is shuffled to count again
+    assert "Exchange" not in plan[plan.rindex("Filter NOT") :] and plan.count("Sort ") < 5  # rows of other parts stay put
+    assert as_rows(out) == as_rows(one_pass)
+
+
+@pytest.mark.parametrize("budget", [1, 1 << 20])
+def test_rows_of_partitions_without_known_keys(spark, budget):
+    old = [(1, "a", 1, "old"), (None, "a", 1, "old"), (3, None, 1, "old")]
+    new = [(1, "a", 1, "x"), (1, "b", 1, "x"), (2, "a", 1, "y"), (2, "a", 1, "x"), (None, "a", 1, "x"), (None, "b", 1, "y"), (None, "b", 1, "x")]
+    batch = spark.createDataFrame(new, S)
+    for existing in (old, old[:1], old[1:2], old[2:]):
+        known = spark.createDataFrame(existing, S)
+        want = incremental_load(batch, known, None, "part", ["k", "n"], broadcast_budget=0).delta
+        got = new_rows(batch, known, "part", ["k", "n"], two_pass=True, broadcast_budget=budget)
+        assert as_rows(got) == as_rows(want)
+
+
 # ------------------------------------------------------------ bucketed key table
 
 
