@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from increload.llm.common import gapless, stage, text_or_empty
 
 END_ID = 1
-CACHE_WORDS = 500_000  # about 100 MB a generation
+CACHE_WORDS = 250_000  # about 50 MB a generation
 CACHE_CHARS = 64  # longer stretches (paragraphs without spaces) are encoded each time
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sub int"
 
@@ -65,8 +65,9 @@ class WordIds(dict):
 
     A tokenizer that drops white space never joins text across it, so a
     text's ids are those of its stretches one after another.  Frequent
-    stretches of up to ``CACHE_CHARS`` are looked up; two generations of at
-    most ``CACHE_WORDS`` are kept.  Other tokenizers encode whole texts.
+    stretches of up to ``CACHE_CHARS`` are looked up, and so are the pieces of
+    others (a piece by itself is a stretch with the same ids); two generations
+    of at most ``CACHE_WORDS`` are kept.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer):
@@ -84,7 +85,11 @@ class WordIds(dict):
         self.special = re.compile("|".join(special) or r"(?!)")
         self.letters = byte_letters()
         self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+
+    @property
+    def pieces(self) -> dict[str, bytes]:
+        """Pieces have no cache of their own: they are held as stretches."""
+        return self
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -102,24 +107,17 @@ class WordIds(dict):
         low = word.lower()
         if word.isascii():
             if low.isalpha():
-                return self._piece(low)
+                return self._piece(word) if low == word else self[low]
             if low[:-1].isalpha() and low[-1] in ".,":
-                return self._piece(low[:-1]) + self._piece(low[-1])
+                return self[low[:-1]] + self[low[-1]]
         if not SIMPLE.fullmatch(word) or self.special.search(word):
             return _as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self._piece, PIECE.findall(low)))
+        pieces = PIECE.findall(low)
+        return self._piece(word) if pieces == [word] else b"".join(map(self.__getitem__, pieces))
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = _as_bytes([t.id for t in self.model.tokenize(spelled)])
-            if len(piece) > CACHE_CHARS:
-                return ids
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        spelled = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return _as_bytes([t.id for t in self.model.tokenize(spelled)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:

@@ -48,6 +48,7 @@ STEPS = 6  # Newton steps of a round, from where the last one ended
 SURE = 0.95
 SLOTS = 32  # rows in which the sums of all tasks reach the driver
 HASHED = 16
+TEXTS = 256
 
 # Byte classes whose shares describe a text.
 CLASSES = {
@@ -88,7 +89,7 @@ def meta_features(lang: str | None, source: str | None, n_chars: str | None, n_l
     """Numbers from the page's metadata (as strings) and line layout."""
     out = np.zeros(N_META)
     for at, value in ((0, lang), (HASHED, source)):
-        text = value if isinstance(value, str) else None  # pandas may hand a null over as NaN
+        text = value if isinstance(value, str) else None
         out[at + zlib.crc32(repr(text).encode()) % HASHED] = 1.0
     known = isinstance(n_chars, str)
     size = float(np.log1p(max(0.0, np.nan_to_num(float(n_chars))))) if known else 0.0
@@ -101,6 +102,14 @@ def features(text: str, lang, source, n_chars) -> np.ndarray:
     return np.concatenate([content_features(text), meta_features(lang, source, n_chars, text.count("\n") + 1)])
 
 
+def feature_slices(*columns: pa.Array):
+    """``(first row, features of TEXTS rows)`` from the columns that
+    :func:`features` takes: few texts at a time become Python strings."""
+    for at in range(0, len(columns[0]), TEXTS):
+        rows = zip(*(c.slice(at, TEXTS).to_pylist() for c in columns), strict=True)
+        yield at, np.array([features(*r) for r in rows], dtype=np.float64)
+
+
 VIEWS = {"content": slice(0, N_CONTENT), "meta": slice(N_CONTENT, N_FEATURES)}
 
 
@@ -323,17 +332,19 @@ def _with_features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
     rows = rows.join(F.broadcast(chosen), "doc_id", "left")
 
     def run(batches):
-        for pdf in batches:
-            x = [features(*r) for r in pdf[["text", "lang", "source", "n_chars"]].itertuples(index=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "y": pdf["y"].astype("Int32"), "x": x})
+        for batch in batches:
+            for at, x in feature_slices(*map(batch.column, ("text", "lang", "source", "n_chars"))):
+                part = batch.slice(at, len(x))
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES)
+                lists = pa.ListArray.from_arrays(ends, pa.array(x.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], ["doc_id", "y", "x"])
 
     rows = rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
-    return stage(_plain(rows).mapInPandas(run, "doc_id long, y int, x array<float>"), "features")
+    return stage(_plain(rows).mapInArrow(run, "doc_id long, y int, x array<float>"), "features")
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """Metadata as strings and, for the length, a nullable string of digits, so
-    that pandas keeps nulls apart from numbers."""
+    """Metadata as strings, as :func:`meta_features` takes them."""
     return df.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "n_chars": F.col("n_chars").cast("string")})
 
 
@@ -352,11 +363,11 @@ def score_quality(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     if model is None:
         return docs.withColumns({c: F.lit(1.0) for c in names})
 
-    @F.pandas_udf("struct<c double, m double, p double>")
-    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        rows = zip(text, lang, source, n_chars, strict=True)
-        x = np.array([features(*r) for r in rows], dtype=np.float64).reshape(-1, N_FEATURES)
-        return pd.DataFrame(dict(zip("cmp", model.score(x), strict=True)))
+    @F.arrow_udf("struct<c double, m double, p double>")
+    def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        scores = [model.score(x) for _, x in feature_slices(text, lang, source, n_chars)]
+        columns = [np.concatenate(c) for c in zip(*scores, strict=True)] or [np.empty(0)] * 3
+        return pa.StructArray.from_arrays(list(map(pa.array, columns)), list("cmp"))
 
     p = run(F.coalesce("text", F.lit("")), *[F.col(c).cast("string") for c in ("lang", "source", "n_chars")])
     scored = docs.withColumn("__llm_s", p)

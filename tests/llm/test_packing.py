@@ -146,3 +146,17 @@ def test_other_tokenizers_encode_whole_texts():
     assert not coder.by_word
     (got,) = coder.encode(["two  spaces\n here"])
     assert np.frombuffer(got, dtype="<u4").tolist() == other.encode("two  spaces\n here", add_special_tokens=False).ids
+
+
+def test_word_cache_is_bounded_and_shared(monkeypatch):
+    monkeypatch.setattr("increload.llm.packing.CACHE_WORDS", 100)
+    words = WordIds(tokenizer())
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    texts = [f"{w} {w.upper()} {w}. {w}--{v} É{w}é 's -- {w}'s" for w, v in zip(plain, reversed(plain))]
+    most = 0
+    for text in texts:
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+        held = [d for k, d in vars(words).items() if isinstance(d, dict) and k != "letters"]
+        most = max(most, len(words) + sum(map(len, held)))
+    assert 100 < most <= 200  # two generations, whatever holds them

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from increload.llm import quality
 from increload.llm.quality import N_FEATURES, co_train, features, fit_quality, keep_good, score_quality
 
 SF = "/root/testdata/sf0.1"
@@ -180,3 +182,13 @@ def test_documents_beyond_the_labelled_bound_are_unlabelled(spark):
     table = _with_features(docs.unionByName(docs.where("doc_id % 2 = 0")).selectExpr("*", "0 AS y", "1 AS x"), labels, 50)
     assert table.where("y is not null").select("doc_id").distinct().count() == 50
     assert table.count() == docs.count() + docs.where("doc_id % 2 = 0").count()
+
+
+def test_few_texts_at_a_time_become_strings():
+    """A batch of texts is turned into numbers slice by slice, equal to all at once."""
+    n = 1000
+    columns = [[f"text {i} " + "é " * (i % 5) for i in range(n)], [None, "en"] * (n // 2), ["a"] * n, [None if i % 3 else str(i) for i in range(n)]]
+    slices = list(quality.feature_slices(*map(pa.array, columns)))
+    assert [at for at, _ in slices] == list(range(0, n, quality.TEXTS)) and max(len(x) for _, x in slices) <= 256
+    whole = np.array([quality.features(*r) for r in zip(*columns)])
+    assert np.array_equal(np.concatenate([x for _, x in slices]), whole)
