@@ -12,8 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from increload.functions.keys import HASH_COL, KEY_COL, KEY_COLS, key_columns, with_packed_key
+from increload.functions.keys import HASH_COL, KEY_COL, KEY_COLS, binary_equal, key_columns, with_packed_key
 from increload.operators.antijoin import profile_batch, prune_to_profile
 from increload.session import shared_scratch
 
@@ -26,13 +27,22 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _fingerprint() -> list[Column]:
+def _code(schema: T.StructType, cols: Sequence[str]) -> Column:
+    """A hash of the key that counts nulls too.  ``xxhash64`` passes over them,
+    so keys like (1, null) and (null, 1) have one ``HASH_COL``; likewise nulls
+    and borders within nested values."""
+    nested = [c for c in cols if isinstance(schema[c].dataType, (T.ArrayType, T.StructType)) and binary_equal(schema[c].dataType)]
+    shapes = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) for c in nested]
+    return F.xxhash64(HASH_COL, *[F.col(c).isNull() for c in cols], *shapes)
+
+
+def _fingerprint(code: Column) -> list[Column]:
     """Count, sum and exclusive or of the key hashes: equal for equal multisets
     in any order, and combined by adding, so each task sends one row a group."""
     return [
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(HASH_COL).cast("decimal(38,0)")).alias("s"),
-        F.bit_xor(HASH_COL).alias("x"),
+        F.sum(code.cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(code).alias("x"),
     ]
 
 
@@ -40,7 +50,7 @@ def fingerprints(keys_df: DataFrame, part: str | None, cols: Sequence[str], pref
     """``(group, n, s, x)`` of a key table, where ``group`` is a struct of the
     partition value and the first ``prefix_bits`` bits of the key's hash."""
     packed = with_packed_key(keys_df.select(*cols), cols)
-    return packed.groupBy(_group(part, prefix_bits).alias("group")).agg(*_fingerprint())
+    return packed.groupBy(_group(part, prefix_bits).alias("group")).agg(*_fingerprint(_code(packed.schema, cols)))
 
 
 def _group(part: str | None, prefix_bits: int) -> Column:
